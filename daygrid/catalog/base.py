@@ -77,7 +77,8 @@ def compose(cols: str, sql: str, parts: dict[str, str], recursive: bool = False)
         with_ = ""
     else:
         with_ = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(
-            f"{n} AS ({t})" for n, t in ctes.items()) + "\n"
+            f"{n} AS MATERIALIZED ({t[13:]})" if t.startswith("MATERIALIZED ") else f"{n} AS ({t})"
+            for n, t in ctes.items()) + "\n"
     picked = ", ".join(_sql_column(*c.split(":")) for c in cols.split())
     return doubles(f"{with_}SELECT {picked} FROM ({sql}) AS answer")
 

@@ -50,7 +50,11 @@ def at_least(value: Value, low: Value) -> Column:
 
 
 def half_even(value: Value, digits: int = 0) -> Column:
-    return F.bround(col(value), digits)
+    """Round half to even on the binary value, as array libraries do: scale, rint, scale back."""
+    if digits == 0:
+        return F.rint(col(value))
+    scale = float(10**digits)
+    return F.rint(col(value) * scale) / scale
 
 
 def ratio(top: Value, bottom: Value) -> Column:

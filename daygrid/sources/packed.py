@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid import config
+from daygrid.functions.expr import half_even
 
 Packing = Mapping[str, tuple[float, bool]]
 
@@ -22,7 +23,7 @@ def _limits(unsigned: bool) -> tuple[int, int, int]:
 def packed(name: str, packing: Packing = config.PACKING, inside: Column | None = None) -> Column:
     step, unsigned = packing[name]
     fill, low, high = _limits(unsigned)
-    value = F.bround(F.col(name) / step, 0)
+    value = half_even(F.col(name) / step, 0)
     refuse = F.raise_error(F.concat(F.lit(f"{name} does not fit its packed type: "), F.col(name).cast("string")))
     out = F.when(value.isNull(), F.lit(fill)).when(value.between(low, high), value.cast("int")).otherwise(
         refuse.cast("int"))
@@ -32,7 +33,7 @@ def packed(name: str, packing: Packing = config.PACKING, inside: Column | None =
 def unpacked(name: str, packing: Packing = config.PACKING) -> Column:
     step, unsigned = packing[name]
     fill, _, _ = _limits(unsigned)
-    return F.when(F.col(name) != fill, F.bround(F.col(name) * step, 2))
+    return F.when(F.col(name) != fill, half_even(F.col(name) * step, 2))
 
 
 def pack(df: DataFrame, packing: Packing = config.PACKING, inside: Column | None = None) -> DataFrame:

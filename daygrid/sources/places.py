@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from daygrid.functions.expr import half_even
+
 # Feature codes left out (sections of a town, historical, destroyed).
 LEFT_OUT = ("PPLX", "PPLH", "PPLQ")
 SCHEMA = "name STRING, latitude DOUBLE, longitude DOUBLE, country STRING, population BIGINT"
@@ -35,7 +37,7 @@ def build_places(cities: DataFrame, names: DataFrame, south: float, north: float
                          & F.col("lat").between(south, north) & F.col("lon").between(west, east))
     named = kept.join(best, "gid", "left").withColumn(
         "name", F.when(F.col("country") == own_country, F.col("name")).otherwise(F.coalesce("best_name", "name")))
-    return named.select("gid", "name", F.bround("lat", 4).alias("lat"), F.bround("lon", 4).alias("lon"), "country",
+    return named.select("gid", "name", half_even("lat", 4).alias("lat"), half_even("lon", 4).alias("lon"), "country",
                         "population").orderBy(F.desc("population"), "gid")
 
 
