@@ -131,11 +131,10 @@ def _(t):
     es, ea = et0.mean_saturation("tasmax", "tasmin"), et0.actual_vapour("tasmax", "tasmin", "hurs")
     ra = et0.extraterrestrial("lat", F.dayofyear("day"))
     rso = et0.clear_sky(ra, "alt")
-    return d.select(
-        *IDS, es.alias("es"), ea.alias("ea"), et0.pressure("alt").alias("p"), et0.wind_2m("sfcWind").alias("u2"),
+    return et0.with_et0(d, "lat", "alt").select(
+        *IDS, "et0", es.alias("es"), ea.alias("ea"), et0.pressure("alt").alias("p"), et0.wind_2m("sfcWind").alias("u2"),
         ra.alias("ra"), rso.alias("rso"),
-        et0.net_longwave("tasmax", "tasmin", ea, F.col("rsds") * 0.0864, rso).alias("rnl"),
-        et0.et0("tasmax", "tasmin", "hurs", "sfcWind", "rsds", "lat", "alt", "day").alias("et0"))
+        et0.net_longwave("tasmax", "tasmin", ea, F.col("rsds") * 0.0864, rso).alias("rnl"))
 
 
 WET_BULB_SQL = """SELECT source, cell_id, day, pr, tas, clt, tasmax, tasmin, CASE WHEN tas IS NOT NULL AND hurs IS NOT NULL THEN LEAST(tas,

@@ -72,7 +72,7 @@ PRELUDE["cells"] = """
  SELECT k AS cell_id, k % 5 AS "row", k // 5 AS col, 46.0 - 0.25*(k % 5) AS lat, 5.0 + 0.25*(k // 5) AS lon,
   k <> 0 AS domain, k <> 0 AS land, k % 24 <> 0 AS eobs,
   CASE WHEN k % 25 <> 9 THEN CAST((k*37*11) % 1500 AS DOUBLE) END AS elevation,
-  CASE WHEN k % 25 <> 6 THEN 160.0 END AS capacity
+  CASE WHEN k % 25 <> 6 THEN 15.0 + 5*(k % 4) END AS capacity
  FROM (SELECT DISTINCT s_suppkey // 4 AS k FROM supplier) AS ids"""
 
 PRELUDE["daily"] = """
@@ -223,7 +223,7 @@ class Tables:
             "k AS cell_id", "k % 5 AS row", "k div 5 AS col", "46.0D - 0.25D*(k % 5) AS lat",
             "5.0D + 0.25D*(k div 5) AS lon", "k <> 0 AS domain", "k <> 0 AS land", "k % 24 <> 0 AS eobs",
             "CASE WHEN k % 25 <> 9 THEN CAST((k*37*11) % 1500 AS DOUBLE) END AS elevation",
-            "CASE WHEN k % 25 <> 6 THEN 160.0D END AS capacity")
+            "CASE WHEN k % 25 <> 6 THEN 15.0D + 5*(k % 4) END AS capacity")
 
     @cached_property
     def daily(self) -> DataFrame:

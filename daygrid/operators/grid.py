@@ -84,10 +84,34 @@ def place_cells(places: DataFrame, cells: DataFrame, fine: DataFrame, coarse_gri
     """Where each place is read: coarse cell, fine cell if any, altitude lift if it applies."""
     at = locate(places, cells, coarse_grid)
     best = locate_fine(at, fine, fine_grid, key)
-    about = fine.select("fine_id", F.col("eobs").alias("_eobs"), F.col("elevation").alias("fine_elevation"))
-    out = at.join(best, key, "left").join(about, "fine_id", "left")
-    lift = clip(F.col("fine_elevation") - F.col("elevation"), -config.MAX_LIFT_M, config.MAX_LIFT_M)
-    return out.withColumn("lift", F.when(F.col("_eobs"), lift)).drop("_eobs")
+    about = fine.select("fine_id", F.col("eobs").alias("_eobs"), F.col("elevation").alias("_fine_elevation"),
+                        F.col("lat").alias("_fine_lat"))
+    own = cells.select("cell_id", F.col("elevation").alias("_elevation"), F.col("lat").alias("_lat"))
+    out = at.join(best, key, "left").join(about, "fine_id", "left").join(own, "cell_id")
+    on_fine = F.col("fine_id").isNotNull()
+    lift = clip(F.col("_fine_elevation") - F.col("elevation"), -config.MAX_LIFT_M, config.MAX_LIFT_M)
+    return out.withColumns({
+        "lift": F.when(F.col("_eobs"), lift),
+        "read_elevation": F.when(on_fine, F.col("_fine_elevation")).otherwise(F.col("_elevation")),
+        "read_lat": F.when(on_fine, F.col("_fine_lat")).otherwise(F.col("_lat")),
+    }).drop("_eobs", "_fine_elevation", "_fine_lat", "_elevation", "_lat")
+
+
+def with_spots(at: DataFrame, key: str = "place_id", spot: str = "spot_id") -> DataFrame:
+    """Number the distinct reading spots (cells and lift): places that share one share its series.
+
+    The spot is named by its lowest place, so the number needs no global order.
+    """
+    keys = {"_f": F.coalesce("fine_id", F.lit(-1)), "_l": F.coalesce("lift", F.lit(1e9))}
+    wide = at.withColumns(keys)
+    named = wide.groupBy("cell_id", "_f", "_l").agg(F.min(key).alias(spot))
+    return wide.join(named, ["cell_id", "_f", "_l"]).drop("_f", "_l")
+
+
+def spots(at: DataFrame, spot: str = "spot_id") -> DataFrame:
+    """One row per reading spot."""
+    return at.groupBy(spot).agg(*[
+        F.first(c).alias(c) for c in ("cell_id", "fine_id", "lift", "read_elevation", "read_lat")])
 
 
 def lapse_rate(name: str, month: Column) -> Column:
