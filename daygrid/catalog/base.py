@@ -33,7 +33,7 @@ def _spark_column(name: str, kind: str):
     if kind in "sd":
         return c.cast("string").alias(name)
     if kind == "f":
-        return c.cast("double").alias(name)
+        return (c.cast("double") + F.lit(0.0)).alias(name)  # no minus zero
     scale = float(10 ** int(kind))
     return (F.floor(c.cast("double") * scale + 0.5 + TIE) / scale).alias(name)
 
@@ -48,7 +48,7 @@ def _sql_column(name: str, kind: str) -> str:
     if kind == "d":
         return f"CAST(CAST({name} AS DATE) AS VARCHAR) AS {name}"
     if kind == "f":
-        return f"CAST({name} AS DOUBLE) AS {name}"
+        return f"CAST({name} AS DOUBLE) + CAST(0 AS DOUBLE) AS {name}"
     scale = float(10 ** int(kind))
     return f"FLOOR(CAST({name} AS DOUBLE)*{scale} + 0.5 + {TIE:.7f})/{scale} AS {name}"
 

@@ -17,6 +17,8 @@ from daygrid.functions.calendar import shifted
 from daygrid.functions.classes import rain_class, temperature_class
 from daygrid.functions.expr import half_even, ratio
 
+MILLIONTHS = 1e6
+
 # The counts of a summary and their thresholds.
 COUNTS: dict[str, tuple[str, str, float]] = {
     "hot_35": ("tasmax", ">=", 35.0),
@@ -34,9 +36,13 @@ def _test(name: str, sign: str, value: float) -> Column:
 
 def running_sums(daily: DataFrame, names: Sequence[str], flags: Mapping[str, Column] | None = None,
                  keys: Sequence[str] = config.KEY) -> DataFrame:
-    """Sum and count of each variable, and count of each flag, from the first day to this one."""
+    """Sum and count of each variable, and count of each flag, from the first day to this one.
+
+    Sums are whole millionths (served values have two decimals), so that the
+    difference of two of them is exact and equal seasons compare equal.
+    """
     w = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-    out = [F.sum(n).over(w).alias(f"s_{n}") for n in names] + [F.count(n).over(w).alias(f"n_{n}") for n in names]
+    out = [F.sum(F.rint(F.col(n) * MILLIONTHS).cast("long")).over(w).alias(f"s_{n}") for n in names] + [F.count(n).over(w).alias(f"n_{n}") for n in names]
     out += [F.count(F.when(c, 1)).over(w).alias(f"c_{k}") for k, c in (flags or {}).items()]
     return daily.select(*keys, "day", *out)
 
@@ -52,6 +58,12 @@ def same_dates(requests: DataFrame, periods: DataFrame, first_year: int, last_ye
     return moved.join(F.broadcast(p), held, "left").drop("_from", "_to")
 
 
+def in_periods(daily: DataFrame, periods: DataFrame) -> DataFrame:
+    """Days of each source inside its served period: running sums must not cross a hole in the days."""
+    p = periods.select("source", F.col("first_day").alias("_from"), F.col("last_day").alias("_to"))
+    return daily.join(F.broadcast(p), "source").filter(F.col("day").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+
+
 def range_sums(ranges: DataFrame, sums: DataFrame, key: str = "cell_id") -> DataFrame:
     """Sums of the running columns over first_day..last_day of each range."""
     values = [c for c in sums.columns if c[:2] in ("s_", "n_", "c_")]
@@ -63,7 +75,7 @@ def range_sums(ranges: DataFrame, sums: DataFrame, key: str = "cell_id") -> Data
 
 
 def _mean(name: str) -> Column:
-    return F.when(F.col(f"n_{name}") > 0, F.col(f"s_{name}") / F.col(f"n_{name}"))
+    return F.when(F.col(f"n_{name}") > 0, F.col(f"s_{name}") / F.col(f"n_{name}") / MILLIONTHS)
 
 
 def year_figures(requests: DataFrame, daily: DataFrame, periods: DataFrame, first_year: int, last_year: int,
@@ -73,6 +85,7 @@ def year_figures(requests: DataFrame, daily: DataFrame, periods: DataFrame, firs
     A gap is not a dry day nor a day under a threshold: sums are means times days.
     """
     names = ("tasmax", "tasmin", "tas", "pr")
+    daily = in_periods(daily, periods)
     flags = {k: _test(*v) for k, v in COUNTS.items()}
     dated = same_dates(requests, periods, first_year, last_year)
     size = F.datediff("last_day", "first_day") + 1
@@ -99,8 +112,9 @@ def compare(figures: DataFrame, request: str, reference: int, years: int = confi
     out = out.withColumns({
         "temperature_anomaly": anomaly, "temperature_sigmas": ratio(anomaly, "temperature_sigma"),
         "precipitation_ratio": ratio("precipitation", "precipitation_normal")})
-    return out.withColumns({"temperature_class": temperature_class("temperature_sigmas"),
-                            "precipitation_class": rain_class("precipitation_ratio")})
+    # The last bits of a mean must not decide a class.
+    return out.withColumns({"temperature_class": temperature_class(half_even("temperature_sigmas", 9)),
+                            "precipitation_class": rain_class(half_even("precipitation_ratio", 9))})
 
 
 def rounded(years: DataFrame) -> DataFrame:
