@@ -57,7 +57,7 @@ def _(t):
 
 
 @query("norm5_departures", "source:s cell_id:i day:d anomaly:f", f"""
- SELECT d.source, d.cell_id, d.day, ROUND_EVEN(hurs - normal, 0) AS anomaly FROM (SELECT *, {SLOT365} AS slot FROM daily) AS d
+ SELECT d.source, d.cell_id, d.day, ROUND_EVEN(ROUND(hurs - normal, 9), 0) AS anomaly FROM (SELECT *, {SLOT365} AS slot FROM daily) AS d
  LEFT JOIN smooth AS s ON s.cell_id = d.cell_id AND s.slot = d.slot""", per_slot=PER_SLOT, smooth=SMOOTH)
 def _(t):
     base = N.smoothed(t.obs, "hurs", ["cell_id"], 1995, 2001)

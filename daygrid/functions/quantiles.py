@@ -6,16 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from daygrid import config
-from daygrid.functions.expr import Value, clip, col
+from daygrid.functions.expr import Value, clip, col, half_even
 
 
 def levels(n: int = config.LEVELS) -> list[float]:
     return [(i + 0.5) / n for i in range(n)]
 
 
+def snapped(array: Value) -> Column:
+    """Entries to nine decimals: interpolating between equal values must give that value,
+    or ties with it would be missed for a last bit."""
+    return F.transform(col(array), lambda v: half_even(v, 9))
+
+
 def quantile_array(value: Value, n: int = config.LEVELS) -> Column:
     """Aggregate: the n quantiles of the known values, linear between ranks; NULL when none."""
-    return F.percentile(col(value), F.array(*[F.lit(v) for v in levels(n)]))
+    return snapped(F.percentile(col(value), F.array(*[F.lit(v) for v in levels(n)])))
+
+
+def quantiles_of_sorted(values: Value, n: int = config.LEVELS) -> Column:
+    """The same quantiles out of a sorted array; NULL for an empty one."""
+    a = col(values)
+    top = F.size(a) - 1
+
+    def at(tau):
+        pos = tau * top
+        i = F.floor(pos).cast("int")
+        part = pos - i
+        return (1.0 - part) * F.get(a, i) + part * F.get(a, F.least(i + 1, top))
+
+    return F.when(F.size(a) > 0, snapped(F.transform(F.array(*[F.lit(v) for v in levels(n)]), at)))
 
 
 def rank_in(value: Value, q: Value) -> Column:

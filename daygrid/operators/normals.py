@@ -64,4 +64,4 @@ def smoothed(daily: DataFrame, name: str, keys: Sequence[str], first_year: int,
 def departure(daily: DataFrame, normal: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     """Each day minus the normal of its slot, as a whole number; a gap stays a gap."""
     met = daily.withColumn("slot", slot365("day")).join(normal, [*keys, "slot"], "left")
-    return met.withColumn("anomaly", half_even(F.col(name) - F.col("normal")).cast("int")).drop("slot")
+    return met.withColumn("anomaly", half_even(half_even(F.col(name) - F.col("normal"), 9)).cast("int")).drop("slot")
