@@ -7,10 +7,10 @@ from daygrid.catalog.q_functions import WET_BULB_SQL
 from daygrid.catalog.q_grid import AT_PLACE, COARSE, FINE, PLACE_PARTS
 from daygrid.catalog.q_sources import VALIDATED
 from daygrid.catalog.q_snow_soil import IN_WINTER, sites, stock_sql
+from daygrid.functions.calendar import snow_year
 from daygrid.operators import grid as G
 from daygrid.operators import records as R
 from daygrid.operators import runs
-from daygrid.operators import snow as S
 from daygrid.plans import days as D
 
 BASELINE = (1996, 2001)
@@ -34,14 +34,21 @@ def first_days(t):
     return t.spark.sql("SELECT * FROM VALUES ('obs', DATE '1995-01-01'), ('sim', DATE '1995-01-01') AS f(source, first_day)")
 
 
-def snow_flags(t, at):
-    return D.snow_at_places(spot_daily(t, at), G.spots(at), first_days(t), BASELINE, "sim", "spot_id")
+def snow_flags(t, at, searches=None):
+    """Flags of every winter, or only of those the searches touch (a stock never outlives its snow year)."""
+    days = spot_daily(t, at)
+    if searches is not None:
+        asked = D.searched_days(searches).join(at.select("place_id", "spot_id"), "place_id")
+        wanted = D.searched_winters(asked, BASELINE, "sim", "spot_id")
+        days = days.withColumn("snow_year", snow_year("day")).join(wanted, ["spot_id", "source", "snow_year"], "left_semi")
+    return D.snow_at_places(days, G.spots(at), first_days(t), BASELINE, "sim", "spot_id")
 
 
 def page_days(t):
     at = located(t)
-    days = D.classified_days(accepted(t, at), at, t.daily, t.daily010, "sim")
-    return D.with_snow(days, snow_flags(t, at))
+    searches = accepted(t, at)
+    days = D.classified_days(searches, at, t.daily, t.daily010, "sim")
+    return D.with_snow(days, snow_flags(t, at, searches))
 
 
 STATUS = f"""SELECT v.* REPLACE (CASE WHEN v.status = 'ok' AND l.place_id IS NULL THEN 'OutsideDomain' ELSE v.status END AS status)

@@ -213,7 +213,7 @@ HOUR_SPEC = {"mean": ("value", "mean", False), "highest": ("value", "max", True)
  SELECT COALESCE(a.cell_id, b.cell_id) AS cell_id, COALESCE(a.day, b.day) AS day, mean, highest, lowest, total
  FROM (SELECT cell_id, CAST(ts AS DATE) AS day, AVG(value) AS mean FROM hourly GROUP BY 1, 2) AS a FULL JOIN
   (SELECT cell_id, CAST(ts - INTERVAL 1 HOUR AS DATE) AS day, MAX(value) AS highest, MIN(value) AS lowest, SUM(value) AS total FROM hourly GROUP BY 1, 2) AS b
-  ON a.cell_id = b.cell_id AND a.day = b.day""", headline=False)
+  ON a.cell_id = b.cell_id AND a.day = b.day""")
 def _(t):
     return H.hourly_to_daily(t.hourly, HOUR_SPEC)
 

@@ -81,8 +81,7 @@ SCORES = """SELECT {by}, AVG(ABS(m-o)) AS error, AVG(m-o) AS bias, CORR(m, o) AS
  CROSS JOIN (VALUES (1.5), (2.0), (3.0), (4.0), (5.0)) AS b(ddf) CROSS JOIN (VALUES (1.0), (2.0), (5.0)) AS c(s0)""",
        **stock_sql("trial", "station_id, ts, ddf, s0", "ts", "ddf"), tw=TRIAL_WINTERS, observed=OBSERVED)
 def _(t):
-    spark = t.spark
-    grid = spark.createDataFrame([(a, b, c) for a in FALLS for b in MELTS for c in LEVELS], "ts double, ddf double, s0 double")
+    grid = [{"ts": a, "ddf": b, "s0": c} for a in FALLS for b in MELTS for c in LEVELS]
     by = ["ts", "ddf", "s0"]
     tried = S.stock(S.trials(t.station_daily, grid), ["station_id", *by], S.Melt("ts", "ddf", "s0"))
     w = S.per_winter(tried, ["station_id", *by])
@@ -99,7 +98,7 @@ def _(t):
        tw=f"""SELECT station_id, snow_year AS winter, g, SUM(CASE WHEN stock >= 2.0 - 0.000000001 THEN 1 ELSE 0 END) AS snow_days FROM stocks WHERE {IN_WINTER} GROUP BY ALL""",
        observed=OBSERVED)
 def _(t):
-    grid = t.spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "g double")
+    grid = [{"g": g} for g in (0.5, 1.0, 2.0)]
     keys = ["station_id", "g"]
     warm = S.ground_term(S.trials(t.station_daily, grid), "g", 20, keys)
     w = S.per_winter(S.stock(warm, keys, S.Melt(mm_per_degree=3.0), extra_melt=F.col("ground_melt")), keys)
@@ -148,7 +147,7 @@ MONTHLY_RATE = "CASE MONTH(day) " + " ".join(
        tw=f"""SELECT station_id, variant, altitude_class, snow_year AS winter, SUM(CASE WHEN stock >= 2.0 - 0.000000001 THEN 1 ELSE 0 END) AS snow_days
  FROM stocks WHERE {IN_WINTER} GROUP BY ALL""", observed=OBSERVED)
 def _(t):
-    variants = t.spark.createDataFrame([("none", 0.0), ("five", 5.0), ("standard", 6.5), ("monthly", None)], "variant string, plain double")
+    variants = [{"variant": n, "plain": v} for n, v in (("none", 0.0), ("five", 5.0), ("standard", 6.5), ("monthly", None))]
     where = t.stations.select("station_id", "cell_id", F.col("elevation").alias("height")).join(
         t.cells.select("cell_id", "elevation"), "cell_id").filter("elevation IS NOT NULL")
     d = S.trials(t.station_daily.join(where, "station_id"), variants)

@@ -220,9 +220,9 @@ def _(t):
  SELECT cell_id, source, CASE WHEN source = 'sim' THEN 'RCM' WHEN eobs THEN 'E-OBS (temperatures), ERA5' ELSE 'ERA5' END AS label
  FROM cells CROSS JOIN (VALUES ('obs'), ('sim')) AS s(source)""")
 def _(t):
-    prov = t.spark.sql("SELECT * FROM VALUES ('obs', 'E-OBS', 'ERA5', 'ERA5'), ('sim', 'RCM', NULL, 'RCM') "
-                       "AS p(source, temperatures, fallback, rest)")
-    return t.cells.crossJoin(F.broadcast(prov)).withColumn("label", R.dataset_label(
+    prov = F.expr("array(struct('obs' AS source, 'E-OBS' AS temperatures, 'ERA5' AS fallback, 'ERA5' AS rest), "
+                  "struct('sim' AS source, 'RCM' AS temperatures, CAST(NULL AS STRING) AS fallback, 'RCM' AS rest))")
+    return t.cells.select("*", F.inline(prov)).withColumn("label", R.dataset_label(
         F.col("temperatures"), F.col("fallback"), F.col("eobs"), F.col("rest")))
 
 

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid.config import MEASURES
+from daygrid.operators.spine import densify
 
 OBS_START, OBS_END = "1995-01-01", "2001-12-31"
 SIM_START, SIM_END = "2027-01-01", "2033-12-31"
+HELD = (("obs", OBS_START, OBS_END), ("sim", OBS_START, OBS_END), ("sim", SIM_START, SIM_END))
 SHIFT_YEARS = 32  # keeps leap years aligned
 REFERENCE = (1995, 2001)
 
@@ -208,14 +210,6 @@ class Tables:
             "SELECT * FROM VALUES ('obs', DATE '1995-01-01', DATE '2001-12-31', 'observed'), "
             "('sim', DATE '2027-01-01', DATE '2033-12-31', 'simulated') AS p(source, first_day, last_day, origin)")
 
-    @cached_property
-    def days_held(self) -> DataFrame:
-        held = self.spark.sql(
-            "SELECT * FROM VALUES ('obs', DATE '1995-01-01', DATE '2001-12-31'), "
-            "('sim', DATE '1995-01-01', DATE '2001-12-31'), "
-            "('sim', DATE '2027-01-01', DATE '2033-12-31') AS p(source, a, b)")
-        return held.select("source", F.explode(F.sequence("a", "b")).alias("day"))
-
     @cached_property
     def cells(self) -> DataFrame:
         ids = self.raw("supplier").select(F.expr("s_suppkey div 4").alias("k")).distinct()
@@ -227,12 +221,11 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        spine = self.cells.select("cell_id").crossJoin(F.broadcast(self.days_held))
         values = self.grown.selectExpr(
             "source", "cell_id", "day", "tasmax_i/100D AS tasmax", "tasmin_i/100D AS tasmin", "tas_i/100D AS tas",
             "pr_i/10D AS pr", "clt_i/100D AS clt", "hurs_i/100D AS hurs", "wind_i/100D AS sfcWind",
             "psl_i/10D AS psl", "rsds_i/10D AS rsds")
-        return spine.join(values, ["source", "cell_id", "day"], "left").select("source", "cell_id", "day", *MEASURES)
+        return densify(values, self.cells, HELD, MEASURES)
 
     @cached_property
     def obs(self) -> DataFrame:

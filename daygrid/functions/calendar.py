@@ -108,18 +108,18 @@ def season_range(name: Value, year: Value, latitude: Value) -> Column:
     return F.struct(first.alias("first_day"), last.alias("last_day"))
 
 
-def season_requests(places: DataFrame, periods: DataFrame, latitude: Value = "lat") -> DataFrame:
-    """Every (season, opening year) a served period holds whole, for each row of ``places``."""
+def season_requests(places: DataFrame, periods: DataFrame, latitude: Value = "lat", first_year: int = config.FIRST_YEAR,
+                    last_year: int = config.LAST_YEAR) -> DataFrame:
+    """Every (season, opening year) a served period holds whole, for each row of ``places``.
+
+    ``periods`` is a handful of disjoint rows: the interval test is a broadcast join."""
     names = F.explode(F.array(*[F.lit(n) for _, n in SEASON_STARTS])).alias("season")
-    years = F.explode(F.sequence(F.year("first_day"), F.year("last_day"))).alias("year")
-    held = periods.select("source", "first_day", "last_day", years).withColumnsRenamed(
-        {"first_day": "held_from", "last_day": "held_to"})
-    return (
-        places.select("*", names).crossJoin(F.broadcast(held))
-        .withColumn("range", season_range("season", "year", latitude))
-        .filter((F.col("range.first_day") >= F.col("held_from")) & (F.col("range.last_day") <= F.col("held_to")))
-        .select(*places.columns, "season", "year", "source", "range.first_day", "range.last_day")
-    )
+    asked = places.select("*", names).withColumn("year", F.explode(F.sequence(F.lit(first_year), F.lit(last_year))))
+    asked = asked.withColumn("range", season_range("season", "year", latitude)).select(
+        *places.columns, "season", "year", "range.first_day", "range.last_day")
+    held = periods.select("source", F.col("first_day").alias("_from"), F.col("last_day").alias("_to"))
+    return asked.join(F.broadcast(held), (F.col("first_day") >= F.col("_from")) & (F.col("last_day") <= F.col("_to"))).select(
+        *places.columns, "season", "year", "source", "first_day", "last_day")
 
 
 def dominant_season(ranges: DataFrame, key: str, latitude: Value = "lat") -> DataFrame:

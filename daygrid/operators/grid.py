@@ -129,17 +129,22 @@ def lifted(name: str, value: Column, lift: Column, day: Column) -> Column:
 
 
 def place_daily(at: DataFrame, coarse: DataFrame, fine: DataFrame, key: str = "place_id") -> DataFrame:
-    """Daily values at places: temperatures of the fine cell where there is one, lifted."""
-    who = at.select(key, "cell_id", "fine_id", "lift")
+    """Daily values at places: temperatures of the fine cell where there is one, lifted.
+
+    The two grids meet once per distinct pair of cells; places (many to a pair)
+    are fanned out from the result by one equi join, where only the lift differs.
+    """
+    no_fine = F.coalesce("fine_id", F.lit(-1)).alias("_f")
+    pairs = at.select("cell_id", no_fine).distinct()
     rest = [c for c in coarse.columns if c not in ("cell_id", "source", "day")]
-    base = who.join(coarse, "cell_id")
-    temps = fine.select("source", "fine_id", "day", *[F.col(n).alias(f"_f_{n}") for n in config.TEMPERATURES])
-    both = base.join(temps, ["fine_id", "source", "day"], "left")
-    picked = {
-        n: lifted(n, F.when(F.col("fine_id").isNotNull(), F.col(f"_f_{n}")).otherwise(F.col(n)), F.col("lift"),
-                  F.col("day"))
-        for n in config.TEMPERATURES}
-    return both.withColumns(picked).select(key, "cell_id", "fine_id", "lift", "source", "day", *rest)
+    temps = fine.select("source", F.col("fine_id").alias("_f"), "day", *[F.col(n).alias(f"_f_{n}") for n in config.TEMPERATURES])
+    site = pairs.join(coarse, "cell_id").join(temps, ["_f", "source", "day"], "left")
+    site = site.withColumns({
+        n: F.when(F.col("_f") >= 0, F.col(f"_f_{n}")).otherwise(F.col(n)) for n in config.TEMPERATURES})
+    who = at.select(key, "cell_id", "fine_id", "lift", no_fine)
+    met = who.join(site, ["cell_id", "_f"])
+    return met.withColumns({n: lifted(n, F.col(n), F.col("lift"), F.col("day")) for n in config.TEMPERATURES}).select(
+        key, "cell_id", "fine_id", "lift", "source", "day", *rest)
 
 
 def capacity(cells: DataFrame, default: float = config.SOIL_CAPACITY_MM) -> DataFrame:
