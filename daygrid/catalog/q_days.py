@@ -1,5 +1,6 @@
 """Queries: classified days of every search, and what a page derives from them."""
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from daygrid.catalog.base import query
@@ -17,7 +18,8 @@ BASELINE = (1996, 2001)
 
 
 def located(t):
-    return G.with_spots(G.place_cells(t.places, t.cells, t.cells010, COARSE, FINE))
+    """Places with their cells and spots; kept, because a page reads it for its status, days, flags and normals."""
+    return G.with_spots(G.place_cells(t.places, t.cells, t.cells010, COARSE, FINE)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def accepted(t, at):
