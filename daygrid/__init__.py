@@ -1 +1,8 @@
 """daygrid: daily gridded climate data on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel whole: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
