@@ -1,9 +1,9 @@
 """BPE by a distinct-word table: texts are split to words, each distinct word is encoded once, ids go back by position.
 
-Texts are dealt to blocks of bounded size. A block sends its distinct words, packed and sorted by hash, to buckets of the
-hash; a bucket encodes each distinct word of all blocks once and answers every block in the order of its request; a block
-then puts the ids in the places of its words. Words travel once per block, never once per position, and texts are moved
-once. Decoding takes pieces by id from a table of the vocabulary and joins their bytes.
+Rows are packed to blocks of bounded size. A block sends its distinct words, packed, to buckets of their hash; a bucket
+encodes each distinct word of all blocks once and answers every block in the order of the hashes; a block then puts the
+ids in the places of its words. Words travel once per block, never once per position, and texts are moved once,
+compressed. Decoding takes pieces by id from a table of the vocabulary and joins their bytes.
 
 A null text is empty: no ids, empty decoded text. Repeated rows stay. Columns of the input stay too, but for ``ids`` and
 ``decoded``, which are replaced. Added tokens of the vocabulary found in a text become their ids, as the tokenizer does.
@@ -18,20 +18,9 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 
 from daygrid.llm import shared, word_ids
 
-BLOCK_BYTES = 16 << 20  # of input files, about
-PACKED = "bucket int, block int, packed binary"
-
-
-def _size(text: str) -> int:
-    number = "".join(c for c in text if c.isdigit())
-    unit = text.strip().lower().removesuffix("b")[-1:]
-    return int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
-
-
-def _blocks(docs: DataFrame) -> int:
-    """Partitions of the scan, or more where these are larger than a block."""
-    split = _size(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
-    return max(1, docs.rdd.getNumPartitions() * max(1, split // BLOCK_BYTES))
+#: Bytes of text in a block and in one packed row of it, about; a longer text is a row of its own.
+BLOCK_BYTES, ROW_BYTES = 24 << 20, 4 << 20
+PACKED = "bucket int, block long, packed binary"
 
 
 def _hashed(splitter, column):
@@ -43,51 +32,83 @@ def _hashed(splitter, column):
         yield a, piece, rows, starts, ends, shared.spans_hashed(piece, starts, ends)
 
 
-def _packed(lengths: np.ndarray, content: bytes) -> bytes:
+def _packed(lengths: np.ndarray, content: np.ndarray) -> bytes:
+    """Lengths in as few bytes as they need, then the content."""
     import zstandard
 
-    body = np.array([len(lengths)], "<u4").tobytes() + lengths.astype("<u4").tobytes() + content
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    wide = 1 if not len(lengths) or lengths.max() < 256 else 4
+    body = np.array([len(lengths), wide], "<u4").tobytes() + lengths.astype(f"<u{wide}").tobytes() + content.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    n = int(raw[:4].view("<u4")[0])
-    return raw[4:4 + 4 * n].view("<u4").astype(np.int64), raw[4 + 4 * n:]
+    n, wide = raw[:8].view("<u4").tolist()
+    return raw[8:8 + wide * n].view(f"<u{wide}").astype(np.int64), raw[8 + wide * n:]
+
+
+def _tables(packs):
+    """The rows of a block, one packed row of it at a time."""
+    import pyarrow as pa
+
+    for pack in packs:
+        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the ids of each whole text as little-endian unsigned 32-bit integers."""
+    """``docs`` with ``ids``: the ids of each whole text as little-endian unsigned 32-bit integers.
+
+    ``docs`` should be read from files or a written table, so that a task that runs again packs the same rows.
+    """
     vocab = word_ids.vocabulary(path)
-    n = _blocks(docs)
+    wide = 2 if vocab["size"] <= 1 << 16 else 4
+    n = max(1, docs.rdd.getNumPartitions())
     bits = max(0, (max(1, n // 8) - 1).bit_length())  # 2 ** bits buckets of words
     kept = [c for c in docs.columns if c != "ids"]
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    dealt = docs.select(block.alias("__block"), *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).repartition(n, "__block")
     out = StructType([docs.schema[c] for c in kept]).add("ids", BinaryType())
 
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, offsets = shared.text_bytes(batch.column(text))
+            for a, b in shared.slices(offsets, ROW_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as to:
+                    to.write_batch(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+                held += int(offsets[b] - offsets[a])
+                if held >= BLOCK_BYTES:
+                    block, held = block + 1, 0
+
+    dealt = docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(pack, "block long, packed binary").repartition(n, "block")
+
     def ask(key, rows):
         import pyarrow as pa
 
-        keys, words = np.zeros(0, np.uint64), np.zeros(0, object)
-        for _, piece, _, starts, ends, hashes in _hashed(word_ids.Splitter(vocab), rows.column("__text")):
-            fresh, at = np.unique(hashes, return_index=True)
-            if len(keys):
-                near = np.minimum(np.searchsorted(keys, fresh), len(keys) - 1)
-                new = keys[near] != fresh
-                fresh, at = fresh[new], at[new]
-            raw = piece.tobytes()
-            more = np.empty(len(at), object)
-            more[:] = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            order = np.argsort(both := np.r_[keys, fresh], kind="stable")
-            keys, words = both[order], np.r_[words, more][order]
+        splitter, keys, words = word_ids.Splitter(vocab), np.zeros(0, np.uint64), np.zeros(0, object)
+        for part in _tables(rows.column("packed")):
+            for _, piece, _, starts, ends, hashes in _hashed(splitter, part.column(text)):
+                fresh, at = np.unique(hashes, return_index=True)
+                if len(keys):
+                    new = keys[np.minimum(np.searchsorted(keys, fresh), len(keys) - 1)] != fresh
+                    fresh, at = fresh[new], at[new]
+                raw = piece.tobytes()
+                more = np.empty(len(at), object)
+                more[:] = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                order = np.argsort(both := np.r_[keys, fresh], kind="stable")
+                keys, words = both[order], np.r_[words, more][order]
         bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         held, firsts = np.unique(bucket, return_index=True)
-        ends = np.r_[firsts[1:], len(keys)]
-        packs = [_packed(np.array([len(w) for w in words[a:b]]), b"".join(words[a:b].tolist())) for a, b in zip(firsts, ends, strict=True)]
-        return pa.table([pa.array(held.astype(np.int32)), pa.array(np.full(len(held), key[0].as_py(), np.int32)), pa.array(packs, pa.binary())],
+        packs = []
+        for a, b in zip(firsts, np.r_[firsts[1:], len(keys)], strict=True):
+            some = sorted(words[a:b].tolist())  # words in order compress well
+            packs.append(_packed(np.array([len(w) for w in some]), np.frombuffer(b"".join(some), np.uint8)))
+        return pa.table([pa.array(held.astype(np.int32)), pa.array(np.full(len(held), key[0].as_py())), pa.array(packs, pa.binary())],
                         ["bucket", "block", "packed"])
 
     def answer(key, rows):
@@ -103,30 +124,31 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         known = word_ids.WordTable(keys, *word_ids.encoded_words(vocab, words))
         packs = []
         for one in np.split(hashes, np.cumsum([len(n) for n, _ in asked])[:-1]):
-            at = np.searchsorted(known.keys, one)
-            packs.append(_packed(known.counts[at], known.ids[shared.ragged(known.firsts[at], known.counts[at])].astype("<u4").tobytes()))
+            at = np.searchsorted(known.keys, np.sort(one))
+            packs.append(_packed(known.counts[at], known.ids[shared.ragged(known.firsts[at], known.counts[at])].astype(f"<u{wide}")))
         return pa.table([rows.column("bucket"), rows.column("block"), pa.array(packs, pa.binary())], ["bucket", "block", "packed"])
 
     def place(key, rows, answers):
         import pyarrow as pa
 
-        order = np.argsort(answers.column("bucket").to_numpy()) if len(answers) else []
-        packs = answers.column("packed").to_pylist()
-        parts = [_unpacked(packs[k]) for k in order]
-        seen = [(a, rows_at, starts, hashes) for a, _, rows_at, starts, _, hashes in _hashed(word_ids.Splitter(vocab), rows.column("__text"))]
-        keys = np.unique(np.concatenate([h for *_, h in seen])) if seen else np.zeros(0, np.uint64)
-        known = word_ids.WordTable(keys, np.concatenate([c for _, c in parts]).view("<u4") if parts else None,
-                                   np.concatenate([n for n, _ in parts]) if parts else None)
-        ids = []
-        for _, rows_at, starts, hashes in seen:
-            flat, counts = known.read(hashes, starts, rows_at)
-            raw, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
-            ids += [raw[e - 4 * c:e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        return pa.table([*(rows.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"])
-
-    asked = dealt.select("__block", "__text").groupBy("__block").applyInArrow(ask, PACKED)
-    answers = asked.groupBy("bucket").applyInArrow(answer, PACKED)
-    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(place, out)
+        packs, splitter = answers.column("packed").to_pylist(), word_ids.Splitter(vocab)
+        parts = [_unpacked(packs[k]) for k in np.argsort(answers.column("bucket").to_numpy())]
+        seen = [[(rows_at, starts, hashes) for _, _, rows_at, starts, _, hashes in _hashed(splitter, part.column(text))]
+                for part in _tables(rows.column("packed"))]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(one[2] for part in seen for one in part)]))
+        known = word_ids.WordTable(keys, *((np.concatenate([c for _, c in parts]).view(f"<u{wide}"), np.concatenate([n for n, _ in parts])) if parts else ()))
+        done = []
+        for part, slices in zip(_tables(rows.column("packed")), seen, strict=True):
+            ids = []
+            for rows_at, starts, hashes in slices:
+                flat, counts = known.read(hashes, starts, rows_at)
+                raw, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+                ids += [raw[e - 4 * c:e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            done.append(pa.table([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"]))
+        return pa.concat_tables(done)
+
+    answers = dealt.groupBy("block").applyInArrow(ask, PACKED).groupBy("bucket").applyInArrow(answer, PACKED)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, out)
 
 
 def _pieces(path: str) -> list[bytes]:
