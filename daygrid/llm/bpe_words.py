@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from daygrid.llm import shared, word_ids
 
 #: Bytes of text in a block and in one packed row of it, about; a longer text is a row of its own.
-BLOCK_BYTES, ROW_BYTES = 24 << 20, 4 << 20
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 2 << 20
 PACKED = "bucket int, block long, packed binary"
 
 
@@ -65,7 +65,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     vocab = word_ids.vocabulary(path)
     wide = 2 if vocab["size"] <= 1 << 16 else 4
     n = max(1, docs.rdd.getNumPartitions())
-    bits = max(0, (max(1, n // 8) - 1).bit_length())  # 2 ** bits buckets of words
+    bits = (2 * n - 1).bit_length()  # 2 ** bits buckets: about as many words in a bucket as in a block
     kept = [c for c in docs.columns if c != "ids"]
     out = StructType([docs.schema[c] for c in kept]).add("ids", BinaryType())
 
@@ -102,7 +102,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 more[:] = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
                 order = np.argsort(both := np.r_[keys, fresh], kind="stable")
                 keys, words = both[order], np.r_[words, more][order]
-        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
         held, firsts = np.unique(bucket, return_index=True)
         packs = []
         for a, b in zip(firsts, np.r_[firsts[1:], len(keys)], strict=True):
