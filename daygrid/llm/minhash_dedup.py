@@ -3,9 +3,10 @@
 Texts with the same shingle set are one class and stand for each other. Classes meet in buckets of equal bands. First
 every member of a bucket is held against the bucket's smallest id; what the signatures let pass is confirmed on the full
 sets, and linked classes are joined to components. Then the members of buckets that still hold several components are
-held against each other, block by block inside tasks, by signatures alone; only pairs of different components that pass
-leave the task, and are confirmed on the full sets too. So no link is lost but by the bands (under 1e-5 for a pair right
-at the threshold) and no bucket is written out as all its pairs.
+held against each other, block by block inside tasks, by their signatures; members that pass with one of another
+component get their texts, and such pairs are confirmed on the full sets in the same blocks. What leaves a task is a
+spanning set of its links, never its pairs. So no link is lost but by the bands (under 1e-5 for a pair right at the
+threshold) and no bucket is written out as all its pairs.
 
 Words are parted by white space, A-Z in lower case. A text with fewer words than a shingle has one shingle, the whole
 sequence; one without words (or null) has none and is linked with nothing. Rows of one ``doc_id`` are one document. A
@@ -26,7 +27,7 @@ from daygrid.llm.components import components
 WORDS, PERCENT = 5, 80
 BANDS, MISS = 32, 1e-5
 ROWS_AT_ONCE = 1024
-BLOCK = 2048  # members of a bucket held against each other in one task
+BLOCK = 1024  # members of a bucket held against each other in one task
 SET_BITS = 54
 #: Most ids sent to all executors to pick their texts; beyond that they are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -121,6 +122,16 @@ def pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, docs["doc_id"] == F.col("__id"), how)
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(few) or 100 * len(few) < percent * len(many):
+        return False
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    common = int((many[at] == few).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b), a written table, whose full shingle sets are similar enough.
 
@@ -144,16 +155,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             for k in range(n):
                 sets.setdefault(int(names[first + k]), []).append(held[offsets[k]:offsets[k + 1]])
 
-        def linked(x, y):
-            few, many = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(few) or 100 * len(few) < percent * len(many):
-                return False
-            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-            common = int((many[at] == few).sum())
-            return 100 * common >= percent * (len(x) + len(y) - common)
-
         a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        good = [any(linked(x, y) for x in sets.get(u, ()) for y in sets.get(v, ())) for u, v in zip(a, b, strict=True)]
+        good = [any(alike(x, y, percent) for x in sets.get(u, ()) for y in sets.get(v, ())) for u, v in zip(a, b, strict=True)]
         return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return texts.groupBy("deal").cogroup(dealt.withColumnRenamed("deal", "of").groupBy("of")).applyInArrow(check, "a long, b long")
@@ -175,61 +178,102 @@ def _alike(pairs: DataFrame, signs: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
 
 
-def _inside(members: DataFrame, signs: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of one bucket, of different components, whose signatures agree; a pair comes from the first of its
-    buckets only. Large buckets are cut to blocks, and two blocks meet in one task."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets (bucket, doc, size, component) dealt to pairs of blocks of at most about ``BLOCK`` members."""
     block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", block) \
+    return members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", block) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "component")
-    rows = rows.join(signs.select("doc", "keys", "sig"), "doc").select("bucket", "x", "y", "block", "doc", "component", "keys", "sig") \
-        .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc")
 
-    def compare(bucket, x, y, block, doc, component, keys, sig):
-        found = []
-        for i in range(len(doc) - 1):
-            other = component[i + 1:] != component[i]
-            if x != y:
-                other &= block[i + 1:] != block[i]
-            at = np.flatnonzero(other) + i + 1
-            at = at[(sig[at] == sig[i]).sum(1) >= least]
-            if len(at):
-                same = keys[at] == keys[i]
-                first = keys[i][same.argmax(1)] == bucket
-                found += [(int(doc[i]), int(doc[j])) for j in at[first]]
-        return found
 
+def _by_group(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (bucket, x, y), streamed in order: a task holds one group at a time."""
     def stream(batches):
         import pyarrow as pa
 
         held = None
-        names = ["bucket", "x", "y", "block", "doc", "component", "keys", "sig"]
-
-        def groups(table, whole):
-            """Pairs of the finished groups, and the rows of the last one unless ``whole``."""
-            flat = [table.column(n).to_numpy() for n in names[:6]]
-            cut = np.flatnonzero((flat[0][1:] != flat[0][:-1]) | (flat[1][1:] != flat[1][:-1]) | (flat[2][1:] != flat[2][:-1])) + 1
-            edges = [0, *cut.tolist(), len(table)]
-            keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(table), -1)
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
-            found = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            flat = [table.column(n).to_numpy() for n in ("bucket", "x", "y")]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in flat], axis=0)) + 1
+            edges = [0, *cut.tolist()]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1 and (whole or b < len(table)):
-                    found += compare(flat[0][a], flat[1][a], flat[2][a], flat[3][a:b], flat[4][a:b], flat[5][a:b], keys[a:b], sig[a:b])
-            rest = None if whole else table.slice(edges[-2])
-            out = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"]), rest
+                if b - a > 1:
+                    yield from work(table.slice(a, b - a)).to_batches()
+            held = table.slice(edges[-1])
+        if held is not None and len(held) > 1:
+            yield from work(held).to_batches()
+
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc").mapInArrow(stream, schema)
+
+
+def _passing(table, least: int):
+    """(i, places) of a group: members of other components, after i, whose signature agrees with that of i; a pair is
+    told in the first of its buckets only."""
+    x, y, bucket = (table.column(n)[0].as_py() for n in ("x", "y", "bucket"))
+    block, component = table.column("block").to_numpy(), table.column("component").to_numpy()
+    keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(table), -1)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+    for i in range(len(table) - 1):
+        other = component[i + 1:] != component[i]
+        if x != y:
+            other &= block[i + 1:] != block[i]
+        at = np.flatnonzero(other) + i + 1
+        at = at[(sig[at] == sig[i]).sum(1) >= least]
+        if len(at):
+            at = at[keys[i][(keys[at] == keys[i]).argmax(1)] == bucket]
+        if len(at):
+            yield i, at
+
+
+def _inside(members: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int, least: int) -> DataFrame:
+    """Links between members of one bucket that were in different components: a spanning set of each block's links."""
+    schema = "bucket long, x long, y long, block long, doc long, component long, keys array<long>, sig binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def likely(table):
+        import pyarrow as pa
 
-        for batch in batches:
-            if len(batch):
-                table = pa.Table.from_batches([batch])
-                table = table if held is None else pa.concat_tables([held, table])
-                out, held = groups(table.combine_chunks(), False)
-                yield out
-        if held is not None:
-            yield groups(held.combine_chunks(), True)[0]
+        found = np.zeros(len(table), bool)
+        for i, at in _passing(table, least):
+            found[i] = True
+            found[at] = True
+        return table.select(names).filter(pa.array(found))
 
-    return rows.mapInArrow(stream, "a long, b long")
+    def linked(table):
+        import pyarrow as pa
+
+        sets: list[np.ndarray] = []
+        for _, n, offsets, held in shingle_sets(table.column("text"), words):
+            sets += [held[offsets[k]:offsets[k + 1]] for k in range(n)]
+        doc = table.column("doc").to_numpy()
+        root = list(range(len(table)))
+
+        def top(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        found = []
+        for i, at in _passing(table, least):
+            for j in at:
+                a, b = top(i), top(int(j))
+                if a != b and alike(sets[i], sets[j], percent):
+                    root[b] = a
+                    found.append((int(doc[i]), int(doc[j])))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    dealt = _blocks(members).join(signs.select("doc", "keys", "sig"), "doc").select(*names)
+    rows = shared.written(_by_group(dealt, likely, schema), "likely")
+    ids = shared.written(rows.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    texts = pick(docs.select("doc_id", "text"), ids, "left_semi")
+    rows = rows.join(texts, F.col("doc") == F.col("doc_id")).select(*names, "text")
+    return _by_group(rows, linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -251,8 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rest = members.filter("size > 2 AND doc <> first").join(joined, F.col("doc") == F.col("node"), "left") \
         .select("bucket", "doc", "size", F.coalesce("component", "doc").alias("component"))
     several = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    more = shared.written(_inside(rest.join(several, "bucket"), signs, least), "pairs")
-    more = shared.written(confirmed(more, docs, words, percent), "confirmed")
+    more = shared.written(_inside(rest.join(several, "bucket"), signs, docs, words, percent, least), "confirmed")
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     ids = signed.select("doc_id", "n_shingles", "set_hash")
     grouped = ids.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL") \
