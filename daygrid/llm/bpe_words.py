@@ -19,7 +19,7 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from daygrid.llm import shared, word_ids
 
 #: Bytes of text in a block and in one packed row of it, about; a longer text is a row of its own.
-BLOCK_BYTES, ROW_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, ROW_BYTES = 6 << 20, 2 << 20
 PACKED = "bucket int, block long, packed binary"
 
 
@@ -57,8 +57,8 @@ def _tables(packs):
         yield pa.ipc.open_stream(pack.as_buffer()).read_all()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the ids of each whole text as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``ids``: the ids of each whole text as little-endian unsigned 32-bit integers.
 
     ``docs`` should be read from files or a written table, so that a task that runs again packs the same rows.
     """
@@ -66,7 +66,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     wide = 2 if vocab["size"] <= 1 << 16 else 4
     n = max(1, docs.rdd.getNumPartitions())
     bits = (2 * n - 1).bit_length()  # 2 ** bits buckets: about as many words in a bucket as in a block
-    kept = [c for c in docs.columns if c != "ids"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    sent = list(dict.fromkeys([*kept, text]))
     out = StructType([docs.schema[c] for c in kept]).add("ids", BinaryType())
 
     def pack(batches):
@@ -84,8 +85,9 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 held += int(offsets[b] - offsets[a])
                 if held >= BLOCK_BYTES:
                     block, held = block + 1, 0
+            shared.give_back()
 
-    dealt = docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(pack, "block long, packed binary").repartition(n, "block")
+    dealt = docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(pack, "block long, packed binary").repartition(n, "block")
 
     def ask(key, rows):
         import pyarrow as pa
@@ -108,6 +110,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for a, b in zip(firsts, np.r_[firsts[1:], len(keys)], strict=True):
             some = sorted(words[a:b].tolist())  # words in order compress well
             packs.append(_packed(np.array([len(w) for w in some]), np.frombuffer(b"".join(some), np.uint8)))
+        del keys, words
+        shared.give_back()
         return pa.table([pa.array(held.astype(np.int32)), pa.array(np.full(len(held), key[0].as_py())), pa.array(packs, pa.binary())],
                         ["bucket", "block", "packed"])
 
@@ -126,6 +130,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for one in np.split(hashes, np.cumsum([len(n) for n, _ in asked])[:-1]):
             at = np.searchsorted(known.keys, np.sort(one))
             packs.append(_packed(known.counts[at], known.ids[shared.ragged(known.firsts[at], known.counts[at])].astype(f"<u{wide}")))
+        del known, hashes, keys, words, raw, data
+        shared.give_back()
         return pa.table([rows.column("bucket"), rows.column("block"), pa.array(packs, pa.binary())], ["bucket", "block", "packed"])
 
     def place(key, rows, answers):
@@ -145,6 +151,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 raw, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
                 ids += [raw[e - 4 * c:e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             done.append(pa.table([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"]))
+        del seen, known, keys, ids, parts
+        shared.give_back()
         return pa.concat_tables(done)
 
     answers = dealt.groupBy("block").applyInArrow(ask, PACKED).groupBy("bucket").applyInArrow(answer, PACKED)
@@ -190,5 +198,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 ends = np.r_[0, np.cumsum(sizes)][(offsets[a:b + 1] - offsets[a]) // 4].tolist()
                 texts += [raw[s:e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(texts, pa.string())], [*kept, decoded])
+            del batch, column, offsets, data, texts
+            shared.give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(joined, out)

@@ -39,6 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the system, so that idle workers of an executor hold little."""
+    import contextlib
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucket_of(column: str, n: int):
     """crc32 of the decimal text of an id, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
