@@ -237,7 +237,7 @@ def _(t):
     f = t.daily010.withColumnRenamed("fine_id", "cell_id").drop("eobs")
     sim = f.filter("source = 'sim' AND day < DATE '2002-01-01'")
     cal = Q.calibrate(values(f.filter("source = 'obs'"), "tas"), values(sim, "tas"), ADD, N)
-    out = Q.correct(values(sim, "tas"), cal, ADD, 1995, 2001, None, N)
+    out = Q.correct_by_group(values(sim, "tas"), cal, ADD, 1995, 2001, None, N)
     return out.groupBy("cell_id", F.month("day").alias("month")).agg(
         F.count("value").alias("days"), F.avg("corrected").alias("corrected"))
 

@@ -34,7 +34,8 @@ def _(t):
 @query("cal7_display_seasons", "search_id:i season:s days_in_season:i title:s", """
  SELECT search_id, season, n AS days_in_season, CASE WHEN MONTH(first_day)*100+DAY(first_day) IN (321, 621, 921, 1221)
    AND last_day = CAST(CAST(first_day + INTERVAL 3 MONTH AS DATE) - 1 AS DATE)
-   THEN opens || ' ' || YEAR(first_day) ELSE CAST(first_day AS VARCHAR) || ' / ' || CAST(last_day AS VARCHAR) END AS title
+   THEN CASE MONTH(first_day) WHEN 3 THEN 'spring' WHEN 6 THEN 'summer' WHEN 9 THEN 'autumn' ELSE 'winter' END || ' ' || YEAR(first_day)
+    || CASE WHEN MONTH(first_day) = 12 THEN '-' || (YEAR(first_day) + 1) ELSE '' END ELSE CAST(first_day AS VARCHAR) || ' / ' || CAST(last_day AS VARCHAR) END AS title
  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY search_id ORDER BY n DESC, latest DESC) AS k FROM (
   SELECT search_id, first_day, last_day, opens, season, COUNT(*) AS n, MAX(day) AS latest FROM (
    SELECT search_id, first_day, last_day, day, CASE WHEN south THEN o ELSE s END AS season, CASE WHEN south THEN o1 ELSE s1 END AS opens FROM (
@@ -48,7 +49,7 @@ def _(t):
 def _(t):
     s = t.searches.withColumn("lat", F.expr("if(place_id % 4 = 0, -45D, 45D)"))
     best = C.dominant_season(s, "search_id")
-    return best.join(s, "search_id").withColumn("title", C.season_title("first_day", "last_day", "lat"))
+    return best.join(s, "search_id").withColumn("title", C.season_title("first_day", "last_day"))
 
 
 @query("cal7_season_requests", "place_id:i season:s year:i source:s first_day:d last_day:d", """
@@ -77,14 +78,14 @@ def _(t):
 
 
 @query("cal11_season_titles", "place_id:i season:s year:i title:s", """
- SELECT place_id, season, year, season || ' ' || year AS title FROM (
+ SELECT place_id, season, year, season || ' ' || year || CASE WHEN season = 'winter' THEN '-' || (year + 1) ELSE '' END AS title FROM (
   SELECT place_id, season, y AS year FROM (
    SELECT place_id, first_day AS f, last_day AS l, UNNEST(GENERATE_SERIES(YEAR(first_day), YEAR(last_day))) AS y, season, m
    FROM places CROSS JOIN periods CROSS JOIN (VALUES ('spring', 3), ('summer', 6), ('autumn', 9), ('winter', 12)) AS s(season, m)) AS x
   WHERE MAKE_DATE(y, m, 21) >= f AND CAST(CAST(MAKE_DATE(y, m, 21) + INTERVAL 3 MONTH AS DATE) - 1 AS DATE) <= l) AS z""")
 def _(t):
     r = C.season_requests(t.places.select("place_id", "lat"), t.periods)
-    return r.withColumn("title", C.season_title("first_day", "last_day", F.lit(45.0)))
+    return r.withColumn("title", C.season_title("first_day", "last_day"))
 
 
 @query("scal1_ordered_extremes", "source:s cell_id:i day:d tasmin:2 tasmax:2", """

@@ -1,5 +1,7 @@
 """Queries: places and cells, remapping, neighbours, regions."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from daygrid.catalog.base import query
@@ -175,24 +177,37 @@ def _(t):
     return P.in_region(t.cells, t.ring_edges)
 
 
+# Stations of some years lie far away: three degrees off the grid, and across the 180th meridian.
+FAR_STATIONS = """SELECT station_id, first_year, last_year, elevation, CASE WHEN station_id % 4 = 1 THEN lat - 3.0 ELSE lat END AS lat,
+  CASE WHEN station_id % 4 = 3 THEN -lon ELSE lon END AS lon FROM stations"""
+
+
+def far_stations(t):
+    return t.stations.withColumns({"lat": F.expr("if(station_id % 4 = 1, lat - 3.0D, lat)"), "lon": F.expr("if(station_id % 4 = 3, -lon, lon)")})
+
+
 @query("join15_stations_around", "cell_id:i year:i nearest_km:3 stations:i height_gap:3", """
+ SELECT w.cell_id, w.year, nearest_km, COALESCE(stations, 0) AS stations, height_gap FROM (
+  SELECT cell_id, y AS year FROM cells CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1994, 2002)) AS y) AS years) AS w LEFT JOIN (
  SELECT cell_id, y AS year, MIN(km) AS nearest_km, COUNT(CASE WHEN km <= 25 THEN 1 END) AS stations, AVG(CASE WHEN km <= 25 THEN se - ce END) AS height_gap
  FROM (SELECT c.cell_id, c.elevation AS ce, s.elevation AS se, first_year, last_year, """
-       + KM.format(a="c.lat", b="c.lon", c="s.lat", d="s.lon") + """ AS km FROM cells AS c CROSS JOIN stations AS s) AS p
- CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1994, 2002)) AS y) AS years WHERE km <= 200 AND y BETWEEN first_year AND last_year GROUP BY 1, 2""")
+       + KM.format(a="c.lat", b="c.lon", c="s.lat", d="s.lon") + """ AS km FROM cells AS c CROSS JOIN far AS s) AS p
+ CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1994, 2002)) AS y) AS years WHERE y BETWEEN first_year AND last_year GROUP BY 1, 2) AS n
+ ON n.cell_id = w.cell_id AND n.year = w.year""", far=FAR_STATIONS)
 def _(t):
     years = t.spark.range(1994, 2003).select(F.col("id").alias("year"))
-    return N.stations_around(t.cells, t.stations, years)
+    return N.stations_around(t.cells, far_stations(t), years)
 
 
+# Every seventh station is far from any valid cell.
 @query("join16_station_cell", "station_id:i fine_id:f", """
- SELECT s.station_id, fine_id FROM stations AS s LEFT JOIN (SELECT station_id, fine_id FROM (SELECT s.station_id, f.fine_id, ROW_NUMBER() OVER (
+ SELECT station_id, fine_id FROM (SELECT s.station_id, f.fine_id, ROW_NUMBER() OVER (
    PARTITION BY s.station_id ORDER BY FLOOR((POW(f.lat-s.lat, 2) + POW((f.lon-s.lon)*COS(RADIANS(s.lat)), 2))*1000000000 + 0.5), f.i, f.j) AS k
-  FROM stations AS s JOIN cells010 AS f ON f.domain AND ABS(f.i - CEIL((46.0 - s.lat)/0.1 - 0.5)) <= 2 AND ABS(f.j - CEIL((s.lon - 5.0)/0.1 - 0.5)) <= 2) AS x WHERE k = 1) AS n
-  ON n.station_id = s.station_id""")
+  FROM away AS s CROSS JOIN cells010 AS f WHERE f.domain) AS x WHERE k = 1""",
+       away="SELECT station_id, CASE WHEN station_id % 7 = 0 THEN lat + 1.5 ELSE lat END AS lat, CASE WHEN station_id % 7 = 1 THEN lon - 4.0 ELSE lon END AS lon FROM stations")
 def _(t):
-    best = G.locate_fine(t.stations, t.cells010, FINE, "station_id", reach=2, radius=None)
-    return t.stations.select("station_id").join(best, "station_id", "left")
+    away = t.stations.withColumns({"lat": F.expr("if(station_id % 7 = 0, lat + 1.5D, lat)"), "lon": F.expr("if(station_id % 7 = 1, lon - 4.0D, lon)")})
+    return G.nearest_fine(away, t.cells010, FINE, "station_id")
 
 
 @query("val23_best_altitude", "station_id:i near_id:i gap:1", """
@@ -280,10 +295,28 @@ def _(t):
     return out
 
 
+# The European equal-area projection of the GRS80 ellipsoid, inverted in closed and series form; constants worked out here.
+E = math.sqrt(2/298.257222101 - 298.257222101**-2)
+QP, Q0 = ((1 - E*E)*(p/(1 - E*E*p*p) - math.log((1 - E*p)/(1 + E*p))/(2*E)) for p in (1.0, math.sin(math.radians(52))))
+RQ, B0 = 6378137.0*math.sqrt(QP/2), math.asin(Q0/QP)
+DD = 6378137.0*math.cos(math.radians(52))/math.sqrt(1 - (E*math.sin(math.radians(52)))**2)/(RQ*math.cos(B0))
+RASTER = f"""SELECT CAST(p_retailprice AS DOUBLE) - 97*FLOOR(CAST(p_retailprice AS DOUBLE)/97) - 20 AS water, p_size - 5 AS depth,
+  (3930000 + 2000*(p_partkey//40) - 4321000)/{DD!r} AS dx, (2440000 + 3000*(p_partkey % 40) - 3210000)*{DD!r} AS dy FROM part"""
+UNPROJECTED = f"""SELECT *, DEGREES(ASIN(sb)) AS beta FROM (SELECT *, COS(c)*{math.sin(B0)!r} + dy*SIN(c)*{math.cos(B0)!r}/rho AS sb FROM (
+  SELECT *, 2*ASIN(rho/{2*RQ!r}) AS c FROM (SELECT *, SQRT(dx*dx + dy*dy) AS rho FROM raster) AS a) AS b) AS d"""
+PIXELS = f"""SELECT water, depth, CAST(ROUND_EVEN((46.0 - lat)/0.25, 0) AS BIGINT) AS "row", CAST(ROUND_EVEN((lon - 5.0)/0.25, 0) AS BIGINT) AS col FROM (
+ SELECT *, beta + DEGREES({E**2/3 + 31*E**4/180 + 517*E**6/5040!r}*SIN(2*RADIANS(beta)) + {23*E**4/360 + 251*E**6/3780!r}*SIN(4*RADIANS(beta))
+   + {761*E**6/45360!r}*SIN(6*RADIANS(beta))) AS lat,
+  10.0 + DEGREES(ATAN2(dx*SIN(c), rho*{math.cos(B0)!r}*COS(c) - dy*{math.sin(B0)!r}*SIN(c))) AS lon FROM unprojected) AS g"""
+
+
 # A raster of one pixel to each part, about 1 km apart, in the European projection.
-@query("join13_zonal_mean", "cell_id:i pixels:i water:4 water_pixels:i water_share:4 depth:4")
+@query("join13_zonal_mean", "cell_id:i pixels:i mask_pixels:i mask_share:4 water:4 depth:4", """
+ SELECT cell_id, COUNT(*) AS pixels, COUNT(CASE WHEN water > 0 THEN 1 END) AS mask_pixels, COUNT(CASE WHEN water > 0 THEN 1 END)/COUNT(*) AS mask_share,
+  AVG(CASE WHEN water > 0 THEN water END) AS water, AVG(CASE WHEN water > 0 THEN depth END) AS depth FROM pixels JOIN cells USING ("row", col) GROUP BY cell_id""",
+       raster=RASTER, unprojected=UNPROJECTED, pixels=PIXELS)
 def _(t):
     raster = t.raw("part").selectExpr(
         "p_partkey", "3930000D + 2000D*(p_partkey div 40) AS x", "2440000D + 3000D*(p_partkey % 40) AS y",
         "p_retailprice % 97 - 20D AS water", "p_size - 5D AS depth")
-    return M.zonal(raster, t.cells, COARSE, ["water", "depth"], F.col("x"), F.col("y"))
+    return M.zonal(raster, t.cells, COARSE, ["water", "depth"], F.col("x"), F.col("y"), "water")

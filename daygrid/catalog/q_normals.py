@@ -204,7 +204,8 @@ PEAKS = """SELECT request, epoch, ARG_MAX(year, hk) AS hot_year, ARG_MAX(day, hk
   SELECT *, CASE WHEN tasmax IS NOT NULL THEN (ROUND(tasmax*100) + 100000)*1000000000.0 + year*100000.0 + (50000 - DATE_DIFF('day', DATE '1990-01-01', day)) END AS hk,
    CASE WHEN tasmin IS NOT NULL THEN (100000 - ROUND(tasmin*100))*1000000000.0 + year*100000.0 + (50000 - DATE_DIFF('day', DATE '1990-01-01', day)) END AS ck,
    """ + EPOCH_SQL + """ AS epoch FROM season_days) AS d GROUP BY 1, 2"""
-KIND_PARTS = dict(seasoned=SEASONED, season_days=SEASON_DAYS, season_figs=SEASON_FIGS, kinds=KINDS, peaks=PEAKS)
+SERVED_FIGS = "SELECT * REPLACE (ROUND_EVEN(v, 1) AS v) FROM season_figs"
+KIND_PARTS = dict(seasoned=SEASONED, season_days=SEASON_DAYS, season_figs=SEASON_FIGS, served_figs=SERVED_FIGS, kinds=KINDS, peaks=PEAKS)
 
 
 def season_table(t):
@@ -237,20 +238,22 @@ def _(t):
 
 
 @query("kind4_records", "request:i epoch:s record_year:i record_value:3", """
- SELECT request, epoch, year AS record_year, v AS record_value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request, epoch ORDER BY v DESC, year DESC) AS q FROM season_figs) AS x WHERE q = 1""",
+ SELECT request, epoch, year AS record_year, v AS record_value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request, epoch ORDER BY v DESC, year DESC) AS q FROM served_figs) AS x WHERE q = 1""",
        **KIND_PARTS)
 def _(t):
     return Y.records(season_kinds(t), "request")
 
 
-@query("kind4_another_of_kind", "request:i epoch:s kind:s year:i")
+@query("kind4_another_of_kind", "request:i epoch:s kind:s year:i", """
+ SELECT request, epoch, kind, year FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request, epoch, kind ORDER BY MD5('0:' || request || ':' || epoch || ':' || year)) AS pick
+  FROM kinds WHERE year <> 1997) AS x WHERE pick = 1""", **KIND_PARTS)
 def _(t):
     return Y.another(season_kinds(t), "request", F.lit(1997))
 
 
 @query("kind5_typical_year", "request:i year:i value:3 mean:3", """
  SELECT request, year, v AS value, m AS mean FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request ORDER BY FLOOR(ABS(v - m)*1000000000 + 0.5), year DESC) AS q FROM (
-  SELECT *, AVG(v) OVER (PARTITION BY request) AS m, COUNT(*) OVER (PARTITION BY request) AS n FROM season_figs WHERE year BETWEEN 2027 AND 2033) AS a WHERE n >= 5 AND year <> 2030) AS b WHERE q = 1""",
+  SELECT *, AVG(v) OVER (PARTITION BY request) AS m, COUNT(*) OVER (PARTITION BY request) AS n FROM served_figs WHERE year BETWEEN 2027 AND 2033) AS a WHERE n >= 5 AND year <> 2030) AS b WHERE q = 1""",
        **KIND_PARTS)
 def _(t):
     return Y.typical(season_kinds(t), "request", 2027, 2033, F.lit(2030), 5)
@@ -260,7 +263,7 @@ def _(t):
  SELECT request, epoch, CASE WHEN year = 2033 THEN CASE WHEN winter THEN 'coldestDay' ELSE 'hottestDay' END WHEN winter THEN 'coldRecord' ELSE 'record' END AS kind,
   CASE WHEN year = 2033 THEN CASE WHEN winter THEN cold_year ELSE hot_year END ELSE year END AS year, CASE WHEN year = 2033 THEN CASE WHEN winter THEN cold_day ELSE hot_day END END AS day,
   CASE WHEN year = 2033 THEN CASE WHEN winter THEN ROUND_EVEN(cold_value, 1) ELSE ROUND_EVEN(hot_value, 1) END ELSE v END AS value FROM (
-  SELECT f.*, season = 'winter' AS winter, ROW_NUMBER() OVER (PARTITION BY request ORDER BY CASE WHEN season = 'winter' THEN -v ELSE v END DESC, year DESC) AS q FROM season_figs AS f
+  SELECT f.*, season = 'winter' AS winter, ROW_NUMBER() OVER (PARTITION BY request ORDER BY CASE WHEN season = 'winter' THEN -v ELSE v END DESC, year DESC) AS q FROM served_figs AS f
   WHERE epoch = CASE WHEN season = 'winter' THEN 'old' ELSE 'future' END) AS x JOIN peaks USING (request, epoch) WHERE q = 1""", **KIND_PARTS)
 def _(t):
     r = season_table(t).select("request", "season", F.lit(2033).alias("shown_year"), F.lit(None).cast("string").alias("shown_kind"))

@@ -152,8 +152,8 @@ def _(t):
 
 @query("val9_random_half_floor", "cell_id:i month:i w1:3")
 def _(t):
-    o = values(t.obs, "tas")
-    st = S.stack(ref=o.filter(~S.half_of_years()), half=o.filter(S.half_of_years()))
+    o = S.half_of_years(values(t.obs, "tas"))
+    st = S.stack(ref=o.filter("NOT half").drop("half"), half=o.filter("half").drop("half"))
     return S.wasserstein(S.quantile_rows(st, N), "ref", N)
 
 
@@ -237,7 +237,7 @@ def _(t):
 
 
 DIST = "SELECT cell_id, MIN(km) AS nearest FROM (SELECT c.cell_id, " + KM.format(a="c.lat", b="c.lon", c="s.lat", d="s.lon") + """ AS km FROM cells AS c CROSS JOIN stations AS s
- WHERE s.first_year <= 1998 AND s.last_year >= 1998) AS x WHERE km <= 200 GROUP BY 1"""
+ WHERE s.first_year <= 1998 AND s.last_year >= 1998) AS x GROUP BY 1"""
 
 
 @query("val17_by_distance", "variable:s class:i mean:3 sd:3 cells:i", """

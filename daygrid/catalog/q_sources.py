@@ -242,14 +242,12 @@ def _(t):
     return R.validate(t.searches, t.periods)
 
 
-@query("filt4_always_valid", "source:s cell_id:i year:i", """
- SELECT source, cell_id, YEAR(day) AS year FROM (SELECT * FROM daily WHERE MONTH(day) = 6) AS d GROUP BY 1, 2, 3
- HAVING COUNT(*) = SUM(CASE WHEN COALESCE(tas, 99) > -99 THEN 1 ELSE 0 END) AND COUNT(tas) >= 0.5*COUNT(*)""")
+# A third of the cells have no gap.
+@query("filt4_always_valid", "source:s cell_id:i", """
+ SELECT source, cell_id FROM (SELECT source, cell_id, CASE WHEN cell_id % 3 = 0 THEN COALESCE(tas, 0) ELSE tas END AS tas FROM daily) AS d GROUP BY 1, 2
+ HAVING BOOL_AND(tas IS NOT NULL)""")
 def _(t):
-    june = t.daily.filter("month(day) = 6").withColumn("year", F.year("day"))
-    known = june.withColumn("filled", F.coalesce("tas", F.lit(99.0)))
-    keys = ["source", "cell_id", "year"]
-    return R.always_valid(known, "filled", keys).join(R.enough(june, "tas", 0.5, keys), keys, "left_semi")
+    return R.always_valid(t.daily.withColumn("tas", F.expr("if(cell_id % 3 = 0, coalesce(tas, 0D), tas)")), "tas")
 
 
 @query("filt5_enough_days", "source:s cell_id:i winter_year:i rows:i valid:i scale:4", """

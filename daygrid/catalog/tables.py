@@ -77,7 +77,7 @@ PRELUDE["cells"] = """
   CASE WHEN k % 25 <> 6 THEN 15.0 + 5*(k % 4) END AS capacity
  FROM (SELECT DISTINCT s_suppkey // 4 AS k FROM supplier) AS ids"""
 
-PRELUDE["daily"] = """
+PRELUDE["daily"] = """MATERIALIZED 
  SELECT d.source, c.cell_id, d.day, tasmax_i/100.0 AS tasmax, tasmin_i/100.0 AS tasmin, tas_i/100.0 AS tas,
   pr_i/10.0 AS pr, clt_i/100.0 AS clt, hurs_i/100.0 AS hurs, wind_i/100.0 AS sfcWind, psl_i/10.0 AS psl,
   rsds_i/10.0 AS rsds
@@ -132,6 +132,10 @@ PRELUDE["station_daily"] = """
   CAST(SUM(CAST(ROUND(l_tax*100) AS BIGINT)) AS BIGINT) // COUNT(*) AS depth
  FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)"""
 
+# Every day of the observed years at every station; most have no report.
+PRELUDE["station_days"] = """MATERIALIZED SELECT s.station_id, d.day, tas, pr, depth
+ FROM stations AS s CROSS JOIN (SELECT day FROM days_held WHERE source = 'obs') AS d LEFT JOIN station_daily AS r ON r.station_id = s.station_id AND r.day = d.day"""
+
 PRELUDE["hourly"] = """
  SELECT user_id // 6 AS cell_id, ts, value, value/10.0 - 10.0 AS t2m, value/12.0 - 12.0 AS d2m,
   (event_id % 21) - 10.0 AS u10, (event_id % 17) - 8.0 AS v10, 100000.0 - event_id % 500 AS sp,
@@ -294,6 +298,11 @@ class Tables:
             "((q*40) div n)/100D - 10D + if(month(day) IN (5,6,7,8,9), 12D, 0D) AS tas",
             "((a*10) div n)/10D AS pr", "b div n AS depth")
 
+    @cached_property
+    def station_days(self) -> DataFrame:
+        held = self.station_daily.withColumn("source", F.lit("obs"))
+        return densify(held, self.stations, HELD[:1], ("tas", "pr", "depth"), "station_id").drop("source")
+
     @cached_property
     def hourly(self) -> DataFrame:
         return self.raw("events").selectExpr(

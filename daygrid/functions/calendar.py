@@ -134,13 +134,17 @@ def dominant_season(ranges: DataFrame, key: str, latitude: Value = "lat") -> Dat
     )
 
 
-def season_title(first_day: Value, last_day: Value, latitude: Value) -> Column:
-    """"summer 2075" where the range is one display season exactly, else its two dates."""
+def season_title(first_day: Value, last_day: Value) -> Column:
+    """"summer 2075" or "winter 2080-2081" where the range is one season of the northern calendar exactly, else its two dates."""
     a, b = col(first_day), col(last_day)
-    name = display_season(a, latitude)
-    whole = season_range(name, F.year(a), latitude)
-    exact = (whole["first_day"] == a) & (whole["last_day"] == b)
-    return F.when(exact, F.concat_ws(" ", name, F.year(a).cast("string"))).otherwise(
+    names = dict(zip((3, 6, 9, 12), ("spring", "summer", "autumn", "winter")))
+    name = F.lit(None).cast("string")
+    for month, season_name in names.items():
+        name = F.when(F.month(a) == month, season_name).otherwise(name)
+    year = F.year(a)
+    years = F.when(F.month(a) == 12, F.concat_ws("-", year, year + 1)).otherwise(year.cast("string"))
+    exact = (F.dayofmonth(a) == 21) & (F.month(a) % 3 == 0) & (b == F.date_sub(F.add_months(a, 3), 1))
+    return F.when(exact, F.concat_ws(" ", name, years)).otherwise(
         F.concat_ws(" / ", F.date_format(a, "yyyy-MM-dd"), F.date_format(b, "yyyy-MM-dd")))
 
 

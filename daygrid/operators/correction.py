@@ -5,9 +5,9 @@ on (cell, month). Applying it has two forms that give the same rows:
 
 * ``correct``: column expressions on exact window quantiles (each day is
   exploded to the sliding windows it belongs to);
-* ``correct_by_group``: one Arrow group per (cell, month), never more than the
-  days of one month of all years, sorted once per window in numpy. This is the
-  one to use over many years: no row is multiplied.
+* ``correct_by_group``: one Arrow group per (block of cells, month), worked on
+  as a matrix of cells and days. This is the one to use over many years: no row
+  is multiplied.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daygrid import config
@@ -113,13 +112,13 @@ def window_quantiles(sim: DataFrame, span: int | None, first: int, last: int, n:
 
 def correct(sim: DataFrame, cal: DataFrame, var: Variable, first: int, last: int, span: int | None = config.SLIDING_YEARS,
             n: int = config.LEVELS, min_wet: int = config.MIN_WET_DAYS) -> DataFrame:
-    """Corrected value of every day of ``sim`` (cell_id, day, value)."""
+    """Corrected value of every day of ``sim`` (cell_id, day, value); NULL where a cell and month has no calibration."""
     x = by_month(sim)
     wet = var.wet is not None
-    known = x.join(cal.select(*CELL_MONTH, "threshold"), CELL_MONTH) if wet else x
+    known = x.join(cal.select(*CELL_MONTH, "threshold"), CELL_MONTH, "left") if wet else x
     q = window_quantiles(known, span, first, last, n, wet)
     win = F.lit(first) if span is None else window_of(F.year("day"), span, first, last)
-    met = x.withColumn("win", win).join(q, [*CELL_MONTH, "win"], "left").join(cal, CELL_MONTH)
+    met = x.withColumn("win", win).join(q, [*CELL_MONTH, "win"], "left").join(cal, CELL_MONTH, "left")
     v = F.col("value")
     if not wet:
         met = met.withColumn("_f", rank_in("value", "sim"))
@@ -130,98 +129,111 @@ def correct(sim: DataFrame, cal: DataFrame, var: Variable, first: int, last: int
         enough = (F.col("n_ref") >= min_wet) & (F.col("n_hist") >= min_wet) & F.col("sim").isNotNull()
         fixed = applied(v, F.col("sim"), F.col("ref"), F.col("hist"), var, F.col("_f"))
         y = F.when(v < F.col("threshold"), dry).otherwise(F.when(enough, fixed).otherwise(v))
+        y = F.when(F.col("threshold").isNotNull(), y)
     return met.select("cell_id", "day", "value", F.when(v.isNotNull(), y).alias("corrected"))
 
 
-# --- the same in Arrow groups -----------------------------------------------------
-
-def _np_quantiles(x: np.ndarray, taus: np.ndarray) -> np.ndarray | None:
-    if x.size == 0:
-        return None
-    s = np.sort(x)
-    pos = taus * (s.size - 1)
-    i = np.floor(pos).astype(int)
-    part = pos - i
-    return np.rint(((1 - part) * s[i] + part * s[np.minimum(i + 1, s.size - 1)]) * 1e9) / 1e9
-
-
-def _np_rank(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    le, lt = np.searchsorted(q, x, "right"), np.searchsorted(q, x, "left")
-    low, high = q[np.maximum(le - 1, 0)], q[np.minimum(le, q.size - 1)]
-    width = high - low
-    part = np.divide(x - low, width, out=np.zeros(x.size), where=width > 0)
-    return np.clip(np.where(le - lt > 1, (lt + le - 1) / 2.0, le - 1 + part), 0, q.size - 1)
-
-
-def _np_read(table: np.ndarray, f: np.ndarray) -> np.ndarray:
-    i = np.floor(f).astype(int)
-    part = f - i
-    return (1 - part) * table[i] + part * table[np.minimum(i + 1, table.size - 1)]
-
-
-def _np_apply(x, sim_q, ref, hist, kind, low, high, top):
-    f = _np_rank(x, sim_q)
-    r, h = _np_read(ref, f), _np_read(hist, f)
-    if kind == "add":
-        y = x + (r - h)
-    else:
-        y = np.where(h > 0, r * np.clip(np.divide(x, h, out=np.zeros(x.size), where=h > 0), 0, top), x)
-    return np.clip(y, low, high) if low is not None or high is not None else y
+# --- the same on blocks of cells ---------------------------------------------------
+
+def _known_quantiles(window: np.ndarray, taus: np.ndarray) -> np.ndarray:
+    """Quantiles of each row of ``window`` (cells x days, NaN where unknown), NaN for a row without values."""
+    ordered = np.sort(window, axis=1)  # NaN last
+    top = (~np.isnan(window)).sum(1)[:, None] - 1
+    at = taus[None, :] * np.maximum(top, 0)
+    below = at.astype(np.int64)
+    share = at - below
+    pick = lambda i: np.take_along_axis(ordered, np.minimum(i, np.maximum(top, 0)), 1)
+    mixed = pick(below) * (1 - share) + pick(below + 1) * share
+    return np.where(top >= 0, np.round(mixed * 1e9) / 1e9, np.nan)
+
+
+def _mapped(x: np.ndarray, among: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """Values of ``tables`` (cells x levels) at the place each value of ``x`` (cells x days) takes ``among`` the quantiles
+    of its cell: between two levels linearly, in the middle of equal ones, at the ends beyond them."""
+    last = among.shape[1] - 1
+    smaller = (among[:, None, :] < x[:, :, None]).sum(2)
+    equal = (among[:, None, :] == x[:, :, None]).sum(2)
+    before = np.clip(smaller + equal - 1, 0, last)
+    after = np.clip(smaller + equal, 0, last)
+    a, b = np.take_along_axis(among, before, 1), np.take_along_axis(among, after, 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        step = np.where(b > a, (x - a) / (b - a), 0.0)
+    place = np.where(equal > 1, smaller + (equal - 1) / 2.0, smaller + equal - 1 + step)
+    place = np.clip(np.nan_to_num(place), 0, last)
+    left = place.astype(np.int64)
+    right, share = np.minimum(left + 1, last), place - left
+    return [np.take_along_axis(t, left, 1) * (1 - share) + np.take_along_axis(t, right, 1) * share for t in tables]
 
 
 def correct_by_group(sim: DataFrame, cal: DataFrame, var: Variable, first: int, last: int,
-                     span: int = config.SLIDING_YEARS, n: int = config.LEVELS, min_wet: int = config.MIN_WET_DAYS
-                     ) -> DataFrame:
-    """As ``correct``, the days of a (cell, month) and its calibration row met in one cogroup."""
-    taus, kind, low, high, top = np.array(levels(n)), var.kind, var.low, var.high, config.MAX_RATIO
+                     span: int | None = config.SLIDING_YEARS, n: int = config.LEVELS, min_wet: int = config.MIN_WET_DAYS,
+                     block: int = 32) -> DataFrame:
+    """As ``correct``: the days of one month of a block of cells, and their calibration rows, met in one cogroup.
+
+    The values are laid out as cells x days once; every window is a slice of columns and is sorted,
+    ranked and read for all cells of the block together. A group holds ``block`` cells times the days
+    of one month of all years.
+    """
+    taus, top = np.array(levels(n)), config.MAX_RATIO
     wet = var.wet is not None
-    names = ["ref", "hist"] + (["threshold", "n_ref", "n_hist", "dry_ref", "dry_hist"] if wet else [])
-
-    def run(days: pa.Table, table: pa.Table) -> pa.Table:
-        out = np.full(days.num_rows, np.nan)
-        if table.num_rows and days.num_rows:
-            row = table.slice(0, 1).to_pylist()[0]
-            as_array = lambda v: None if v is None else np.asarray(v, float)
-            x = days.column("value").to_numpy(zero_copy_only=False).astype(float)
-            years = days.column("year").to_numpy(zero_copy_only=False)
-            wins = np.minimum(np.maximum(years - span // 2, first), last - span + 1)
-            ref, hist = as_array(row["ref"]), as_array(row["hist"])
-            here = ~np.isnan(x)
-            order = np.argsort(years, kind="stable")
-            x_by_year, sorted_years = x[order], years[order]
-            th = row["threshold"] if wet else None
-            fit = ref is not None and hist is not None and (
-                not wet or (row["n_ref"] >= min_wet and row["n_hist"] >= min_wet))
+    tables = ["ref", "hist"] + (["dry_ref", "dry_hist"] if wet else [])
+    scalars = ["threshold", "n_ref", "n_hist"] if wet else []
+
+    def run(days: pa.Table, known: pa.Table) -> pa.Table:
+        ids = days.column("cell_id").to_numpy()
+        dates = days.column("day").cast(pa.int32()).to_numpy()
+        cells, row = np.unique(ids, return_inverse=True)
+        held, at = np.unique(dates, return_inverse=True)
+        year = np.zeros(len(held), np.int64)
+        year[at] = days.column("year").to_numpy()
+        x = np.full((len(cells), len(held)), np.nan)
+        x[row, at] = days.column("value").to_numpy(zero_copy_only=False).astype(float)
+        out = np.full(x.shape, np.nan)
+        fits = {k: np.full((len(cells), n), np.nan) for k in tables} | {k: np.full(len(cells), np.nan) for k in scalars}
+        for one in known.to_pylist():
+            k = np.searchsorted(cells, one["cell_id"])
+            if k < len(cells) and cells[k] == one["cell_id"]:
+                for name in (*tables, *scalars):
+                    if one[name] is not None:
+                        fits[name][k] = one[name]
+        ready = ~np.isnan(fits["ref"][:, 0]) & ~np.isnan(fits["hist"][:, 0])
+        limit = fits["threshold"] if wet else np.full(len(cells), -np.inf)
+        if wet:
+            ready &= (fits["n_ref"] >= min_wet) & (fits["n_hist"] >= min_wet)
+        inside = np.where(x >= limit[:, None], x, np.nan)
+        window = np.full(len(held), first) if span is None else np.clip(year - span // 2, first, last - span + 1)
+        for win in np.unique(window):
+            target = np.flatnonzero(window == win)
+            part = inside if span is None else inside[:, (year >= win) & (year < win + span)]
+            values = x[:, target]
+            q = _known_quantiles(part, taus)
+            r, h = _mapped(values, q, [fits["ref"], fits["hist"]])
+            if var.kind == "add":
+                y = values + (r - h)
+            else:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    y = np.where(h > 0, r * np.clip(values / h, 0.0, top), values)
+            if var.low is not None or var.high is not None:
+                y = np.clip(y, var.low, var.high)
+            can = ready & ~np.isnan(q[:, 0])
             if wet:
-                dry_ref, dry_hist = as_array(row["dry_ref"]), as_array(row["dry_hist"])
-                low_days = here & (x < th)
-                if dry_hist is None:
-                    out[low_days] = 0.0
-                elif dry_ref is not None:
-                    out[low_days] = _np_read(dry_ref, _np_rank(x[low_days], dry_hist))
-                todo = here & (x >= th)
-                out[todo] = x[todo]
+                (dry,) = _mapped(values, fits["dry_hist"], [fits["dry_ref"]])
+                dry = np.where(np.isnan(fits["dry_hist"][:, :1]), 0.0, dry)
+                y = np.where(values < limit[:, None], dry, np.where(can[:, None], y, values))
+                y = np.where(np.isnan(limit)[:, None], np.nan, y)
             else:
-                todo = here
-            for win in np.unique(wins[todo]) if fit else ():
-                a, b = np.searchsorted(sorted_years, (win, win + span))
-                inside = x_by_year[a:b]
-                inside = inside[~np.isnan(inside)]
-                if wet:
-                    inside = inside[inside >= th]
-                q = _np_quantiles(inside, taus)
-                if q is None:
-                    continue
-                at = todo & (wins == win)
-                out[at] = _np_apply(x[at], q, ref, hist, kind, low, high, top)
+                y = np.where(can[:, None], y, np.nan)
+            out[:, target] = np.where(np.isnan(values), np.nan, y)
+        flat = out[row, at]
         return pa.table({"cell_id": days.column("cell_id"), "day": days.column("day"), "value": days.column("value"),
-                         "corrected": pa.array(out, mask=np.isnan(out))})
+                         "corrected": pa.array(flat, mask=np.isnan(flat))})
 
+    group = F.floor(F.col("cell_id") / block).alias("_block")
     # Aliased on both sides: the calibration may come from the same rows as the days.
-    x = sim.select(F.col("cell_id").alias("cell_id"), F.month("day").alias("month"), F.col("day").alias("day"),
+    x = sim.select(group, F.col("cell_id").alias("cell_id"), F.month("day").alias("month"), F.col("day").alias("day"),
                    F.year("day").alias("year"), F.col("value").alias("value"))
-    c = cal.select(*[F.col(name).alias(name) for name in (*CELL_MONTH, *names)])
-    return x.groupBy(*CELL_MONTH).cogroup(c.groupBy(*CELL_MONTH)).applyInArrow(
+    c = cal.select(group, *[F.col(name).alias(name) for name in (*CELL_MONTH, *tables, *scalars)])
+    return x.groupBy("_block", "month").cogroup(c.groupBy("_block", "month")).applyInArrow(
         run, "cell_id bigint, day date, value double, corrected double")
 
 
@@ -230,7 +242,7 @@ def split_sample(ref: DataFrame, model: DataFrame, var: Variable, first_half: tu
     """Calibrated on the first half, applied to the second with its own years as the window."""
     inside = lambda df, h: df.filter(F.year("day").between(*h))
     cal = calibrate(inside(ref, first_half), inside(model, first_half), var, n)
-    return correct(inside(model, second_half), cal, var, *second_half, None, n, min_wet)
+    return correct_by_group(inside(model, second_half), cal, var, *second_half, None, n, min_wet)
 
 
 def reliability(cal: DataFrame, n: int = config.LEVELS) -> DataFrame:
@@ -245,8 +257,3 @@ def reliability(cal: DataFrame, n: int = config.LEVELS) -> DataFrame:
     slope = F.array_min(F.array_compact(steps))
     level = F.when(F.col("slope") > 0.5, "sure").when(F.col("slope") >= 0, "weak").when(F.col("slope").isNotNull(), "reversed")
     return d.select(*CELL_MONTH, slope.alias("slope")).withColumn("reliability", level)
-
-
-def order_statistics(df: DataFrame, keys) -> DataFrame:
-    """Rank of each value inside its group, from 1."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("value", "day")))

@@ -56,14 +56,14 @@ def map_cells(cells: DataFrame, south: float, north: float, west: float, east: f
     return cells.filter(F.col("land") & F.col("lat").between(south, north) & F.col("lon").between(west, east))
 
 
-def locate_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str, reach: int = 1,
-                radius: float | None = config.FINE_RADIUS) -> DataFrame:
-    """Nearest valid fine cell of each place among those ``reach`` lines around it.
+def locate_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str,
+                radius: float = config.FINE_RADIUS) -> DataFrame:
+    """Nearest valid fine cell of each place among the 3 x 3 around it, none farther than ``radius``.
 
-    Candidates are exploded on the place side (9 for a reach of 1) and met by an
-    equi join on the index; the best one is a map-side combined ``min_by``.
+    Candidates are exploded on the place side and met by an equi join on the
+    index; the best one is a map-side combined ``min_by``.
     """
-    span = list(range(-reach, reach + 1))
+    span = (-1, 0, 1)
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in span for b in span])
     at = places.select(
         key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
@@ -72,13 +72,42 @@ def locate_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str, reach:
     ).withColumns({"i": F.col("_i") + F.col("_o.a"), "j": F.col("_j") + F.col("_o.b")})
     f = fine.filter("domain").select("i", "j", "fine_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon"))
     met = at.join(f, ["i", "j"])
-    if radius is not None:
-        dlat, dlon = F.abs(F.col("_flat") - F.col("_lat")), F.abs(F.col("_flon") - F.col("_lon"))
-        met = met.filter(F.greatest(dlat, dlon) <= radius + 1e-6)
+    dlat, dlon = F.abs(F.col("_flat") - F.col("_lat")), F.abs(F.col("_flon") - F.col("_lon"))
+    met = met.filter(F.greatest(dlat, dlon) <= radius + 1e-6)
     d = _tie_safe(squared_degrees("_lat", "_lon", "_flat", "_flon"))
     return met.groupBy(key).agg(F.min_by("fine_id", F.struct(d.alias("d"), "i", "j")).alias("fine_id"))
 
 
+def nearest_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str, first: int = 4, growth: int = 8) -> DataFrame:
+    """Nearest valid fine cell of each place, however far it lies.
+
+    Places and cells meet in tiles; a place visits 3 x 3 of them, which hold every cell within one tile's
+    width. An answer nearer than that width is final; places without one go on to tiles ``growth`` times
+    as wide, up to the whole globe. Few places get far, so wide tiles are met by few rows.
+    """
+    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left = places.select(
+        key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
+        _nearest_index(grid.north - F.col("lat"), grid.step).alias("_i"), _nearest_index(F.col("lon") - grid.west, grid.step).alias("_j"))
+    f = fine.filter("domain").select("i", "j", "fine_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon"))
+    found, tile, whole = None, first, math.ceil(360.0 / grid.step)
+    while True:
+        at = left.withColumn("_o", F.explode(moves)).withColumns({
+            "_ti": F.floor(F.col("_i") / tile) + F.col("_o.a"), "_tj": F.floor(F.col("_j") / tile) + F.col("_o.b")})
+        met = at.join(f.withColumns({"_ti": F.floor(F.col("i") / tile), "_tj": F.floor(F.col("j") / tile)}), ["_ti", "_tj"])
+        d = _tie_safe(squared_degrees("_lat", "_lon", "_flat", "_flon"))
+        best = met.groupBy(key, "_lat").agg(F.min_by("fine_id", F.struct(d.alias("d"), "i", "j")).alias("fine_id"), F.min(d).alias("_d"))
+        sure = F.lit((tile - 0.5) * grid.step) * F.cos(F.radians("_lat"))
+        if tile < whole:
+            best = best.filter(F.col("_d") < F.floor(sure * sure * 1e9))
+        here = best.select(key, "fine_id")
+        found = here if found is None else found.unionByName(here)
+        if tile >= whole:
+            return found
+        left = left.join(here.select(key), key, "left_anti")
+        tile *= growth
+
+
 def place_cells(places: DataFrame, cells: DataFrame, fine: DataFrame, coarse_grid: Grid, fine_grid: Grid,
                 key: str = "place_id") -> DataFrame:
     """Where each place is read: coarse cell, fine cell if any, altitude lift if it applies."""

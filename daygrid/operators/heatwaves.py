@@ -24,16 +24,18 @@ def thresholds(series: DataFrame, name: str, keys: Sequence[str], first: int, la
         *keys, *[F.get("_q", F.lit(k)).alias(f"s{k + 1}") for k in range(3)])
 
 
-def episodes(series: DataFrame, limits: DataFrame, name: str, keys: Sequence[str], min_days: int = config.HEAT_MIN_DAYS
-             ) -> DataFrame:
-    """First and last day, length and peak of each heat wave (``limits``: keys, s1, s2, s3; dense days)."""
+def episodes(series: DataFrame, limits: DataFrame, name: str, keys: Sequence[str], min_days: int = config.HEAT_MIN_DAYS,
+             max_dip: int = config.HEAT_MAX_DIP) -> DataFrame:
+    """First and last day, length and peak of each heat wave (``limits``: keys, s1, s2, s3; dense days).
+
+    A dip under S2 of more than ``max_dip`` days in a row ends it."""
     w = W.partitionBy(*keys).orderBy("day")
     s = series.select(*keys, "day", F.col(name).alias("v")).join(limits, list(keys))
     s = s.withColumn("_low", F.coalesce((F.col("v") < F.col("s2")).cast("int"), F.lit(0)))
-    near = lambda k: F.coalesce(F.lag("_low", k).over(w) if k > 0 else F.lead("_low", -k).over(w), F.lit(0))
-    a2, a1, b1, b2 = near(2), near(1), near(-1), near(-2)
-    long_dip = (F.col("_low") == 1) & ((a2 + a1 == 2) | (a1 + b1 == 2) | (b1 + b2 == 2))
-    s = s.withColumn("_dip", long_dip)
+    # A low day ends the wave if one of the stretches of max_dip + 1 days it lies in is low throughout.
+    stretch = F.sum("_low").over(w.rowsBetween(0, max_dip))
+    s = s.withColumn("_from", stretch == max_dip + 1)
+    s = s.withColumn("_dip", F.max("_from").over(w.rowsBetween(-max_dip, 0)))
     kept = s.filter(~F.coalesce(F.col("v") < F.col("s3"), F.lit(True)) & ~F.col("_dip"))
     kept = kept.withColumn("_run", F.date_sub("day", F.row_number().over(w)))
     strong = F.when(F.col("v") >= F.col("s2"), F.col("day"))

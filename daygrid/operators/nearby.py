@@ -27,37 +27,51 @@ def one_per_spot(places: DataFrame, order: str, *, extra: Sequence[str] = ()) ->
     return places.groupBy("lat", "lon", *extra).agg(F.min(order).alias(order))
 
 
+#: Half the way round the globe and a little more: no two points are farther apart.
+ALL_KM = 20_100.0
+GROWTH = 4.0
+
+
 def within(points: DataFrame, others: DataFrame, km: float, point_cols: Sequence[str], other_cols: Sequence[str]
            ) -> DataFrame:
     """Pairs closer than ``km``: the point is sent to the buckets its circle touches.
 
     Buckets are one radius wide, so a point visits few of them, and only
-    buckets hold pairs at all; the longitude reach follows the latitude.
+    buckets hold pairs at all; the longitude reach follows the latitude, and
+    columns are counted round the globe, so that the 180th meridian is no edge.
     """
     size = degrees_for_km(km)
-    ring = F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(89.0))))
-    reach = F.lit(size) / ring
+    around = max(1, int(360.0 / size))
+    wide = 360.0 / around
+    ring = F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(89.9))))
+    reach = F.least(F.lit(size) / ring, F.lit(180.0))
     rows = F.sequence(F.floor((F.col("lat") - size) / size), F.floor((F.col("lat") + size) / size))
-    cols = F.sequence(F.floor((F.col("lon") - reach) / size), F.floor((F.col("lon") + reach) / size))
-    around = F.floor(F.lit(360.0) / size)
+    west, east = F.floor((F.col("lon") - reach) / wide), F.floor((F.col("lon") + reach) / wide)
+    cols = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + around - 1)), lambda c: F.pmod(c, F.lit(around))))
     p = points.select(*point_cols, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"),
                       F.explode(rows).alias("_b"), cols.alias("_cols"))
     p = p.select("*", F.explode("_cols").alias("_c")).drop("_cols")
     o = others.select(*[F.col(c).alias(f"other_{c}") if c in point_cols else F.col(c) for c in other_cols],
                       F.col("lat").alias("_olat"), F.col("lon").alias("_olon"),
-                      F.floor(F.col("lat") / size).alias("_b"), F.floor(F.col("lon") / size).alias("_c"))
+                      F.floor(F.col("lat") / size).alias("_b"), F.pmod(F.floor(F.col("lon") / wide), F.lit(around)).alias("_c"))
     met = p.join(o, ["_b", "_c"]).withColumn("km", _km("_plat", "_plon", "_olat", "_olon"))
     return met.filter(F.col("km") <= km).drop("_b", "_c")
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, order: str = "place_id",
                   max_km: float = config.NEAREST_MAX_KM) -> DataFrame:
-    """The nearest town of each point, the first of the list on a tie; NULL beyond ``max_km``."""
+    """The nearest town of each point, the first of the list on a tie; NULL beyond ``max_km``.
+
+    Points at one position are searched once, so a popular position is no hot bucket.
+    """
     spots = one_per_spot(places.select(order, "lat", "lon"), order)
-    pairs = within(points, spots, max_km, [key], [order])
+    asked = one_per_spot(points.select(key, "lat", "lon"), key)
+    pairs = within(asked, spots, max_km, [key], [order])
     best = pairs.groupBy(key).agg(F.min_by(F.struct(order, "km"), F.struct(_order(F.col("km")).alias("d"), order)).alias("b"))
-    named = best.select(key, F.col(f"b.{order}").alias(order), half_even(F.col("b.km"), 1).alias("distance_km"))
-    return points.select(key).join(named, key, "left")
+    named = asked.join(best, key, "left").select(
+        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(f"b.{order}").alias(order), half_even(F.col("b.km"), 1).alias("distance_km"))
+    same = F.col("lat").eqNullSafe(F.col("_lat")) & F.col("lon").eqNullSafe(F.col("_lon"))
+    return points.select(key, "lat", "lon").join(named, same, "left").select(key, order, "distance_km")
 
 
 def contrast_city(points: DataFrame, cities: DataFrame, key: str, order: str = "place_id", tile: float = 1.0
@@ -97,20 +111,31 @@ def contrast_city(points: DataFrame, cities: DataFrame, key: str, order: str = "
     return points.select(key).join(best.withColumnRenamed(order, "contrast_id"), key, "left")
 
 
-def stations_around(cells: DataFrame, stations: DataFrame, years: DataFrame, km: float = 25.0,
-                    reach_km: float = 200.0) -> DataFrame:
+def stations_around(cells: DataFrame, stations: DataFrame, years: DataFrame, km: float = 25.0) -> DataFrame:
     """Per cell and year: distance to the nearest active station, how many are within ``km``,
-    and their mean altitude above the cell's.
+    and their mean altitude above the cell's. Every cell has every year; NULL only where no station is active at all.
 
-    Stations are matched to cells once; the years only multiply the matched pairs.
+    The nearest is looked for in growing circles: cell-years that have one leave, the others go on to
+    the next circle, up to the whole globe. The years only multiply pairs already matched.
     """
-    pairs = within(cells, stations, reach_km, ["cell_id", "elevation"],
-                   ["station_id", "first_year", "last_year", "elevation"])
-    active = pairs.join(F.broadcast(years), F.col("year").between(F.col("first_year"), F.col("last_year")))
-    close = F.col("km") <= km
-    return active.groupBy("cell_id", "year").agg(
-        F.min("km").alias("nearest_km"), F.count(F.when(close, 1)).alias("stations"),
-        F.avg(F.when(close, F.col("other_elevation") - F.col("elevation"))).alias("height_gap"))
+    left = cells.select("cell_id", "lat", "lon", "elevation").crossJoin(years.select("year"))
+    found, reach = None, km
+    while True:
+        spots = left.select("cell_id", "lat", "lon", "elevation").distinct()
+        pairs = within(spots, stations, reach, ["cell_id", "elevation"], ["station_id", "first_year", "last_year", "elevation"])
+        asked = left.select("cell_id", "year")
+        active = pairs.join(asked, "cell_id").filter(F.col("year").between(F.col("first_year"), F.col("last_year")))
+        close = F.col("km") <= km
+        here = active.groupBy("cell_id", "year").agg(
+            F.min("km").alias("nearest_km"), F.count(F.when(close, 1)).alias("stations"),
+            F.avg(F.when(close, F.col("other_elevation") - F.col("elevation"))).alias("height_gap"))
+        found = here if found is None else found.unionByName(here)
+        if reach >= ALL_KM:
+            break
+        left = left.join(here.select("cell_id", "year"), ["cell_id", "year"], "left_anti")
+        reach = min(ALL_KM, reach * GROWTH)
+    whole = cells.select("cell_id").crossJoin(years.select("year"))
+    return whole.join(found, ["cell_id", "year"], "left").fillna(0, ["stations"])
 
 
 def best_altitude(cells: DataFrame, stations: DataFrame, key: str = "station_id") -> DataFrame:

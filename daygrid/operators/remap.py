@@ -97,16 +97,15 @@ def mean_of_four(daily: DataFrame, four: DataFrame, name: str, min_valid: int) -
         F.when(F.count(name) >= min_valid, F.avg(name)).alias(name))
 
 
-def zonal(raster: DataFrame, cells: DataFrame, grid: Grid, layers: Sequence[str], x: Column, y: Column) -> DataFrame:
-    """Mean of the positive pixels of a projected raster in each cell, their count and share."""
+def zonal(raster: DataFrame, cells: DataFrame, grid: Grid, layers: Sequence[str], x: Column, y: Column, mask: str) -> DataFrame:
+    """Means of the layers of a projected raster over each cell's pixels where ``mask`` is positive; their count and share."""
     lat, lon = laea_to_geographic(x, y)
     at = raster.select(
         half_even((grid.north - lat) / grid.step).cast("long").alias("row"),
-        half_even((lon - grid.west) / grid.step).cast("long").alias("col"), *layers)
-    out = [F.count("*").alias("pixels")]
-    for n in layers:
-        good = F.when(F.col(n) > 0, F.col(n))
-        out += [F.avg(good).alias(n), F.count(good).alias(f"{n}_pixels"), (F.count(good) / F.count("*")).alias(f"{n}_share")]
+        half_even((lon - grid.west) / grid.step).cast("long").alias("col"), *layers, (F.col(mask) > 0).alias("_on"))
+    on = F.count(F.when(F.col("_on"), 1))
+    out = [F.count("*").alias("pixels"), on.alias("mask_pixels"), (on / F.count("*")).alias("mask_share"),
+           *[F.avg(F.when(F.col("_on"), F.col(n))).alias(n) for n in layers]]
     per_cell = at.groupBy("row", "col").agg(*out)
     c = cells.select("cell_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     return c.join(per_cell, ["row", "col"]).drop("row", "col")

@@ -155,9 +155,14 @@ def summary_from_levels(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"p5": pair(low), "p95": pair(high)})
 
 
-def half_of_years(day: str = "day", seed: int = 0) -> Column:
-    """True on a seeded half of the years (a hash of the year: the same on every run and machine)."""
-    return F.pmod(F.xxhash64(F.year(day), F.lit(seed)), F.lit(2)) == 0
+def half_of_years(df: DataFrame, day: str = "day", seed: int = 0) -> DataFrame:
+    """``df`` with ``half``: true on exactly half of the years held (rounded down), the first in the order of a seeded hash.
+
+    Years are few by nature; their table has one row each."""
+    years = df.select(F.year(day).alias("_year")).distinct()
+    order = W.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "_year").cast("binary")))
+    drawn = years.withColumn("half", F.row_number().over(order) <= F.floor(F.count("*").over(W.partitionBy()) / 2))
+    return df.join(drawn, F.year(day) == F.col("_year")).drop("_year")
 
 
 def reliable_half(spread: DataFrame, name: str = "spread") -> DataFrame:
@@ -327,7 +332,3 @@ def hottest_share(stacked: DataFrame, keys: Sequence[str], share: float = 0.05)
     cut = stacked.groupBy(*keys).agg(F.percentile("value", F.lit(1 - share)).alias("_cut"), F.percentile("value", q).alias("q"))
     met = stacked.join(cut, list(keys)).filter(F.col("value") >= F.col("_cut"))
     return met.groupBy(*keys).agg(F.avg("value").alias("hottest"), F.first("q").alias("q"))
-
-
-def within_rank(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(by)))

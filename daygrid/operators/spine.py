@@ -26,8 +26,15 @@ def densify(values: DataFrame, cells: DataFrame, ranges: Ranges, names: Sequence
     an aggregate on (source, cell, day) accepts rows hashed by (source, cell),
     and so do the windows and groups per cell that come next, which then need
     no shuffle of their own. Neither side is ever broadcast.
+
+    Two rows of one cell and day are an error: no row is made up of both. Rows
+    of other cells, or outside the ranges, are left out.
     """
     empty = spine(cells, ranges, key).select(
-        "source", key, "day", *[F.lit(None).cast("double").alias(n) for n in names])
-    both = empty.unionByName(values.select("source", key, "day", *names))
-    return both.repartition("source", key).groupBy("source", key, "day").agg(*[F.max(n).alias(n) for n in names])
+        "source", key, "day", *[F.lit(None).cast("double").alias(n) for n in names], F.lit(0).alias("_given"), F.lit(1).alias("_held"))
+    both = empty.unionByName(values.select("source", key, "day", *names, F.lit(1).alias("_given"), F.lit(0).alias("_held")))
+    merged = both.repartition("source", key).groupBy("source", key, "day").agg(
+        *[F.max(n).alias(n) for n in names], F.sum("_given").alias("_given"), F.max("_held").alias("_held"))
+    twice = F.raise_error(F.concat(F.lit("two rows of one cell and day: "), F.col(key).cast("string"), F.lit(" "), F.col("day").cast("string")))
+    single = F.when(F.col("_given") > 1, twice.cast("boolean")).otherwise(True)
+    return merged.filter((F.col("_held") == 1) & single).drop("_given", "_held")

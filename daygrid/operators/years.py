@@ -197,24 +197,25 @@ def extreme_days(days: DataFrame, request: str, epochs=config.EPOCHS) -> DataFra
 
 
 def records(ranked: DataFrame, request: str, sign: int = 1, by: Sequence[str] = ("epoch",)) -> DataFrame:
-    """The year of the highest (or lowest) value of an epoch, the later one on a tie."""
-    value = sign * F.col("tasmax_mean")
-    best = F.max_by(F.struct("year", "tasmax_mean"), F.struct(value.alias("v"), "year"))
-    return ranked.groupBy(request, *by).agg(best.alias("b")).select(
+    """The year of the highest (or lowest) served value (one decimal) of an epoch, the later one on a tie."""
+    served = ranked.withColumn("tasmax_mean", half_even("tasmax_mean", 1))
+    best = F.max_by(F.struct("year", "tasmax_mean"), F.struct((sign * F.col("tasmax_mean")).alias("v"), "year"))
+    return served.groupBy(request, *by).agg(best.alias("b")).select(
         request, *by, F.col("b.year").alias("record_year"), F.col("b.tasmax_mean").alias("record_value"))
 
 
 def another(ranked: DataFrame, request: str, shown: Column, seed: int = 0) -> DataFrame:
     """One year of each kind other than the one shown, drawn by a seeded hash (the same at every run)."""
-    draw = F.xxhash64(F.col(request), F.col("epoch"), F.col("year"), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(request), F.col("epoch"), F.col("year")).cast("binary"))
     return ranked.filter(F.col("year") != shown).groupBy(request, "epoch", "kind").agg(
         F.min_by("year", draw).alias("year"))
 
 
 def typical(figures: DataFrame, request: str, first: int, last: int, shown: Column,
             min_years: int = config.TYPICAL_MIN_YEARS) -> DataFrame:
-    """The year nearest the mean of first..last, the later on a tie, never the one shown; none with few values."""
-    kept = figures.filter(F.col("year").between(first, last) & F.col("tasmax_mean").isNotNull())
+    """The year whose served value (one decimal) is nearest the mean of those of first..last, the later on a tie,
+    never the one shown; none with few values."""
+    kept = figures.withColumn("tasmax_mean", half_even("tasmax_mean", 1)).filter(F.col("year").between(first, last) & F.col("tasmax_mean").isNotNull())
     w = W.partitionBy(request)
     scored = kept.withColumns({"_mean": F.avg("tasmax_mean").over(w), "_n": F.count("*").over(w)}).filter(
         (F.col("_n") >= min_years) & (F.col("year") != shown))

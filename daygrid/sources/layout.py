@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid import config
+from daygrid.functions.expr import gap
+from daygrid.session import cut
 
 
 def between(first: date | str | None, last: date | str | None, day: str = "day") -> Column:
@@ -37,7 +39,12 @@ def read_daily(df: DataFrame, source: str | None = None, names: Sequence[str] =
             df = df.filter(F.col("year") >= int(str(first)[:4]))
         if last is not None:
             df = df.filter(F.col("year") <= int(str(last)[:4]))
-    return df.select("source", "cell_id", "day", *names)
+    return df.select("source", "cell_id", "day", *[clean(df, n) for n in names])
+
+
+def clean(df: DataFrame, name: str) -> Column:
+    """A stored column as it is used: NaN is a gap."""
+    return gap(name).alias(name) if dict(df.dtypes)[name] in ("float", "double") else F.col(name)
 
 
 def write_points(df: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -54,7 +61,8 @@ def write_maps(df: DataFrame, path: str, partitions: int | None = None) -> None:
 
 
 def read_copy(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    return df.select(*[clean(df, n) for n in df.columns])
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -63,12 +71,19 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def missing_years(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the (source, year) pairs the stored copy does not hold yet."""
+    """All rows of the (source, year) pairs the stored copy lacks or holds in part.
+
+    A pair is missing as long as one of its cell-days is; rows that only the copy holds are kept with it.
+    """
     df = df.withColumn("year", F.year("day"))
     if not _path_exists(spark, path):
         return df
-    held = spark.read.parquet(path).select("source", "year").distinct()
-    return df.join(F.broadcast(held), ["source", "year"], "left_anti")
+    held = spark.read.parquet(path)
+    keys = ["source", "cell_id", "day"]
+    years = df.join(held.select(*keys), keys, "left_anti").select("source", "year").distinct()
+    own = held.join(years, ["source", "year"], "left_semi").join(df.select(*keys), keys, "left_anti")
+    # Cut from the files that are about to be replaced.
+    return cut(df.join(years, ["source", "year"], "left_semi").unionByName(own))
 
 
 def write_years(df: DataFrame, path: str) -> None:

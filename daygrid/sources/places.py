@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daygrid.functions.expr import half_even
@@ -44,9 +43,3 @@ def build_places(cities: DataFrame, names: DataFrame, south: float, north: float
 def largest(places: DataFrame, minimum: int, order: str = "place_id") -> DataFrame:
     """Towns of ``minimum`` people or more, the largest first, file order on a tie."""
     return places.filter(F.col("population") >= minimum).orderBy(F.desc("population"), order)
-
-
-def ranked(places: DataFrame) -> DataFrame:
-    """Rank by population within each country (used to thin labels)."""
-    w = W.partitionBy("country").orderBy(F.desc("population"), "place_id")
-    return places.withColumn("rank", F.row_number().over(w))

@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from daygrid import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
 
 def rows(columns, data):

@@ -27,7 +27,7 @@ def test_no_cartesian_product(spark, name):
 def test_smoothing_shuffles_its_rows_once(spark):
     """Both windows of every pass live inside one hashing by (source, day)."""
     text = plan(spark, "map4_smooth_twice")
-    assert len(re.findall(r"hashpartitioning\(source#\d+, day#\d+, ", text)) == 0 or text.count("REPARTITION_BY_COL") == 1
+    assert len(re.findall(r"hashpartitioning\(source#\d+, day#\d+, ", text)) == 1
 
 
 def test_operators_collect_nothing():
