@@ -1,6 +1,5 @@
 """Queries: classified days of every search, and what a page derives from them."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from daygrid.catalog.base import query
@@ -13,13 +12,14 @@ from daygrid.operators import grid as G
 from daygrid.operators import records as R
 from daygrid.operators import runs
 from daygrid.plans import days as D
+from daygrid.session import written
 
 BASELINE = (1996, 2001)
 
 
 def located(t):
-    """Places with their cells and spots; kept, because a page reads it for its status, days, flags and normals."""
-    return G.with_spots(G.place_cells(t.places, t.cells, t.cells010, COARSE, FINE)).persist(StorageLevel.MEMORY_AND_DISK)
+    """Places with their cells and spots; written, because a page reads it for its status, days, flags and normals."""
+    return written(G.with_spots(G.place_cells(t.places, t.cells, t.cells010, COARSE, FINE)))
 
 
 def accepted(t, at):
@@ -28,7 +28,7 @@ def accepted(t, at):
 
 
 def spot_daily(t, at):
-    return G.place_daily(G.spots(at), t.daily, t.daily010, "spot_id")
+    return G.place_daily(G.spots(at), t.stored, t.fine_of(t.stored), "spot_id")
 
 
 def first_days(t):
@@ -49,8 +49,7 @@ def snow_flags(t, at, searches=None):
 def page_days(t):
     at = located(t)
     searches = accepted(t, at)
-    days = D.classified_days(searches, at, t.daily, t.daily010, "sim")
-    return D.with_snow(days, snow_flags(t, at, searches))
+    return D.days_of_spots(searches, at, snow_flags(t, at, searches), "sim")
 
 
 STATUS = f"""SELECT v.* REPLACE (CASE WHEN v.status = 'ok' AND l.place_id IS NULL THEN 'OutsideDomain' ELSE v.status END AS status)

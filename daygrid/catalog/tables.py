@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from daygrid.config import MEASURES
 from daygrid.operators.spine import densify
+from daygrid.session import shared_folder
+from daygrid.sources import layout
 
 OBS_START, OBS_END = "1995-01-01", "2001-12-31"
 SIM_START, SIM_END = "2027-01-01", "2033-12-31"
@@ -253,10 +255,20 @@ class Tables:
             "NOT (i >= 9 AND j % 11 >= 9) AS domain", "NOT (i = 5 AND j % 11 = 5) AS eobs",
             "elevation + 20*(i-j%11) AS elevation")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The daily table as the point copy a page reads: built once, then pruned by cell and day."""
+        path = shared_folder(self.spark)
+        layout.write_points(self.daily, path)
+        return layout.read_copy(self.spark, path)
+
     @cached_property
     def daily010(self) -> DataFrame:
+        return self.fine_of(self.daily)
+
+    def fine_of(self, daily: DataFrame) -> DataFrame:
         f = self.cells010.select("fine_id", "cell_id", F.expr("((3*i+7*j)%11)*0.1D").alias("up"))
-        return self.daily.select("source", "cell_id", "day", "tasmax", "tasmin", "tas").join(f, "cell_id").selectExpr(
+        return daily.select("source", "cell_id", "day", "tasmax", "tasmin", "tas").join(f, "cell_id").selectExpr(
             "source", "fine_id", "day", "tasmax + up AS tasmax", "tasmin + up AS tasmin", "tas + up AS tas")
 
     @cached_property

@@ -37,6 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/daygrid-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: built once, whatever reads it, and nothing to release."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder of the cluster.
 
