@@ -5,7 +5,8 @@ is compressed with every dictionary by itself (so the dictionary counts over the
 are compared. The smallest wins; the margin to the second makes the score, and a narrow margin is told as rejected.
 
 The dictionaries are made from a bounded sample: whole texts in the order of a hash, up to ``DICTIONARY`` bytes per
-language. Their number is that of the languages. Of a text only
+language. Their number is that of the languages; so is that of
+the sampled texts, times a constant. Of a text only
 its runs of letters count, in lower case. A null text, one without a
 letter, or any text where nothing could be learned is ``und`` with score 0 and rejected. Ties go to the language with more
 training texts. Null languages are not learned, repeated rows stay, extra columns are ignored.
@@ -30,14 +31,16 @@ SHARPNESS = 0.15  # score per byte of margin
 
 def learn(labelled: DataFrame, size: int = DICTIONARY) -> dict[str, bytes]:
     """Per language, texts in the order of a hash up to ``size`` bytes; the language with most texts first."""
-    order = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("lang").orderBy("h", "n")
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.octet_length("text").alias("n")) \
         .filter(F.col("n").between(1, SAMPLE_TEXT)).withColumn("h", F.xxhash64("text"))
-    # a text at rank r is taken only if those before it fill less than the dictionary: one byte each at least bounds the rank
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= max(1, size // 64))
-    taken = ranked.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).filter(F.col("before") < size)
+    # hashes and lengths are ranked, texts are fetched for the few that are taken; the rank is bounded, so tasks send few rows
+    names = rows.select("lang", "h", "n").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, size // 64))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = names.withColumn("before", before).filter(F.col("before") < size).select(F.col("lang").alias("l"), F.col("h").alias("k"))
+    texts = rows.join(F.broadcast(taken), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).dropDuplicates(["lang", "h"])
     found: dict[str, list[str]] = {}
-    for row in taken.orderBy("lang", "h", "text").select("lang", "text").collect():
+    for row in texts.orderBy("lang", "h", "n").select("lang", "text").collect():
         found.setdefault(row[0], []).append(row[1])
     often = {row[0]: row[1] for row in rows.groupBy("lang").count().collect()}  # a row per language
     return {lang: _plain("\n".join(found[lang]))[:size] for lang in sorted(found, key=lambda x: (-often[x], x))}
