@@ -6,7 +6,7 @@ from daygrid.catalog.base import query
 from daygrid.catalog.q_functions import WET_BULB_SQL
 from daygrid.catalog.q_grid import AT_PLACE, COARSE, FINE, PLACE_PARTS
 from daygrid.catalog.q_sources import VALIDATED
-from daygrid.catalog.q_snow_soil import IN_WINTER, sites, stock_sql
+from daygrid.catalog.q_snow_soil import IN_WINTER, SOIL_PARTS, sites, stock_sql
 from daygrid.functions.calendar import snow_year
 from daygrid.operators import grid as G
 from daygrid.operators import records as R
@@ -153,9 +153,45 @@ def _(t):
         F.count("snow_on_ground").alias("known"), F.count_if("snow_on_ground").alias("snow_days"))
 
 
-@query("soil3_water_at_places", "spot_id:i source:s year:i days:i lowest:f mean:3")
+SPOT_SITES = """SELECT spot_id, CASE WHEN fine_id IS NOT NULL THEN (SELECT lat FROM cells010 AS f WHERE f.fine_id = o.fine_id) ELSE c.lat END AS lat,
+  COALESCE(read_elevation, 0) - COALESCE(lift, 0) AS elevation, c.capacity FROM one_spot AS o JOIN cells AS c ON c.cell_id = o.cell_id"""
+
+
+def _at_spots(parts):
+    """The soil's texts on spots in place of cells."""
+    return {k: v.replace("cell_id", "spot_id").replace("cells", "spot_sites").replace("FROM daily", "FROM at_spot") for k, v in parts.items()}
+
+
+@query("soil3_water_at_places", "spot_id:i source:s year:i days:i lowest:f mean:3", """
+ SELECT spot_id, source, YEAR(day) AS year, COUNT(p) AS days, MIN(p) AS lowest, AVG(p) AS mean FROM (
+  SELECT *, FLOOR(100*fill + 0.5) AS p FROM balanced) AS b GROUP BY 1, 2, 3""", recursive=True, **PLACE_PARTS, spot_rows=SPOT_ROWS, one_spot=ONE_SPOT,
+       at_spot="MATERIALIZED " + AT_SPOT, spot_sites="MATERIALIZED " + SPOT_SITES, **_at_spots(SOIL_PARTS))
 def _(t):
     at = located(t)
     w = D.soil_at_places(spot_daily(t, at), G.spots(at), sites(t), "spot_id")
     return w.groupBy("spot_id", "source", F.year("day").alias("year")).agg(
         F.count("soil_water").alias("days"), F.min("soil_water").alias("lowest"), F.avg("soil_water").alias("mean"))
+
+
+SOIL_AT_SPOTS = dict(at_spot="MATERIALIZED " + AT_SPOT, spot_sites="MATERIALIZED " + SPOT_SITES, **_at_spots(SOIL_PARTS))
+
+
+@query("day1_every_column",
+       "search_id:i date:d origin:s source:s temperature_min:f temperature_max:f temperature_mean:f precipitation:f snow_on_ground:s soil_water:f cloud_cover:f "
+       "relative_humidity_mean:f wind_speed_mean:f wet_bulb_mean:1 humid_heat:f sky:s band_max:f band_min:f", """
+ SELECT search_id, p.source, p.day AS date, CASE WHEN p.source = 'sim' THEN 'simulated' ELSE 'observed' END AS origin, ROUND_EVEN(tasmax, 1) AS temperature_max,
+  ROUND_EVEN(tasmin, 1) AS temperature_min, ROUND_EVEN(tas, 1) AS temperature_mean, ROUND_EVEN(pr, 1) AS precipitation, ROUND_EVEN(clt, 1) AS cloud_cover,
+  ROUND_EVEN(hurs, 1) AS relative_humidity_mean, ROUND_EVEN(sfcWind*3.6, 1) AS wind_speed_mean, ROUND_EVEN(wb, 1) AS wet_bulb_mean,
+  CASE WHEN wb >= 30 THEN 2 WHEN wb >= 26 THEN 1 WHEN wb IS NOT NULL THEN 0 END AS humid_heat,
+  CASE WHEN pr >= 1 THEN CASE WHEN tas < 1.5 THEN 'snow' WHEN tas IS NOT NULL THEN 'rain' END WHEN pr IS NULL OR clt IS NULL THEN NULL WHEN clt >= 70 THEN 'overcast'
+   WHEN clt >= 30 THEN 'cloudy' ELSE 'clear' END AS sky, CASE WHEN tasmax IS NOT NULL THEN LEAST(GREATEST(FLOOR(tasmax/5)+1, 0), 9) END AS band_max,
+  CASE WHEN tasmin IS NOT NULL THEN LEAST(GREATEST(FLOOR(tasmin/5)+1, 0), 9) END AS band_min, snow AS snow_on_ground, FLOOR(100*fill + 0.5) AS soil_water
+ FROM page AS p JOIN spot_rows AS r ON r.place_id = p.place_id JOIN balanced AS b ON b.spot_id = r.spot_id AND b.source = p.source AND b.day = p.day""", recursive=True,
+       **{k: v for k, v in PAGE_PARTS.items() if k not in ("page", "wet", "at_spot", "moves", "stocks")} | SOIL_AT_SPOTS | {k: PAGE_PARTS[k] for k in ("wet", "page")})
+def _(t):
+    """The daily answer whole, with the water left in the soil, which each spot's series gives from its first day on."""
+    at = located(t)
+    searches = accepted(t, at)
+    water = D.soil_at_places(spot_daily(t, at), G.spots(at), sites(t), "spot_id").select("spot_id", "source", "day", "soil_water")
+    spots = snow_flags(t, at, searches).join(water, ["spot_id", "source", "day"], "left")
+    return D.days_of_spots(searches, at, spots, "sim")

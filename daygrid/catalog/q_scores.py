@@ -150,7 +150,11 @@ def _(t):
     return S.against(S.wet_figures(samples(t, "pr"), 1.0, 0.1), "ref", ("mean", "freq", "drizzle", "drizzle_share"), percent=("mean",))
 
 
-@query("val9_random_half_floor", "cell_id:i month:i w1:3")
+DRAWN = """SELECT CASE WHEN YEAR(day) IN (SELECT y FROM (SELECT y, ROW_NUMBER() OVER (ORDER BY MD5('0:' || y)) AS r, COUNT(*) OVER () AS c
+   FROM (SELECT DISTINCT YEAR(day) AS y FROM obs) AS a) AS b WHERE r <= FLOOR(c/2)) THEN 'half' ELSE 'ref' END AS role, cell_id, day, MONTH(day) AS month, tas AS value FROM obs"""
+
+
+@query("val9_random_half_floor", "cell_id:i month:i w1:3", "SELECT * FROM w", st=DRAWN, qr=QROWS.format(v="value"), w=W1.format(k=0))
 def _(t):
     o = S.half_of_years(values(t.obs, "tas"))
     st = S.stack(ref=o.filter("NOT half").drop("half"), half=o.filter("half").drop("half"))
