@@ -162,8 +162,8 @@ def _grid_tree(g: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
-        return Model(base=float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1))) if len(y) else 0.0)
+    if not len(y) or not 0 < share < 1:  # smoothed, as nothing tells the kinds apart
+        return Model(base=float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1))))
     model = Model(base=float(np.log(share / (1 - share))))
     d = x.shape[1]
     model.edges = [_cuts(x[:, j], BINS) for j in range(d)]
@@ -222,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         for batch in batches:
             x = features(batch.column("text"))
+            shared.give_back()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()),
                                               pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
@@ -239,8 +240,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.scores(features(batch.column("text"))))],
-                                             ["doc_id", "score"])
+            scores = model.scores(features(batch.column("text")))
+            shared.give_back()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
 
@@ -251,6 +253,8 @@ def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(features(batch.column("text"))) >= least))
+            passes = pa.array(model.scores(features(batch.column("text"))) >= least)
+            shared.give_back()
+            yield batch.filter(passes)
 
     return docs.mapInArrow(passed, docs.schema)

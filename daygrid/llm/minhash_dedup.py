@@ -109,6 +109,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int = BANDS, seed:
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(list(prints), pa.binary()),
                     pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(sigs), pa.binary())], ["doc_id", "n_shingles", "set_hash", "keys", "sig"])
+            shared.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>, sig binary")
 
@@ -157,6 +158,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
         a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
         good = [any(alike(x, y, percent) for x in sets.get(u, ()) for y in sets.get(v, ())) for u, v in zip(a, b, strict=True)]
+        shared.give_back()
         return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return texts.groupBy("deal").cogroup(dealt.withColumnRenamed("deal", "of").groupBy("of")).applyInArrow(check, "a long, b long")
@@ -203,7 +205,9 @@ def _by_group(rows: DataFrame, work, schema: str) -> DataFrame:
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a > 1:
                     yield from work(table.slice(a, b - a)).to_batches()
-            held = table.slice(edges[-1])
+            held = pa.concat_tables([table.slice(edges[-1])]).combine_chunks()
+            del table, batch
+            shared.give_back()
         if held is not None and len(held) > 1:
             yield from work(held).to_batches()
 

@@ -104,7 +104,7 @@ def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lengths = ends - starts
     live, place = np.arange(len(starts)), 0
-    while len(live):
+    while len(live) and place < 2:
         left = lengths[live] - 8 * place
         at = starts[live] + 8 * place
         word = np.zeros(len(live), np.uint64)
@@ -113,6 +113,19 @@ def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         out[live] += mixed(word + np.uint64((place + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
         live = live[left > 8]
         place += 1
+    # what is longer: all its words at once, some of them at a time
+    blocks = -(-(lengths[live] - 8 * place) // 8)
+    ends_at = np.cumsum(blocks)
+    step, eight = 1 << 17, np.arange(8)
+    for a in range(0, int(ends_at[-1]) if len(live) else 0, step):
+        number = np.arange(a, min(a + step, int(ends_at[-1])))
+        span = np.searchsorted(ends_at, number, side="right")
+        nth = number - (ends_at - blocks)[span] + place
+        left = lengths[live[span]] - 8 * nth
+        at = (starts[live[span]] + 8 * nth)[:, None] + eight
+        word = np.where(eight < left[:, None], padded[np.minimum(at, len(data))], 0).astype(np.uint8).view("<u8").reshape(-1)
+        first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+        out[live[span[first]]] += np.add.reduceat(mixed(word + (nth + 1).astype(np.uint64) * _ODD), first)
     return mixed(out ^ (lengths.astype(np.uint64) * _ODD))
 
 

@@ -71,7 +71,7 @@ def test_features_do_not_depend_on_the_batch():
     at = {n: k for k, n in enumerate(gam_quality.FEATURES)}
     assert whole[1].tolist() == whole[2].tolist() == [0.0] * len(gam_quality.FEATURES)
     assert whole[4, at["same_next"]] == 0.75 and whole[4, at["top_word"]] == 1 and whole[4, at["distinct_words"]] == 0.25
-    assert whole[0, at["repeated_lines"]] == 1 / 3 and whole[0, at["signed_words"]] == 1 / 7
+    assert np.isclose(whole[0, at["repeated_lines"]], 1 / 3) and np.isclose(whole[0, at["signed_words"]], 1 / 7)
 
 
 def test_quality_of_messy_rows(spark, messy):

@@ -51,7 +51,10 @@ def test_vectors_that_take_no_part(spark):
             (7, [1.0, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.5]), (10, [3e38, 3e38])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, members string")
     got = found(ann_graph.nearest(df, "true", 5))
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [1, 7, 10], 1: [0, 7, 10], 7: [10, 0, 1], 10: [7, 0, 1]}
+    # 7 and 10 point the same way, up to the last bit
+    assert {q: [i for i, _ in v][:1] for q, v in got.items()} == {0: [1], 1: [0], 7: [10], 10: [7]}
+    assert {q: {i for i, _ in v} for q, v in got.items()} == {0: {1, 7, 10}, 1: {0, 7, 10}, 7: {10, 0, 1}, 10: {7, 0, 1}}
+    assert [i for i, _ in got[7]] == [10, 0, 1] and [i for i, _ in got[10]] == [7, 0, 1]
     assert ann_graph.nearest(df.limit(0), "true", 5).collect() == []
 
 
