@@ -98,7 +98,7 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int, most_words: int = 1_500_000) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int, most_words: int = 3_000_000) -> DataFrame:
     """Write the ids of ``docs.text`` in ascending ``doc_id`` under ``folder``; the index, read back from its table.
 
     Rows are range-partitioned on ``doc_id`` and sorted in each task, which streams one file. A file is written under a

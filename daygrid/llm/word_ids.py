@@ -93,25 +93,33 @@ class WordTable:
         more.keys, more.ids, more.counts, more.firsts = both[order], np.r_[self.ids, ids], np.r_[self.counts, counts][order], firsts[order]
         return more
 
-    def read(self, hashes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in their order, and how many each text has; every word must be in the table."""
-        if not len(hashes):
-            return np.zeros(0, np.uint32), np.zeros(len(rows) - 1, np.int64)
+    def joined(self, other: WordTable) -> WordTable:
+        return self.extended(other.keys, other.ids[shared.ragged(other.firsts, other.counts)], other.counts)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the words begin, and how many there are; every word must be in the table."""
         at = np.searchsorted(self.keys, hashes)
-        counts = self.counts[at]
-        ids = self.ids[shared.ragged(self.firsts[at], counts)]
-        ends = np.r_[0, np.cumsum(counts)]
-        return ids, np.diff(ends[np.searchsorted(starts, rows)])
+        return self.firsts[at], self.counts[at]
+
+    def read(self, hashes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in their order, and how many each text has."""
+        return _per_row(self.ids, *self.places(hashes), starts, rows)
+
+
+def _per_row(ids, firsts, counts, starts, rows):
+    ends = np.r_[0, np.cumsum(counts)]
+    return ids[shared.ragged(firsts, counts)], np.diff(ends[np.searchsorted(starts, rows)])
 
 
 class Encoder:
     """Ids of whole texts; each distinct word is encoded once while the worker keeps it.
 
-    The kept table has ``most`` words at most and is begun anew beyond that, so memory is bounded.
+    The kept tables have ``most`` words at most and are begun anew beyond that, so memory is bounded. New words go to a
+    small table first, which is joined to the large one from time to time.
     """
 
-    def __init__(self, vocab: dict, most: int = 1_500_000):
-        self.vocab, self.most, self.splitter = vocab, most, Splitter(vocab)
+    def __init__(self, vocab: dict, most: int = 3_000_000, small: int = 100_000):
+        self.vocab, self.most, self.small, self.splitter = vocab, most, small, Splitter(vocab)
         self.kept = sys.modules.setdefault("_daygrid_worker", types.ModuleType("_daygrid_worker")).__dict__.setdefault("words", {})
 
     def encode(self, column):
@@ -121,16 +129,23 @@ class Encoder:
             piece, rows = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
             starts, ends = self.splitter.spans(piece, rows)
             hashes = shared.spans_hashed(piece, starts, ends)
-            held = self.kept.get(self.vocab["path"]) or WordTable()
-            fresh = np.flatnonzero(held.missing(hashes))
+            large, new = self.kept.get(self.vocab["path"]) or (WordTable(), WordTable())
+            if len(large.keys) + len(new.keys) > self.most:
+                large, new = WordTable(), WordTable()
+            elif len(new.keys) > self.small:
+                large, new = large.joined(new), WordTable()
+            rest = large.missing(hashes)
+            fresh = np.flatnonzero(rest)
+            fresh = fresh[new.missing(hashes[fresh])]
             if len(fresh):
                 keys, at = np.unique(hashes[fresh], return_index=True)
-                if len(held.keys) + len(keys) > self.most:
-                    held = WordTable()
-                    keys, at = np.unique(hashes, return_index=True)
-                    fresh = np.arange(len(hashes))
                 raw = piece.tobytes()
                 words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[fresh[at]].tolist(), ends[fresh[at]].tolist(), strict=True)]
-                held = self.kept[self.vocab["path"]] = held.extended(keys, *encoded_words(self.vocab, words))
-            ids, counts = held.read(hashes, starts, rows)
+                new = new.extended(keys, *encoded_words(self.vocab, words))
+            self.kept[self.vocab["path"]] = large, new
+            firsts, counts = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+            firsts[~rest], counts[~rest] = large.places(hashes[~rest])
+            firsts[rest], counts[rest] = new.places(hashes[rest])
+            firsts[rest] += len(large.ids)
+            ids, counts = _per_row(np.r_[large.ids, new.ids], firsts, counts, starts, rows)
             yield a, ids, counts
