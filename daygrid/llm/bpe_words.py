@@ -57,18 +57,21 @@ def _tables(packs):
         yield pa.ipc.open_stream(pack.as_buffer()).read_all()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``ids``: the ids of each whole text as little-endian unsigned 32-bit integers.
 
+    With ``decoded``, the ids are decoded to a column of that name in the same tasks, as ``decode`` does.
     ``docs`` should be read from files or a written table, so that a task that runs again packs the same rows.
     """
     vocab = word_ids.vocabulary(path)
     wide = 2 if vocab["size"] <= 1 << 16 else 4
     n = max(1, docs.rdd.getNumPartitions())
     bits = (2 * n - 1).bit_length()  # 2 ** bits buckets: about as many words in a bucket as in a block
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", decoded)]
     sent = list(dict.fromkeys([*kept, text]))
     out = StructType([docs.schema[c] for c in kept]).add("ids", BinaryType())
+    out = out.add(decoded, StringType()) if decoded else out
+    pieces = _Pieces(path) if decoded else None
 
     def pack(batches):
         import pyarrow as pa
@@ -145,13 +148,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         known = word_ids.WordTable(keys, *((np.concatenate([c for _, c in parts]).view(f"<u{wide}"), np.concatenate([n for n, _ in parts])) if parts else ()))
         done = []
         for part, slices in zip(_tables(rows.column("packed")), seen, strict=True):
-            ids = []
+            ids, texts = [], []
             for rows_at, starts, hashes in slices:
                 flat, counts = known.read(hashes, starts, rows_at)
+                texts += pieces.texts(flat, counts) if pieces else ()
                 raw, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
                 ids += [raw[e - 4 * c:e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            done.append(pa.table([*(part.column(c) for c in kept), pa.array(ids, pa.binary())], [*kept, "ids"]))
-        del seen, known, keys, ids, parts
+            made = [pa.array(ids, pa.binary()), *([pa.array(texts, pa.string())] if pieces else [])]
+            done.append(pa.table([*(part.column(c) for c in kept), *made], out.names))
+        del seen, known, keys, ids, texts, parts, made
         shared.give_back()
         return pa.concat_tables(done)
 
@@ -174,11 +179,25 @@ def _pieces(path: str) -> list[bytes]:
     return pieces
 
 
+class _Pieces:
+    """The id-to-piece table: bytes of all pieces, one after the other, and where each begins."""
+
+    def __init__(self, path: str):
+        pieces = _pieces(path)
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.content, self.firsts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids that lie one text after the other."""
+        sizes = self.lengths[ids]
+        raw = self.content[shared.ragged(self.firsts[ids], sizes)].tobytes()
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]].tolist()
+        return [raw[s:e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids. The piece table has the size of the vocabulary and goes with the task."""
-    pieces = _pieces(path)
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    content, firsts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(lengths) - lengths
+    pieces = _Pieces(path)
     kept = [c for c in df.columns if c != decoded]
     out = StructType([df.schema[c] for c in kept]).add(decoded, StringType())
 
@@ -186,17 +205,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
         import pyarrow as pa
 
         for batch in batches:
-            column = batch.column(kept.index(ids))
-            column = column.fill_null(b"").cast(pa.large_binary())
+            column = batch.column(kept.index(ids)).fill_null(b"").cast(pa.large_binary())
             _, offsets, data = column.buffers()
             offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
             texts = []
             for a, b in shared.slices(offsets):
                 flat = np.frombuffer(data, np.uint8)[offsets[a]:offsets[b]].view("<u4") if offsets[b] > offsets[a] else np.zeros(0, np.uint32)
-                sizes = lengths[flat]
-                raw = content[shared.ragged(firsts[flat], sizes)].tobytes()
-                ends = np.r_[0, np.cumsum(sizes)][(offsets[a:b + 1] - offsets[a]) // 4].tolist()
-                texts += [raw[s:e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                texts += pieces.texts(flat, np.diff(offsets[a:b + 1]) // 4)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(texts, pa.string())], [*kept, decoded])
             del batch, column, offsets, data, texts
             shared.give_back()

@@ -32,7 +32,6 @@ def bpe_digests(spark, sf_dir):
 
 def digests(docs):
     """Encoded, decoded, and told by their hashes."""
-    path = vocabulary_file()
-    both = bpe_words.decode(bpe_words.encode(docs, path, keep=["doc_id"]), path)
+    both = bpe_words.encode(docs, vocabulary_file(), keep=["doc_id"], decoded="decoded")
     return both.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
