@@ -29,7 +29,10 @@ COMMON = {
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_CHARS, MIN_COMMON_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.75
+MAX_CLASS_DISTANCE = 0.3
+#: The rest holds four fifths of both histograms, so prose stays far below 1: a text without one common word of its language
+#: is at 0.31 to 0.32, a clean one of 100 words or more below 0.24.
+MAX_WORD_DISTANCE = 0.26
 
 
 def words_of(text):

@@ -80,6 +80,19 @@ def test_rules_keep_clean_texts(spark):
     assert sum(r.kept for r in good) >= 0.98 * len(good)
 
 
+def test_rules_reject_texts_of_another_language_than_their_label(spark, documents):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    clean = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if labels.get(r.doc_id) == 1 and len(r.text.split()) >= 100]
+    english = [r for r in clean if r.lang == "en"]
+    german, french = (next(r for r in clean if r.lang == x) for x in ("de", "fr"))
+    salad = " ".join(f"zor{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120))  # no common word, usual signs
+    rows = [(k, r.text, "en", "a", 0) for k, r in enumerate(english)] + [(-1, german.text, "en", "a", 0), (-2, french.text, "en", "a", 0), (-3, salad, "en", "a", 0)]
+    got = {r.doc_id: r for r in divergence_rules.judged(documents(rows)).collect()}
+    assert all(not got[k].base_failed and got[k].class_distance <= divergence_rules.MAX_CLASS_DISTANCE for k in (-1, -2, -3))
+    assert not any(got[k].kept for k in (-1, -2, -3))
+    assert sum(got[k].kept for k in range(len(english))) >= 0.98 * sum(not got[k].base_failed for k in range(len(english)))
+
+
 def test_rules_on_messy_rows(messy):
     rows = divergence_rules.judged(messy).collect()
     assert len(rows) == messy.count() and all(r.kept is not None for r in rows)
