@@ -4,12 +4,11 @@ A model holds, per language, raw bytes of training texts as a zstandard dictiona
 is compressed with every dictionary by itself (so the dictionary counts over the whole length of the text), and the sums
 are compared. The smallest wins; the margin to the second makes the score, and a narrow margin is told as rejected.
 
-The dictionaries are made from a bounded sample: whole texts in the order of a hash, up to ``DICTIONARY`` bytes per
-language. Their number is that of the languages; so is that of
-the sampled texts, times a constant. Of a text only
-its runs of letters count, in lower case. A null text, one without a
-letter, or any text where nothing could be learned is ``und`` with score 0 and rejected. Ties go to the language with more
-training texts. Null languages are not learned, repeated rows stay, extra columns are ignored.
+The dictionaries are made from a bounded sample: texts in the order of a hash, up to ``DICTIONARY`` bytes per language,
+of a text longer than ``SAMPLE_TEXT`` bytes that much from ``PLACES`` drawn by hash. Their number is that of the languages;
+so is that of the sampled texts, times a constant. Of a text only its runs of
+letters count, in lower case. A null text, one without a letter, or any text where nothing could be learned is ``und`` with
+score 0 and rejected. Ties go to the language with more training texts. Null languages are not learned, repeated rows stay, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,23 +21,33 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 DICTIONARY = 48 << 10  # bytes of training text per language: the documented bound of the sample
-SAMPLE_TEXT = 8 << 10  # longer texts are not sampled, so that one text does not fill a dictionary
+SAMPLE_TEXT = 8 << 10  # of longer texts so many bytes are sampled, so that one text does not fill a dictionary
+PLACES = 4  # pieces of a longer text, one from each of as many equal parts of it
 BLOCK = 2 << 10
 LEVEL = 6
 NARROW = 0.02  # rejected below this share of bytes saved against the second language
 SHARPNESS = 0.15  # score per byte of margin
 
 
+def _sampled():
+    """The text, or of a long one about ``SAMPLE_TEXT`` bytes: a piece from a place drawn by hash in each of its equal parts."""
+    part = f"(char_length(text) div {PLACES})"
+    wide = f"cast(floor(char_length(text) * {SAMPLE_TEXT / PLACES}D / n) as int)"
+    pieces = [f"substring(text, cast({k} * {part} + 1 + pmod(xxhash64(h, {k}), greatest(1L, {part} - {wide} + 1)) as int), {wide})" for k in range(PLACES)]
+    return F.expr(f"CASE WHEN n <= {SAMPLE_TEXT} THEN text ELSE concat_ws(' ', {', '.join(pieces)}) END")
+
+
 def learn(labelled: DataFrame, size: int = DICTIONARY) -> dict[str, bytes]:
     """Per language, texts in the order of a hash up to ``size`` bytes; the language with most texts first."""
     order = Window.partitionBy("lang").orderBy("h", "n")
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.octet_length("text").alias("n")) \
-        .filter(F.col("n").between(1, SAMPLE_TEXT)).withColumn("h", F.xxhash64("text"))
+        .filter("n > 0").withColumn("h", F.xxhash64("text"))
     # hashes and lengths are ranked, texts are fetched for the few that are taken; the rank is bounded, so tasks send few rows
     names = rows.select("lang", "h", "n").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, size // 64))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.least("n", F.lit(SAMPLE_TEXT))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = names.withColumn("before", before).filter(F.col("before") < size).select(F.col("lang").alias("l"), F.col("h").alias("k"))
-    texts = rows.join(F.broadcast(taken), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).dropDuplicates(["lang", "h"])
+    texts = rows.join(F.broadcast(taken), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))) \
+        .withColumn("text", _sampled()).dropDuplicates(["lang", "h"])
     found: dict[str, list[str]] = {}
     for row in texts.orderBy("lang", "h", "n").select("lang", "text").collect():
         found.setdefault(row[0], []).append(row[1])

@@ -40,6 +40,24 @@ def test_the_dictionary_is_bounded(spark):
     assert all(0 < len(v) <= 5000 for v in compress_lang.learn(docs, 5000).values())
 
 
+def test_languages_whose_texts_are_all_long_are_learned(spark, documents):
+    given = {}
+    for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").orderBy("doc_id").collect():
+        given.setdefault(r.lang, []).append(r.text)
+    long = {x: "\n".join(t for t in given[x][40:] if len(t) < 5000)[:60_000] for x in ("de", "fr")}
+    rows = [(0, long["de"], "de", "a", 0), (1, long["fr"], "fr", "a", 0)] + [(2 + k, t, "en", "a", 0) for k, t in enumerate(given["en"][:20])]
+    model = compress_lang.learn(documents(rows))
+    assert set(model) == {"de", "fr", "en"}
+    # a long text gives its bound, from several places
+    assert all(compress_lang.SAMPLE_TEXT // 2 < len(model[x]) <= compress_lang.SAMPLE_TEXT + compress_lang.PLACES for x in ("de", "fr"))
+    only_long = compress_lang.learn(documents(rows[:2]))
+    assert set(only_long) == {"de", "fr"}
+    asked = [(k, t, x) for k, (x, t) in enumerate((x, t) for x in ("de", "fr") for t in given[x][:40] if len(t) > 400)]
+    for m in (model, only_long):
+        got = {r.doc_id: r.lang_pred for r in compress_lang.predict(documents([(k, t, None, "a", 0) for k, t, _ in asked]), m).collect()}
+        assert sum(got[k] == x for k, _, x in asked) >= 0.9 * len(asked)
+
+
 def test_quality_of_held_out_texts(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
     rows = q_classes.quality(spark, MIDDLE).collect()
