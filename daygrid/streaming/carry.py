@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from daygrid import config
 from daygrid.functions.calendar import snow_year
 
-OUTPUT = "source STRING, cell_id BIGINT, day DATE, snow_stock DOUBLE, water DOUBLE, fill DOUBLE, drainage DOUBLE"
-STATE = "stock DOUBLE, depletion DOUBLE, last_day INT, snow_year INT"
+OUTPUT = "source STRING, cell_id BIGINT, day DATE, snow_stock DOUBLE, water DOUBLE, fill DOUBLE, drainage DOUBLE, late BOOLEAN"
+STATE = "stock DOUBLE, depletion DOUBLE, last_day INT, snow_year INT, held BINARY"
+COLUMNS = ["ordinal", "snow_year", "tas", "pr", "et0", "capacity"]
 
 
 def _advance(pdf: pd.DataFrame, stock: float, depletion: float, last: int, winter: int) -> tuple[list[tuple], tuple]:
-    """Days after ``last`` in order; an older or repeated day changes nothing and gives no row."""
+    """Days after ``last`` in order; an older or repeated day changes nothing and is told as late, without figures."""
     rows = []
     half = config.SOIL_DEPLETION_FRACTION
-    columns = ("ordinal", "snow_year", "tas", "pr", "et0", "capacity")
-    for ordinal, year, tas, pr, et0, cap in pdf[list(columns)].itertuples(index=False):
+    for ordinal, year, tas, pr, et0, cap in pdf[COLUMNS].itertuples(index=False):
         if ordinal <= last:
+            rows.append((int(ordinal), *[float("nan")] * 4, True))
             continue
         last = int(ordinal)
         if year != winter:
@@ -41,27 +43,34 @@ def _advance(pdf: pd.DataFrame, stock: float, depletion: float, last: int, winte
             drainage = max(-after, 0.0)
             depletion = min(max(after, 0.0), cap)
             fill = 1.0 - depletion / cap
-        rows.append((last, stock, water, fill, drainage))
+        rows.append((last, stock, water, fill, drainage, False))
     return rows, (float(stock), float(depletion), last, winter)
 
 
-def carried(days: DataFrame) -> DataFrame:
+def carried(days: DataFrame, hold_days: int = 0) -> DataFrame:
     """Stock, water, fill and drainage of each new day (``days``: source, cell_id, day, tas, pr, et0, capacity).
 
-    The state of a cell is three numbers. Days of a micro-batch are put in
-    order; a day must not arrive in a later batch than a following one.
+    The state of a cell is three numbers and its held days. Days of a micro-batch are put in order; a day waits in the
+    state until the newest day of its cell is ``hold_days`` past it, so days may come out of order by less than that. A
+    row without a day ends the wait of its cell. What comes later still, or again, gives a row that is ``late`` and has
+    no figures: filter and count these, they are missing from the days after them.
     """
     ready = days.select(
-        "source", "cell_id", F.unix_date("day").alias("ordinal"),
-        snow_year("day").alias("snow_year"), "tas", "pr", "et0", "capacity")
+        "source", "cell_id", F.unix_date("day").cast("double").alias("ordinal"),
+        snow_year("day").cast("double").alias("snow_year"), *[F.col(n).cast("double").alias(n) for n in COLUMNS[2:]])
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (0.0, 0.0, -(10**6), 0)
-        pdf = pd.concat(list(batches)).sort_values("ordinal")
-        rows, held = _advance(pdf, *held)
-        state.update(held)
+        *held, waiting = state.get if state.exists else (0.0, 0.0, -(10**6), 0, b"")
+        before = pd.DataFrame(np.frombuffer(bytes(waiting)).reshape(-1, len(COLUMNS)), columns=COLUMNS)
+        came = pd.concat([before, *[b[COLUMNS] for b in batches]])
+        ends = came["ordinal"].isna()
+        pdf = came[~ends].sort_values("ordinal", kind="stable")
+        open_after = np.inf if ends.any() else max(pdf["ordinal"].max(), held[2]) - hold_days
+        closed = pdf["ordinal"] <= max(open_after, held[2])
+        rows, held = _advance(pdf[closed], *held)
+        state.update((*held, pdf[~closed].to_numpy(float).tobytes()))
         if rows:
-            out = pd.DataFrame(rows, columns=["day", "snow_stock", "water", "fill", "drainage"])
+            out = pd.DataFrame(rows, columns=["day", "snow_stock", "water", "fill", "drainage", "late"])
             out["day"] = pd.to_datetime(out["day"], unit="D").dt.date
             out.insert(0, "cell_id", key[1])
             out.insert(0, "source", key[0])
