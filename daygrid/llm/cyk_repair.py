@@ -118,15 +118,19 @@ def _skinny(rows: DataFrame) -> DataFrame:
                        F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)).alias("hash"))
 
 
-def faults(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, hash, fault (blank, duplicate, truncated or null) of every row, without its text."""
-    skinny = _skinny(rows)
+def faults(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """conv_id, turn, role, hash, fault (blank, duplicate, truncated or null) of every row, without its text.
+
+    Rows of ``ids`` go along with nothing but their conv_id, and hash null.
+    """
     end = F.expr(f"trim(TRAILING '{_SPACE}' FROM text)")
-    skinny = skinny.select("conv_id", "turn", "role", F.substring("hash", 1, 16).alias("hash"), F.right(end, F.lit(1)).alias("end")).repartition("conv_id")
+    skinny = _skinny(rows).select("conv_id", "turn", "role", F.substring("hash", 1, 16).alias("hash"), F.right(end, F.lit(1)).alias("end"))
+    if ids is not None:  # joined before the one exchange, so that both lie by the same conv_id
+        bare = [F.lit(None).cast(t).alias(c) for c, t in skinny.dtypes[1:]]
+        skinny = skinny.unionByName(ids.select(F.col("conv_id").cast("long").alias("conv_id"), *bare))
     nth = F.row_number().over(Window.partitionBy("conv_id", "hash").orderBy(F.asc_nulls_first("turn")))
-    return skinny.withColumn("nth", nth).select(
-        "conv_id", "turn", "role", "hash",
-        F.when(F.col("end") == "", "blank").when(F.col("nth") > 1, "duplicate").when(~F.col("end").isin(".", "!", "?"), "truncated").alias("fault"))
+    fault = F.when(F.col("end") == "", "blank").when(F.col("nth") > 1, "duplicate").when(~F.col("end").isin(".", "!", "?"), "truncated")
+    return skinny.repartition("conv_id").withColumn("nth", nth).select("conv_id", "turn", "role", "hash", F.when(F.col("hash").isNotNull(), fault).alias("fault"))
 
 
 class _Conversation:
@@ -161,11 +165,11 @@ def _told(batches):
     names = [c.split()[0] for c in _SUMMARY.split(", ")]
     now, out = None, []
     for batch in batches:
-        for conv_id, mark, turn, role, fault in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "mark", "turn", "role", "fault"))):
-            if mark == 0:
+        for conv_id, turn, role, held, fault in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "held", "fault"))):
+            if now is None or conv_id != now.conv_id:
                 out += [now.told()] if now is not None else []
                 now = _Conversation(conv_id)
-            else:
+            if held:
                 now.add(turn, role, fault)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
@@ -179,11 +183,9 @@ def summary(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
     gaps: turns missing between the first and last known one (a long; wraps). A conversation without rows: zeros, no edit.
     """
-    marks = rows.select("conv_id") if ids is None else ids.select("conv_id").union(rows.select("conv_id"))
-    found = faults(rows).withColumn("mark", F.lit(1))
-    marks = marks.distinct().select(F.col("conv_id").cast("long").alias("conv_id"), *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:-1]], F.lit(0).alias("mark"))
-    ordered = found.unionByName(marks).repartition("conv_id").sortWithinPartitions("conv_id", "mark", F.asc_nulls_first("turn"), "role", "hash")
-    return shared.written(ordered.select("conv_id", "mark", "turn", "role", "fault").mapInArrow(_told, _SUMMARY), "repairs")
+    ordered = faults(rows, ids).sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "hash")
+    told = ordered.select("conv_id", "turn", "role", F.col("hash").isNotNull().alias("held"), "fault").mapInArrow(_told, _SUMMARY)
+    return shared.written(told, "repairs")
 
 
 def _edited(batches):

@@ -234,18 +234,18 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """``pages`` with its html replaced by the main text."""
     from pyspark.sql import types as T
 
-    fields = [f for f in pages.schema.fields if f.name not in ("html", text)]
+    kept = [k for k, f in enumerate(pages.schema.fields) if f.name not in ("html", text)]
+    at_html, names = pages.columns.index("html"), [pages.columns[k] for k in kept] + [text]
+    plain = pages.toDF(*[f"c{k}" for k in range(len(pages.columns))])  # inside, columns go by place: names may hold dots
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
+            for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
-                at += 64
-                texts = pa.array([main_text(h.as_py()) for h in rows.column("html")], pa.string())
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in fields], texts], [*[f.name for f in fields], text])
+                texts = pa.array([main_text(h.as_py()) for h in rows.column(at_html)], pa.string())
+                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in kept], texts], [*[f"c{k}" for k in kept], "text"])
 
-    columns = [f"`{f.name}`" for f in fields]
-    return pages.select(*columns, "html").mapInArrow(work, T.StructType([*fields, T.StructField(text, T.StringType())]))
+    schema = T.StructType([*[plain.schema.fields[k] for k in kept], T.StructField("text", T.StringType())])
+    return plain.mapInArrow(work, schema).toDF(*names)
