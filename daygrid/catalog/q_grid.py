@@ -195,8 +195,7 @@ def far_stations(t):
  CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1994, 2002)) AS y) AS years WHERE y BETWEEN first_year AND last_year GROUP BY 1, 2) AS n
  ON n.cell_id = w.cell_id AND n.year = w.year""", far=FAR_STATIONS)
 def _(t):
-    years = t.spark.range(1994, 2003).select(F.col("id").alias("year"))
-    return N.stations_around(t.cells, far_stations(t), years)
+    return N.stations_around(t.cells, far_stations(t), range(1994, 2003))
 
 
 # Every seventh station is far from any valid cell.

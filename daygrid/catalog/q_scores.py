@@ -240,17 +240,67 @@ def _(t):
         S.covered_since(y, F.lit(365), 0.45), ["cell_id", "variable"])
 
 
-DIST = "SELECT cell_id, MIN(km) AS nearest FROM (SELECT c.cell_id, " + KM.format(a="c.lat", b="c.lon", c="s.lat", d="s.lon") + """ AS km FROM cells AS c CROSS JOIN stations AS s
- WHERE s.first_year <= 1998 AND s.last_year >= 1998) AS x GROUP BY 1"""
+KM_PAIRS = "SELECT c.cell_id, c.elevation AS ce, s.elevation AS se, s.first_year, s.last_year, " + KM.format(a="c.lat", b="c.lon", c="s.lat", d="s.lon") + \
+    " AS km FROM cells AS c CROSS JOIN stations AS s"
+HALVES = ((1994, 1997), (1998, 2001))
+HALF = "CASE WHEN year BETWEEN 1994 AND 1997 THEN 0 WHEN year BETWEEN 1998 AND 2001 THEN 1 END"
+AROUND = """SELECT cell_id, y AS year, MIN(km) AS nearest_km, COUNT(CASE WHEN km <= 25 THEN 1 END) AS stations, AVG(CASE WHEN km <= 25 THEN se - ce END) AS height_gap
+ FROM km_pairs CROSS JOIN (SELECT UNNEST(GENERATE_SERIES(1994, 2001)) AS y) AS u WHERE y BETWEEN first_year AND last_year GROUP BY 1, 2"""
+HALF_GAP = "SELECT cell_id, variable, " + HALF + " AS period, CASE WHEN COUNT(annual) >= 0.8*4 THEN AVG(annual) END AS annual FROM yg GROUP BY 1, 2, 3"
+HALF_DIST = "SELECT cell_id, " + HALF + " AS period, AVG(nearest_km) AS km FROM around GROUP BY 1, 2"
 
 
-@query("val17_by_distance", "variable:s class:i mean:3 sd:3 cells:i", """
- SELECT variable, CAST(nearest >= 5 AS INTEGER) + CAST(nearest >= 9 AS INTEGER) AS class, AVG(annual) AS mean, STDDEV_POP(annual) AS sd, COUNT(*) AS cells FROM yg JOIN dist USING (cell_id)
- WHERE annual IS NOT NULL GROUP BY 1, 2""", yg=YG, dist=DIST)
+def around(t):
+    return NB.stations_around(t.cells, t.stations, range(1994, 2002))
+
+
+@query("val17_by_distance", "variable:s period:i class:i mean:3 sd:3 cells:i", """
+ SELECT variable, period, CASE WHEN km IS NOT NULL THEN CAST(km >= 5 AS INTEGER) + CAST(km >= 9 AS INTEGER) END AS class, AVG(annual) AS mean, STDDEV_POP(annual) AS sd, COUNT(*) AS cells
+ FROM half_gap JOIN half_dist USING (cell_id, period) WHERE annual IS NOT NULL GROUP BY 1, 2, 3""", yg=YG, km_pairs=KM_PAIRS, around=AROUND, half_gap=HALF_GAP, half_dist=HALF_DIST)
+def _(t):
+    gaps, dist = S.by_period(gaps_by_year(t), "annual", HALVES, 0.8, ("cell_id", "variable")), S.by_period(around(t), "nearest_km", HALVES, 0.0, ("cell_id",))
+    classes = dist.select("cell_id", "period", S.altitude_class(F.col("nearest_km"), (5.0, 9.0)).alias("class"))
+    return S.spread_by(gaps.join(classes, ["cell_id", "period"]), ["variable", "period", "class"], "annual")
+
+
+@query("val17_drift_by_approach", "variable:s approach:s mean:3 sd:3 cells:i", """
+ SELECT a.variable, CASE WHEN d.km < 9 AND e.km < 9 THEN 'near' WHEN d.km >= 9 AND e.km < 9 THEN 'approached' WHEN d.km >= 9 AND e.km >= 9 THEN 'far' WHEN d.km < 9 AND e.km >= 9 THEN 'receded' END AS approach,
+  AVG(b.annual - a.annual) AS mean, STDDEV_POP(b.annual - a.annual) AS sd, COUNT(*) AS cells FROM half_gap AS a JOIN half_gap AS b ON b.cell_id = a.cell_id AND b.variable = a.variable AND a.period = 0 AND b.period = 1
+  LEFT JOIN half_dist AS d ON d.cell_id = a.cell_id AND d.period = 0 LEFT JOIN half_dist AS e ON e.cell_id = a.cell_id AND e.period = 1
+  WHERE a.annual IS NOT NULL AND b.annual IS NOT NULL GROUP BY 1, 2""", yg=YG, km_pairs=KM_PAIRS, around=AROUND, half_gap=HALF_GAP, half_dist=HALF_DIST)
+def _(t):
+    gaps, dist = S.by_period(gaps_by_year(t), "annual", HALVES, 0.8, ("cell_id", "variable")), S.by_period(around(t), "nearest_km", HALVES, 0.0, ("cell_id",))
+    return S.drift_by_approach(gaps, dist, "annual", 9.0)
+
+
+WHOLE_GAP = "SELECT cell_id, variable, AVG(annual) AS annual FROM yg WHERE year BETWEEN 1994 AND 2001 GROUP BY 1, 2 HAVING COUNT(annual) >= 0.8*8"
+ACTIVE = "SELECT c.cell_id, c.elevation, COALESCE(stations, 0) AS stations, height_gap FROM cells AS c LEFT JOIN (SELECT * FROM around WHERE year = 1998) AS a USING (cell_id)"
+DENSITY = "CASE WHEN stations = 0 THEN 0 WHEN stations = 1 THEN 1 WHEN stations <= 3 THEN 2 WHEN stations <= 7 THEN 3 ELSE 4 END"
+HEIGHT = "CASE WHEN elevation IS NOT NULL THEN CAST(elevation >= 300 AS INTEGER) + CAST(elevation >= 700 AS INTEGER) + CAST(elevation >= 1200 AS INTEGER) + CAST(elevation >= 1800 AS INTEGER) END"
+
+
+def active_gaps(t):
+    """Gaps over the whole span beside the stations active in 1998."""
+    gaps = S.by_period(gaps_by_year(t), "annual", ((1994, 2001),), 0.8, ("cell_id", "variable")).drop("period").filter("annual IS NOT NULL")
+    return gaps.join(NB.stations_around(t.cells, t.stations, [1998]), "cell_id").join(t.cells.select("cell_id", "elevation"), "cell_id")
+
+
+@query("val17_by_density_and_altitude", "variable:s altitude:i density:i mean:3 rms:3 cells:i", """
+ SELECT variable, altitude, density, AVG(annual) AS mean, SQRT(AVG(annual*annual)) AS rms, COUNT(*) AS cells FROM (
+  SELECT variable, annual, """ + HEIGHT + " AS altitude, " + DENSITY + """ AS density FROM whole_gap JOIN active USING (cell_id)) AS x WHERE altitude IS NOT NULL
+ GROUP BY GROUPING SETS ((variable, density), (variable, altitude), (variable, altitude, density))""",
+       yg=YG, km_pairs=KM_PAIRS, around=AROUND, whole_gap=WHOLE_GAP, active=ACTIVE)
+def _(t):
+    return S.by_density_and_altitude(active_gaps(t), "annual")
+
+
+@query("val17_station_height", "variable:s height:i mean:3 rms:3 cells:i correlation:3", """
+ SELECT variable, height, mean, rms, cells, correlation FROM (SELECT variable, CAST(height_gap >= -300 AS INTEGER) + CAST(height_gap >= -100 AS INTEGER) + CAST(height_gap > 100 AS INTEGER) AS height,
+  AVG(annual) AS mean, SQRT(AVG(annual*annual)) AS rms, COUNT(*) AS cells FROM whole_gap JOIN active USING (cell_id) WHERE stations > 0 AND elevation >= 700 AND height_gap IS NOT NULL GROUP BY 1, 2) AS x
+ JOIN (SELECT variable, CORR(annual, height_gap) AS correlation FROM whole_gap JOIN active USING (cell_id) WHERE stations > 0 GROUP BY 1) AS c USING (variable)""",
+       yg=YG, km_pairs=KM_PAIRS, around=AROUND, whole_gap=WHOLE_GAP, active=ACTIVE)
 def _(t):
-    years = t.spark.range(1998, 1999).select(F.col("id").alias("year"))
-    d = NB.stations_around(t.cells, t.stations, years).select("cell_id", S.altitude_class(F.col("nearest_km"), (5.0, 9.0)).alias("class"))
-    return S.spread_by(gaps_by_year(t).join(d, "cell_id"), ["variable", "class"], "annual")
+    return S.by_station_height(active_gaps(t), "annual", 700.0)
 
 
 STATION_PAIRS = """SELECT d.station_id, d.day, d.tas AS o, g.tas AS s, c.elevation - st.elevation AS dz FROM station_daily AS d JOIN stations AS st USING (station_id) JOIN cells AS c ON c.cell_id = st.cell_id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from daygrid import config
 from daygrid.functions.geo import haversine_km
 from daygrid.operators.grid import degrees_for_km
 from daygrid.functions.expr import half_even
+from daygrid.session import written
 
 
 def _km(a: str, b: str, c: str, d: str) -> Column:
@@ -27,11 +29,6 @@ def one_per_spot(places: DataFrame, order: str, *, extra: Sequence[str] = ()) ->
     return places.groupBy("lat", "lon", *extra).agg(F.min(order).alias(order))
 
 
-#: Half the way round the globe and a little more: no two points are farther apart.
-ALL_KM = 20_100.0
-GROWTH = 4.0
-
-
 def within(points: DataFrame, others: DataFrame, km: float, point_cols: Sequence[str], other_cols: Sequence[str]
            ) -> DataFrame:
     """Pairs closer than ``km``: the point is sent to the buckets its circle touches.
@@ -111,30 +108,68 @@ def contrast_city(points: DataFrame, cities: DataFrame, key: str, order: str = "
     return points.select(key).join(best.withColumnRenamed(order, "contrast_id"), key, "left")
 
 
-def stations_around(cells: DataFrame, stations: DataFrame, years: DataFrame, km: float = 25.0) -> DataFrame:
+def _cubes(df: DataFrame, edge: float) -> DataFrame:
+    """``df`` with ``_x, _y, _z``: its cube of ``edge`` kilometres in a lattice round the whole globe."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    place = {"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)}
+    return df.withColumns({c: F.floor((1.0 + v) * config.EARTH_KM / edge).cast("int") for c, v in place.items()})
+
+
+def _levels(edge: float) -> int:
+    """Levels of cubes, each twice as wide as the one before, up to one that holds the globe."""
+    return max(1, math.ceil(math.log2(2 * config.EARTH_KM / edge + 1)))
+
+
+def _raised(df: DataFrame, levels: int) -> DataFrame:
+    """Every row once per level, with its cube there."""
+    up = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return up.withColumns({c: F.expr(f"shiftright({c}, level)") for c in _CUBE})
+
+
+_CUBE = ("_x", "_y", "_z")
+
+
+def stations_around(cells: DataFrame, stations: DataFrame, years: Sequence[int], km: float = 25.0) -> DataFrame:
     """Per cell and year: distance to the nearest active station, how many are within ``km``,
     and their mean altitude above the cell's. Every cell has every year; NULL only where no station is active at all.
 
-    The nearest is looked for in growing circles: cell-years that have one leave, the others go on to
-    the next circle, up to the whole globe. The years only multiply pairs already matched.
+    A pyramid of cubes, each level twice as wide, tells which cubes hold an active station in which year. The
+    smallest cube round a cell that holds one bounds the distance, so the nearest lies in that cube or the two next to it
+    on each side: one look-up, one meeting of rows. Cubes of cells and cubes of stations meet first, with the
+    years both have; only then stations come in, and cells last. A year without stations meets nothing.
     """
-    left = cells.select("cell_id", "lat", "lon", "elevation").crossJoin(years.select("year"))
-    found, reach = None, km
-    while True:
-        spots = left.select("cell_id", "lat", "lon", "elevation").distinct()
-        pairs = within(spots, stations, reach, ["cell_id", "elevation"], ["station_id", "first_year", "last_year", "elevation"])
-        asked = left.select("cell_id", "year")
-        active = pairs.join(asked, "cell_id").filter(F.col("year").between(F.col("first_year"), F.col("last_year")))
-        close = F.col("km") <= km
-        here = active.groupBy("cell_id", "year").agg(
-            F.min("km").alias("nearest_km"), F.count(F.when(close, 1)).alias("stations"),
-            F.avg(F.when(close, F.col("other_elevation") - F.col("elevation"))).alias("height_gap"))
-        found = here if found is None else found.unionByName(here)
-        if reach >= ALL_KM:
-            break
-        left = left.join(here.select("cell_id", "year"), ["cell_id", "year"], "left_anti")
-        reach = min(ALL_KM, reach * GROWTH)
-    whole = cells.select("cell_id").crossJoin(years.select("year"))
+    levels = _levels(km)
+    asked = F.array(*[F.lit(int(y)) for y in years])
+    sites = written(_cubes(stations.select("station_id", "lat", "lon", "elevation", "first_year", "last_year"), km).withColumn(
+        "_years", F.filter(asked, lambda y: y.between(F.col("first_year"), F.col("last_year")))).filter(F.size("_years") > 0))
+    spots = written(_cubes(cells.select("cell_id", "lat", "lon", "elevation"), km))
+    at = ["level", *_CUBE]
+    # which cubes are live in which years; narrow cubes are merged before they are raised
+    narrow = sites.select(*_CUBE, F.explode("_years").alias("year")).distinct()
+    live = _raised(narrow, levels).select(*at, "year").distinct()
+    # the level each narrow cube of cells asks at: 0 in all years for the near ones, else that of the smallest live cube
+    own = spots.select(*_CUBE).distinct().withColumns({f"_o{c}": F.col(c) for c in _CUBE})
+    first = _raised(own, levels).join(live, at).groupBy(*[f"_o{c}" for c in _CUBE], "year").agg(F.min("level").alias("level"))
+    far = first.filter("level > 0").groupBy(*[f"_o{c}" for c in _CUBE], "level").agg(F.collect_set("year").alias("_asked"))
+    near = own.select(*[f"_o{c}" for c in _CUBE], F.lit(0).alias("level"), asked.alias("_asked"))
+    wants = far.unionByName(near)
+    # cubes of cells meet live cubes, then stations, then cells
+    moves = F.explode(F.expr("flatten(flatten(transform(sequence(-2, 2), a -> transform(sequence(-2, 2), b -> transform(sequence(-2, 2), c -> struct(a, b, c))))))"))
+    here = wants.select("level", *[F.expr(f"shiftright(_o{c}, level)").alias(f"_h{c}") for c in _CUBE], F.explode("_asked").alias("year")).distinct()
+    here = here.groupBy("level", *[f"_h{c}" for c in _CUBE]).agg(F.collect_set("year").alias("_asked")).withColumn("_m", moves)
+    here = here.select("level", *[f"_h{c}" for c in _CUBE], "_asked", *[(F.col(f"_h{c}") + F.col(f"_m.{d}")).alias(c) for c, d in zip(_CUBE, "abc")])
+    holding = live.groupBy(*at).agg(F.collect_set("year").alias("_live"))
+    tiles = here.join(holding, at).withColumn("_both", F.array_intersect("_asked", "_live")).filter(F.size("_both") > 0)
+    placed = _raised(sites, levels).select(*at, F.col("lat").alias("_olat"), F.col("lon").alias("_olon"), F.col("elevation").alias("_oz"), "_years")
+    met = tiles.join(placed, at).withColumn("_both", F.array_intersect("_both", "_years")).filter(F.size("_both") > 0)
+    met = met.select("level", *[F.col(f"_h{c}").alias(c) for c in _CUBE], "_olat", "_olon", "_oz", "_both")
+    cell = spots.withColumnsRenamed({c: f"_o{c}" for c in _CUBE}).join(wants, [f"_o{c}" for c in _CUBE])
+    cell = cell.select("cell_id", "lat", "lon", "elevation", "level", "_asked", *[F.expr(f"shiftright(_o{c}, level)").alias(c) for c in _CUBE])
+    pairs = cell.join(met, at).select("cell_id", "level", (F.col("_oz") - F.col("elevation")).alias("_gap"), _km("lat", "lon", "_olat", "_olon").alias("_km"),
+                                      F.explode(F.array_intersect("_both", "_asked")).alias("year"))
+    close = (F.col("level") == 0) & (F.col("_km") <= km)
+    found = pairs.groupBy("cell_id", "year").agg(F.min("_km").alias("nearest_km"), F.count_if(close).alias("stations"), F.avg(F.when(close, F.col("_gap"))).alias("height_gap"))
+    whole = cells.select("cell_id", F.explode(asked).alias("year"))
     return whole.join(found, ["cell_id", "year"], "left").fillna(0, ["stations"])
 
 

@@ -270,6 +270,56 @@ def spread_by(values: DataFrame, by: Sequence[str], name: str) -> DataFrame:
         F.avg(name).alias("mean"), F.stddev_pop(name).alias("sd"), F.count("*").alias("cells"))
 
 
+def by_period(yearly: DataFrame, name: str, periods: Sequence[tuple[int, int]], complete: float, keys: Sequence[str]) -> DataFrame:
+    """Mean of the years of each period (numbered from 0); NULL where fewer than ``complete`` of them are known."""
+    number, length = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, (first, last) in enumerate(periods):
+        inside = F.col("year").between(first, last)
+        number, length = F.when(inside, k).otherwise(number), F.when(inside, last - first + 1).otherwise(length)
+    rows = yearly.withColumns({"period": number, "_length": length}).filter("period IS NOT NULL")
+    known = F.count(name) >= complete * F.max("_length")
+    return rows.groupBy(*keys, "period").agg(F.when(known, F.avg(name)).alias(name))
+
+
+def drift_by_approach(gaps: DataFrame, distances: DataFrame, name: str, near_km: float = 25.0) -> DataFrame:
+    """Drift of a gap from period 0 to 1, by whether the nearest station was near in either (``distances``: cell_id, period, nearest_km)."""
+    def both(df, keys, column):
+        return df.groupBy(*keys).agg(*[F.max(F.when(F.col("period") == k, F.col(column))).alias(f"_{column}{k}") for k in (0, 1)])
+
+    rows = both(gaps, ("cell_id", "variable"), name).join(both(distances, ("cell_id",), "nearest_km"), "cell_id", "left")
+    first, second = F.col("_nearest_km0") < near_km, F.col("_nearest_km1") < near_km
+    approach = F.when(first & second, "near").when(~first & second, "approached").when(~first & ~second, "far").when(first & ~second, "receded")
+    drift = rows.select("variable", approach.alias("approach"), (F.col(f"_{name}1") - F.col(f"_{name}0")).alias(name))
+    return spread_by(drift, ["variable", "approach"], name)
+
+
+#: Upper bounds of the classes of station density (stations near a cell).
+DENSITIES = (0, 1, 3, 7)
+#: Altitudes that part the classes of cells, metres, and of mean station altitude minus cell altitude.
+ALTITUDES = (300.0, 700.0, 1200.0, 1800.0)
+
+
+def _told(name: str) -> list[Column]:
+    return [F.avg(name).alias("mean"), F.sqrt(F.avg(F.col(name) * F.col(name))).alias("rms"), F.count("*").alias("cells")]
+
+
+def by_density_and_altitude(gaps: DataFrame, name: str) -> DataFrame:
+    """Mean and root mean square by class of density, of altitude, and of both (NULL: all classes)."""
+    density = F.lit(0)
+    for bound in DENSITIES:
+        density = density + F.when(F.col("stations") > bound, 1).otherwise(0)
+    rows = gaps.withColumns({"altitude": altitude_class(F.col("elevation"), ALTITUDES), "density": density}).filter("altitude IS NOT NULL")
+    return rows.groupingSets([["variable", "density"], ["variable", "altitude"], ["variable", "altitude", "density"]], "variable", "altitude", "density").agg(*_told(name))
+
+
+def by_station_height(gaps: DataFrame, name: str, above: float = 700.0) -> DataFrame:
+    """Cells above an altitude by how high their stations stand against them, and the correlation over all cells with stations."""
+    held, gap = gaps.filter("stations > 0"), F.col("height_gap")
+    height = F.when(gap < -300, 0).when(gap < -100, 1).when(gap <= 100, 2).when(gap.isNotNull(), 3)
+    classes = held.filter((F.col("elevation") >= above) & gap.isNotNull()).groupBy("variable", height.alias("height")).agg(*_told(name))
+    return classes.join(held.groupBy("variable").agg(F.corr(name, "height_gap").alias("correlation")), "variable")
+
+
 def station_scores(pairs: DataFrame, keys: Sequence[str], months: Sequence[int], min_season: int = 200, min_year: int = 300,
                    min_years: int = 10, lapse: float = config.PLAIN_LAPSE / 1000) -> DataFrame:
     """Seasonal bias and bias of the yearly extreme at stations, as read and brought to the station's altitude.
