@@ -286,12 +286,9 @@ def _mean4(k):
        m4=_mean4(4), m3=_mean4(3), m1=_mean4(1))
 def _(t):
     four = M.four_neighbours(t.stations.select(F.col("station_id").alias("cell_to"), "lat", "lon"), t.cells, COARSE)
-    out = None
-    for k in (4, 3, 1):
-        m = M.mean_of_four(t.obs, four, "tas", k).groupBy("cell_to").agg(
-            F.count("tas").alias("days"), F.avg("tas").alias("tas")).withColumn("min_valid", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    return out
+    m = M.means_of_four(t.obs, four, "tas").select("cell_to", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("min_valid"), F.col(f"tas_{k}").alias("tas")) for k in (4, 3, 1)])).alias("m"))
+    return m.groupBy("m.min_valid", "cell_to").agg(F.count("m.tas").alias("days"), F.avg("m.tas").alias("tas"))
 
 
 # The European equal-area projection of the GRS80 ellipsoid, inverted in closed and series form; constants worked out here.

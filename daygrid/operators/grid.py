@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from daygrid import config
 from daygrid.functions.expr import clip, half_even, month_table
 from daygrid.functions.geo import squared_degrees
+from daygrid.operators.blocks import lagged, neighbour_days
+from daygrid.session import written
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,7 @@ def nearest_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str, first
     left = places.select(
         key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
         _nearest_index(grid.north - F.col("lat"), grid.step).alias("_i"), _nearest_index(F.col("lon") - grid.west, grid.step).alias("_j"))
-    f = fine.filter("domain").select("i", "j", "fine_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon"))
+    f = written(fine.filter("domain").select("i", "j", "fine_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon")))
     found, tile, whole = None, first, math.ceil(360.0 / grid.step)
     while True:
         at = left.withColumn("_o", F.explode(moves)).withColumns({
@@ -100,11 +102,11 @@ def nearest_fine(places: DataFrame, fine: DataFrame, grid: Grid, key: str, first
         sure = F.lit((tile - 0.5) * grid.step) * F.cos(F.radians("_lat"))
         if tile < whole:
             best = best.filter(F.col("_d") < F.floor(sure * sure * 1e9))
-        here = best.select(key, "fine_id")
+        here = written(best.select(key, "fine_id"))  # each round is built once, whatever the later ones read
         found = here if found is None else found.unionByName(here)
         if tile >= whole:
             return found
-        left = left.join(here.select(key), key, "left_anti")
+        left = written(left.join(here.select(key), key, "left_anti"))
         tile *= growth
 
 
@@ -207,20 +209,9 @@ def coarsen(daily: DataFrame, cells: DataFrame, name: str, factor: int = 2) -> D
 def neighbours(daily: DataFrame, cells: DataFrame, name: str, lags: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     """Each value with the value k cells to the east and to the south of the same day.
 
-    The neighbour's id is looked up on the small cell table first, so the daily
-    rows meet in one equi join on (source, neighbour, day).
+    Days travel packed to square blocks of cells; only cells near an edge go to the next block as well.
     """
-    here = cells.select("cell_id", "row", "col")
-    moves = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("lag"), F.lit(way).alias("way"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
-        for k in lags for way, dr, dc in (("east", 0, k), ("south", k, 0))])).alias("m")
-    there = here.select(F.col("cell_id").alias("other_id"), F.col("row").alias("_r"), F.col("col").alias("_c"))
-    pairs = here.select("cell_id", "row", "col", moves).select(
-        "cell_id", "m.lag", "m.way", (F.col("row") + F.col("m.dr")).alias("_r"),
-        (F.col("col") + F.col("m.dc")).alias("_c")).join(there, ["_r", "_c"]).drop("_r", "_c")
-    a = daily.select("source", "cell_id", "day", F.col(name).alias("value"))
-    b = daily.select("source", F.col("cell_id").alias("other_id"), "day", F.col(name).alias("other"))
-    return a.join(pairs, "cell_id").join(b, ["source", "other_id", "day"])
+    return neighbour_days(daily, lagged(cells, lags), name)
 
 
 def cos_latitude(lat: str = "lat") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daygrid import config
 from daygrid.functions.geo import laea_to_geographic, rotated_to_geographic
+from daygrid.operators.blocks import weighted_sums
 from daygrid.operators.grid import Grid
 from daygrid.functions.expr import half_even
 
@@ -45,18 +46,14 @@ def overlap_weights(source: DataFrame, target: DataFrame, grid: Grid, step: floa
 
 def remap(daily: DataFrame, weights: DataFrame, names: Sequence[str], min_weight: float = config.MIN_COVERAGE,
           strict: bool = False) -> DataFrame:
-    """Weighted means of the valid source cells; NULL where they hold too little weight.
-
-    The weights are reused by every variable in one pass. Spark broadcasts them
-    by itself under its size threshold; above it the join is on the source cell.
-    """
-    met = daily.join(weights, F.col("cell_id") == F.col("cell_from"))
+    """Weighted means of the valid source cells; NULL where they hold too little weight. All variables in one pass."""
+    sums = weighted_sums(daily, weights, names)
     out = []
     for n in names:
-        valid = F.sum(F.when(F.col(n).isNotNull(), F.col("w")))
-        enough = valid > min_weight if strict else valid >= min_weight - 1e-9
-        out.append(F.when(enough, F.sum(F.col("w") * F.col(n)) / valid).alias(n))
-    return met.groupBy("source", "cell_to", "day").agg(*out).withColumnRenamed("cell_to", "cell_id")
+        valid = F.col(f"weight_{n}")
+        enough = (valid > min_weight) if strict else (valid > 0) & (valid >= min_weight - 1e-9)
+        out.append(F.when(enough, F.col(f"sum_{n}") / valid).alias(n))
+    return sums.select("source", F.col("cell_to").alias("cell_id"), "day", *out)
 
 
 def bilinear_weights(target: DataFrame, source: DataFrame, grid: Grid) -> DataFrame:
@@ -90,11 +87,11 @@ def four_neighbours(target: DataFrame, source: DataFrame, grid: Grid) -> DataFra
         "cell_to", "cell_from")
 
 
-def mean_of_four(daily: DataFrame, four: DataFrame, name: str, min_valid: int) -> DataFrame:
-    """Mean of the surrounding cells where at least ``min_valid`` of them are known."""
-    met = daily.join(four, F.col("cell_id") == F.col("cell_from"))
-    return met.groupBy("source", "cell_to", "day").agg(
-        F.when(F.count(name) >= min_valid, F.avg(name)).alias(name))
+def means_of_four(daily: DataFrame, four: DataFrame, name: str, rules: Sequence[int] = (4, 3, 1)) -> DataFrame:
+    """Mean of the surrounding cells, one column ``<name>_<k>`` per rule "at least k of them are known", in one pass."""
+    sums = weighted_sums(daily, four.withColumn("w", F.lit(1.0)), [name])
+    known, total = F.col(f"weight_{name}"), F.col(f"sum_{name}")
+    return sums.select("source", "cell_to", "day", *[F.when(known >= max(k, 1), total / known).alias(f"{name}_{k}") for k in rules])
 
 
 def zonal(raster: DataFrame, cells: DataFrame, grid: Grid, layers: Sequence[str], x: Column, y: Column, mask: str) -> DataFrame:

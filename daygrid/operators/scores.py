@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daygrid import config
+from daygrid.operators.blocks import lagged, neighbour_sums
 from daygrid.functions.calendar import season
 from daygrid.functions.expr import ratio
 from daygrid.functions.quantiles import quantile_array
@@ -97,14 +98,12 @@ def occurrence(stacked: DataFrame, wet: float, low: float | None = None, high: f
 def coherence(daily: DataFrame, cells: DataFrame, name: str, lags: Sequence[int] = (1, 2, 4, 8)) -> DataFrame:
     """Uncentred correlation of each cell's month anomalies with the cell k to the east and to the south,
     averaged over the two, by season."""
-    from daygrid.operators.grid import neighbours
-    a = month_anomalies(daily, name).withColumn("season", season("day"))
-    pairs = neighbours(a.select("source", "cell_id", "day", F.col("a")), cells, "a", lags).filter(
-        "value IS NOT NULL AND other IS NOT NULL").withColumn("season", season("day"))
-    v, o = F.col("value"), F.col("other")
-    r = F.sum(v * o) / F.nullif(F.sqrt(F.sum(v * v) * F.sum(o * o)), F.lit(0.0))
-    one_way = pairs.groupBy("source", "cell_id", "season", "lag", "way").agg(r.alias("r"))
-    return one_way.groupBy("source", "cell_id", "season", "lag").agg(F.avg("r").alias("correlation"))
+    a = month_anomalies(daily, name).select("source", "cell_id", "day", "a")
+    sums = neighbour_sums(a, lagged(cells, lags), "a", [m % 12 // 3 for m in range(1, 13)])
+    r = F.sum("vo") / F.nullif(F.sqrt(F.sum("vv") * F.sum("oo")), F.lit(0.0))
+    one_way = sums.groupBy("source", "cell_id", "part", "lag", "way").agg(r.alias("r"))
+    named = F.element_at(F.array(*[F.lit(s) for s in ("DJF", "MAM", "JJA", "SON")]), (F.col("part") + 1).cast("int"))
+    return one_way.groupBy("source", "cell_id", named.alias("season"), "lag").agg(F.avg("r").alias("correlation"))
 
 
 def change_signal(stacked: DataFrame, past: tuple[int, int], later: tuple[int, int], percent: bool, floor: float = 0.0

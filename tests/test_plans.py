@@ -35,3 +35,15 @@ def test_operators_collect_nothing():
         for path in pathlib.Path(ROOT, "daygrid", folder).glob("*.py"):
             text = path.read_text()
             assert not re.search(r"\.(collect|toPandas|toLocalIterator|localCheckpoint)\(", text), path
+
+
+def test_remap_shuffles_packed_rows_once(spark):
+    """Days travel packed by cell and year: nothing is exchanged by day or by target."""
+    text = plan(spark, "join6_remap")
+    assert not re.search(r"hashpartitioning\([^)]*(day#|cell_to#)", text.replace("cell_from", "")) and len(re.findall(r"hashpartitioning\(_block#\d+L?, _salt#\d+", text)) == 1
+
+
+@pytest.mark.parametrize("name", ["join15_stations_around", "join16_station_cell", "val17_by_distance", "val17_by_density_and_altitude"])
+def test_nearest_by_one_meeting(spark, name):
+    text = plan(spark, name)
+    assert "NestedLoop" not in text and "Cartesian" not in text and len(re.findall("FileScan", text)) < 30
