@@ -58,16 +58,19 @@ def _(t):
 
 # --- quantile delta mapping -----------------------------------------------------------
 
-N = 20  # levels of the checked runs; the tests use 100
-LIST = "[" + ", ".join(f"{v:.6f}" for v in levels(N)) + "]"
+N = 20  # levels of most checked runs; one uses 100
 ADD, HUMID, WIND = Variable("add"), Variable("add", low=0.0, high=100.0), Variable("mul", low=0.0)
 RAIN = Variable("mul", low=0.0, wet=1.0)
 PRESSURE = Variable("add", mean_only=(12, 1, 2, 3))
 FIRST, LAST, SPAN = 1995, 2033, 3
 
 
-def qs(value, table, extra="", when=""):
-    return f"""SELECT cell_id, MONTH(day) AS month{extra}, LIST_TRANSFORM(QUANTILE_CONT({value}, {LIST}), lambda v: ROUND(v, 9)) AS q, AVG({value}) AS mean FROM {table} {when} GROUP BY ALL"""
+def level_list(n):
+    return "[" + ", ".join(f"{v:.6f}" for v in levels(n)) + "]"
+
+
+def qs(value, table, extra="", when="", n=N):
+    return f"""SELECT cell_id, MONTH(day) AS month{extra}, LIST_TRANSFORM(QUANTILE_CONT({value}, {level_list(n)}), lambda v: ROUND(v, 9)) AS q, AVG({value}) AS mean FROM {table} {when} GROUP BY ALL"""
 
 
 def values(df, name):
@@ -81,18 +84,18 @@ def all_sim(t):
 RANKED = """LEAST(GREATEST(CASE WHEN le - lt > 1 THEN (lt + le - 1)/2.0 ELSE le - 1 + CASE WHEN hi > lo THEN (x - lo)/(hi - lo) ELSE 0 END END, 0), {top})"""
 
 
-def rank_sql(table, q="q", name="f", keep="*"):
+def rank_sql(table, q="q", name="f", keep="*", n=N):
     """Adds the fractional index of x among the quantiles of a row."""
-    return f"""SELECT {keep}, CASE WHEN x IS NOT NULL AND {q} IS NOT NULL THEN {RANKED.format(top=N - 1)} END AS {name} FROM (SELECT *, {q}[GREATEST(le, 1)] AS lo, {q}[LEAST(le + 1, {N})] AS hi FROM (
+    return f"""SELECT {keep}, CASE WHEN x IS NOT NULL AND {q} IS NOT NULL THEN {RANKED.format(top=n - 1)} END AS {name} FROM (SELECT *, {q}[GREATEST(le, 1)] AS lo, {q}[LEAST(le + 1, {n})] AS hi FROM (
   SELECT *, LEN(LIST_FILTER({q}, lambda v: v <= x)) AS le, LEN(LIST_FILTER({q}, lambda v: v < x)) AS lt FROM {table}) AS r0) AS r1"""
 
 
-def read_sql(arr, f):
-    return (f"((1 - ({f} - FLOOR({f})))*{arr}[CAST(FLOOR({f}) AS INTEGER) + 1] + ({f} - FLOOR({f}))*{arr}[LEAST(CAST(FLOOR({f}) AS INTEGER) + 2, {N})])")
+def read_sql(arr, f, n=N):
+    return (f"((1 - ({f} - FLOOR({f})))*{arr}[CAST(FLOOR({f}) AS INTEGER) + 1] + ({f} - FLOOR({f}))*{arr}[LEAST(CAST(FLOOR({f}) AS INTEGER) + 2, {n})])")
 
 
-def apply_sql(x, f, kind, low=None, high=None):
-    r, h = read_sql("rq", f), read_sql("hq", f)
+def apply_sql(x, f, kind, low=None, high=None, n=N):
+    r, h = read_sql("rq", f, n), read_sql("hq", f, n)
     y = f"{x} + ({r} - {h})" if kind == "add" else f"CASE WHEN {h} > 0 THEN {r}*LEAST(GREATEST({x}/{h}, 0.0), 10.0) ELSE {x} END"
     if low is not None:
         y = f"GREATEST({y}, {low})"
@@ -138,29 +141,35 @@ def _(t):
     return Q.by_month(values(t.sim, "clt")).join(q, ["cell_id", "month"]).withColumn("f", rank_in("value", "q"))
 
 
-def sliding(name, cal_r="obs", cal_h="sim", span=SPAN):
+def sliding(name, cal_r="obs", cal_h="sim", span=SPAN, n=N):
     """CTEs of the additive or multiplicative run over sliding windows."""
     return dict(
-        r=qs(name, cal_r), h=qs(name, cal_h),
-        wq=f"""SELECT cell_id, month, win, LIST_TRANSFORM(QUANTILE_CONT(x, {LIST}), lambda v: ROUND(v, 9)) AS q FROM (
+        r=qs(name, cal_r, n=n), h=qs(name, cal_h, n=n),
+        wq=f"""SELECT cell_id, month, win, LIST_TRANSFORM(QUANTILE_CONT(x, {level_list(n)}), lambda v: ROUND(v, 9)) AS q FROM (
   SELECT cell_id, MONTH(day) AS month, YEAR(day) AS y, {name} AS x FROM daily WHERE source = 'sim') AS d
   JOIN (SELECT UNNEST(GENERATE_SERIES({FIRST}, {LAST - span + 1})) AS win) AS w ON y BETWEEN win AND win + {span - 1} GROUP BY 1, 2, 3""",
         j=f"""SELECT d.*, wq.q, r.q AS rq, h.q AS hq FROM (SELECT cell_id, day, {name} AS x, MONTH(day) AS month, LEAST(GREATEST(YEAR(day) - {span // 2}, {FIRST}), {LAST - span + 1}) AS win
   FROM daily WHERE source = 'sim') AS d LEFT JOIN wq USING (cell_id, month, win) JOIN r USING (cell_id, month) JOIN h USING (cell_id, month)""",
-        ranked=rank_sql("j"))
+        ranked=rank_sql("j", n=n))
 
 
-def run(t, name, var, fn=Q.correct):
-    cal = Q.calibrate(values(t.obs, name), values(t.sim, name), var, N)
-    return fn(values(all_sim(t), name), cal, var, FIRST, LAST, SPAN, N)
+def run(t, name, var, fn=Q.correct, span=SPAN, n=N):
+    cal = Q.calibrate(values(t.obs, name), values(t.sim, name), var, n)
+    return fn(values(all_sim(t), name), cal, var, FIRST, LAST, span, n)
 
 
 @query("qdm7_10_additive_sliding", "cell_id:i day:d corrected:4", f"SELECT cell_id, day, {apply_sql('x', 'f', 'add')} AS corrected FROM ranked",
-       headline=True, **sliding("tas"))
+       **sliding("tas"))
 def _(t):
     return run(t, "tas", ADD)
 
 
+@query("perf1_hundred_levels", "cell_id:i day:d corrected:4", f"SELECT cell_id, day, {apply_sql('x', 'f', 'add', n=100)} AS corrected FROM ranked",
+       headline=True, **sliding("tas", span=30, n=100))
+def _(t):
+    return run(t, "tas", ADD, Q.correct_by_group, 30, 100)
+
+
 @query("perf1_additive_by_group", "cell_id:i day:d corrected:4", f"SELECT cell_id, day, {apply_sql('x', 'f', 'add')} AS corrected FROM ranked",
        headline=True, **sliding("tas"))
 def _(t):
@@ -186,7 +195,7 @@ TH = """SELECT *, GREATEST(CASE WHEN dry < n THEN hs[dry + 1] ELSE CAST('inf' AS
 
 
 def lq(cond):
-    return f"(SELECT LIST_TRANSFORM(QUANTILE_CONT(v, {LIST}), lambda z: ROUND(z, 9)) FROM (SELECT UNNEST({cond}) AS v) AS u)"
+    return f"(SELECT LIST_TRANSFORM(QUANTILE_CONT(v, {level_list(N)}), lambda z: ROUND(z, 9)) FROM (SELECT UNNEST({cond}) AS v) AS u)"
 
 
 WET_CAL = f"""SELECT cell_id, month, th, LEN(LIST_FILTER(rs, lambda v: v >= 1.0)) AS n_ref, LEN(LIST_FILTER(hs, lambda v: v >= th)) AS n_hist,
@@ -202,7 +211,7 @@ def _(t):
 
 RAIN_RUN = dict(
     **RAIN_PARTS,
-    wq=f"""SELECT d.cell_id, d.month, win, LIST_TRANSFORM(QUANTILE_CONT(CASE WHEN x >= th THEN x END, {LIST}), lambda v: ROUND(v, 9)) AS q FROM (
+    wq=f"""SELECT d.cell_id, d.month, win, LIST_TRANSFORM(QUANTILE_CONT(CASE WHEN x >= th THEN x END, {level_list(N)}), lambda v: ROUND(v, 9)) AS q FROM (
   SELECT cell_id, MONTH(day) AS month, YEAR(day) AS y, pr AS x FROM daily WHERE source = 'sim') AS d JOIN ths USING (cell_id, month)
   JOIN (SELECT UNNEST(GENERATE_SERIES({FIRST}, {LAST - SPAN + 1})) AS win) AS w ON y BETWEEN win AND win + {SPAN - 1} GROUP BY 1, 2, 3""",
     j=f"""SELECT d.*, wq.q, c.* EXCLUDE (cell_id, month) FROM (SELECT cell_id, day, pr AS x, MONTH(day) AS month, LEAST(GREATEST(YEAR(day) - {SPAN // 2}, {FIRST}), {LAST - SPAN + 1}) AS win

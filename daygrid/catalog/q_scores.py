@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from daygrid.catalog.base import query
-from daygrid.catalog.q_correction import GAP, LIST, MASK, N, REGION, mask, values
+from daygrid.catalog.q_correction import GAP, MASK, N, REGION, level_list, mask, values
 from daygrid.functions.humidity import wet_bulb
 from daygrid.operators import nearby as NB
 from daygrid.operators import regions as R
@@ -36,7 +36,7 @@ def _(t):
     return S.over_cells(S.against(S.moments(samples(t, "tas")), "ref", n), n)
 
 
-QROWS = f"""SELECT role, cell_id, month, LIST_TRANSFORM(QUANTILE_CONT(v, {LIST}), lambda z: ROUND(z, 9)) AS q, COUNT(v) AS n FROM (SELECT *, {{v}} AS v FROM st) AS s GROUP BY 1, 2, 3"""
+QROWS = f"""SELECT role, cell_id, month, LIST_TRANSFORM(QUANTILE_CONT(v, {level_list(N)}), lambda z: ROUND(z, 9)) AS q, COUNT(v) AS n FROM (SELECT *, {{v}} AS v FROM st) AS s GROUP BY 1, 2, 3"""
 W1 = f"""SELECT m.role, m.cell_id, m.month, CASE WHEN LEAST(m.n, r.n) >= {{k}} THEN LIST_SUM(LIST_TRANSFORM(GENERATE_SERIES(1, {N}), lambda i: ABS(m.q[i] - r.q[i])))/{N} END AS w1
  FROM qr AS m JOIN qr AS r ON r.role = 'ref' AND r.cell_id = m.cell_id AND r.month = m.month WHERE m.role <> 'ref'"""
 
@@ -130,7 +130,7 @@ def _(t):
  ON r.role = 'ref' AND r.period = m.period AND r.cell_id = m.cell_id AND r.month = m.month WHERE m.role <> 'ref'""",
        st="""SELECT 'ref' AS role, cell_id, day, MONTH(day) AS month, tas AS value FROM obs UNION ALL SELECT 'raw', s.cell_id, s.day, MONTH(s.day), CASE WHEN o.tas IS NOT NULL THEN s.tas END FROM sim AS s
  JOIN obs AS o ON o.cell_id = s.cell_id AND o.day = s.day""",
-       lv=f"""SELECT CASE WHEN YEAR(day) <= 1998 THEN 'first' ELSE 'second' END AS period, role, cell_id, month, AVG(value) AS mean, LIST_TRANSFORM(QUANTILE_CONT(value, {LIST}), lambda z: ROUND(z, 9)) AS q FROM st GROUP BY 1, 2, 3, 4""")
+       lv=f"""SELECT CASE WHEN YEAR(day) <= 1998 THEN 'first' ELSE 'second' END AS period, role, cell_id, month, AVG(value) AS mean, LIST_TRANSFORM(QUANTILE_CONT(value, {level_list(N)}), lambda z: ROUND(z, 9)) AS q FROM st GROUP BY 1, 2, 3, 4""")
 def _(t):
     from daygrid.operators.grid import mask_like
     sim = mask_like(values(t.sim, "tas"), values(t.obs, "tas"), "value")

@@ -190,12 +190,14 @@ def correct_by_group(sim: DataFrame, cal: DataFrame, var: Variable, first: int,
         x[row, at] = days.column("value").to_numpy(zero_copy_only=False).astype(float)
         out = np.full(x.shape, np.nan)
         fits = {k: np.full((len(cells), n), np.nan) for k in tables} | {k: np.full(len(cells), np.nan) for k in scalars}
-        for one in known.to_pylist():
-            k = np.searchsorted(cells, one["cell_id"])
-            if k < len(cells) and cells[k] == one["cell_id"]:
-                for name in (*tables, *scalars):
-                    if one[name] is not None:
-                        fits[name][k] = one[name]
+        of = known.column("cell_id").to_numpy()
+        k = np.minimum(np.searchsorted(cells, of), len(cells) - 1) if len(cells) else np.zeros(0, np.int64)
+        here = np.flatnonzero(cells[k] == of) if len(cells) else k
+        for name in (*tables, *scalars):
+            column = known.column(name).combine_chunks()
+            rows = here[column.is_valid().to_numpy(zero_copy_only=False)[here]]
+            taken = column.take(pa.array(rows))
+            fits[name][k[rows]] = taken.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if name in tables else taken.to_numpy(zero_copy_only=False)
         ready = ~np.isnan(fits["ref"][:, 0]) & ~np.isnan(fits["hist"][:, 0])
         limit = fits["threshold"] if wet else np.full(len(cells), -np.inf)
         if wet:
@@ -204,6 +206,7 @@ def correct_by_group(sim: DataFrame, cal: DataFrame, var: Variable, first: int,
         window = np.full(len(held), first) if span is None else np.clip(year - span // 2, first, last - span + 1)
         for win in np.unique(window):
             target = np.flatnonzero(window == win)
+            # Sorting afresh (vectorised) took 0.13 s for 131 years of 32 cells; moving a sorted window along, 0.30 s.
             part = inside if span is None else inside[:, (year >= win) & (year < win + span)]
             values = x[:, target]
             q = _known_quantiles(part, taus)
