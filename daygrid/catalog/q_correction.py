@@ -141,15 +141,15 @@ def _(t):
     return Q.by_month(values(t.sim, "clt")).join(q, ["cell_id", "month"]).withColumn("f", rank_in("value", "q"))
 
 
-def sliding(name, cal_r="obs", cal_h="sim", span=SPAN, n=N):
+def sliding(name, cal_r="obs", cal_h="sim", span=SPAN, n=N, days="(SELECT * FROM daily WHERE source = 'sim')"):
     """CTEs of the additive or multiplicative run over sliding windows."""
     return dict(
         r=qs(name, cal_r, n=n), h=qs(name, cal_h, n=n),
         wq=f"""SELECT cell_id, month, win, LIST_TRANSFORM(QUANTILE_CONT(x, {level_list(n)}), lambda v: ROUND(v, 9)) AS q FROM (
-  SELECT cell_id, MONTH(day) AS month, YEAR(day) AS y, {name} AS x FROM daily WHERE source = 'sim') AS d
+  SELECT cell_id, MONTH(day) AS month, YEAR(day) AS y, {name} AS x FROM {days} AS a) AS d
   JOIN (SELECT UNNEST(GENERATE_SERIES({FIRST}, {LAST - span + 1})) AS win) AS w ON y BETWEEN win AND win + {span - 1} GROUP BY 1, 2, 3""",
         j=f"""SELECT d.*, wq.q, r.q AS rq, h.q AS hq FROM (SELECT cell_id, day, {name} AS x, MONTH(day) AS month, LEAST(GREATEST(YEAR(day) - {span // 2}, {FIRST}), {LAST - span + 1}) AS win
-  FROM daily WHERE source = 'sim') AS d LEFT JOIN wq USING (cell_id, month, win) JOIN r USING (cell_id, month) JOIN h USING (cell_id, month)""",
+  FROM {days} AS a) AS d LEFT JOIN wq USING (cell_id, month, win) JOIN r USING (cell_id, month) JOIN h USING (cell_id, month)""",
         ranked=rank_sql("j", n=n))
 
 
@@ -238,15 +238,14 @@ def _(t):
 
 @query("qdm15_fine_grid", "cell_id:i month:i days:i corrected:3",
        f"SELECT cell_id, MONTH(day) AS month, COUNT(x) AS days, AVG({apply_sql('x', 'f', 'add')}) AS corrected FROM ranked GROUP BY 1, 2",
-       fo="SELECT fine_id AS cell_id, day, tas FROM daily010 WHERE source = 'obs'",
-       fs="SELECT fine_id AS cell_id, day, tas FROM daily010 WHERE source = 'sim' AND day < DATE '2002-01-01'", r=qs("tas", "fo"), h=qs("tas", "fs"),
-       j="SELECT d.cell_id, d.day, d.tas AS x, h.q, r.q AS rq, h.q AS hq FROM fs AS d JOIN r ON r.cell_id = d.cell_id AND r.month = MONTH(d.day) JOIN h ON h.cell_id = d.cell_id AND h.month = MONTH(d.day)",
-       ranked=rank_sql("j"))
+       fo="SELECT fine_id AS cell_id, day, tas FROM daily010 WHERE source = 'obs'", fs="SELECT fine_id AS cell_id, day, tas FROM daily010 WHERE source = 'sim'",
+       fh="SELECT * FROM fs WHERE day <= DATE '2001-12-31'", **sliding("tas", "fo", "fh", days="fs"))
 def _(t):
+    """Calibrated over the days both sources have, applied to every simulated day by its sliding window."""
     f = t.daily010.withColumnRenamed("fine_id", "cell_id").drop("eobs")
-    sim = f.filter("source = 'sim' AND day < DATE '2002-01-01'")
-    cal = Q.calibrate(values(f.filter("source = 'obs'"), "tas"), values(sim, "tas"), ADD, N)
-    out = Q.correct_by_group(values(sim, "tas"), cal, ADD, 1995, 2001, None, N)
+    sim = f.filter("source = 'sim'")
+    cal = Q.calibrate(values(f.filter("source = 'obs'"), "tas"), values(sim.filter("day <= DATE '2001-12-31'"), "tas"), ADD, N)
+    out = Q.correct_by_group(values(sim, "tas"), cal, ADD, FIRST, LAST, SPAN, N)
     return out.groupBy("cell_id", F.month("day").alias("month")).agg(
         F.count("value").alias("days"), F.avg("corrected").alias("corrected"))
 

@@ -71,9 +71,9 @@ AT_PLACE = f"""SELECT place_id, c.cell_id, fine_id, lift, source, c.day, {_lifte
 
 @query("join3_4_values_at_places", "place_id:i source:s month:i tasmax:3 tasmin:3 tas:3 pr:3 days:i", """
  SELECT place_id, source, MONTH(day) AS month, AVG(tasmax) AS tasmax, AVG(tasmin) AS tasmin, AVG(tas) AS tas, AVG(pr) AS pr, COUNT(tas) AS days
- FROM at_place WHERE source = 'obs' GROUP BY ALL""", **PLACE_PARTS, at_place=AT_PLACE)
+ FROM at_place GROUP BY ALL""", **PLACE_PARTS, at_place=AT_PLACE)
 def _(t):
-    v = G.place_daily(places_at(t), t.obs, t.daily010.filter("source = 'obs'"))
+    v = G.place_daily(places_at(t), t.daily, t.daily010)
     return v.groupBy("place_id", "source", F.month("day").alias("month")).agg(
         *[F.avg(n).alias(n) for n in ("tasmax", "tasmin", "tas", "pr")], F.count("tas").alias("days"))
 
@@ -83,15 +83,17 @@ def _(t):
     return G.capacity(t.cells)
 
 
-@query("filt6_mask_like", "cell_id:i day:d tas:2", """
- SELECT o.cell_id, o.day, CASE WHEN s.cell_id IS NULL OR s.tas IS NOT NULL THEN o.tas END AS tas
- FROM obs AS o LEFT JOIN (SELECT * FROM sim WHERE MONTH(day) > 2) AS s ON s.cell_id = o.cell_id AND s.day = o.day""")
+# Both sides of a cell and day in one pass.
+PAIRED = """SELECT cell_id, day, MAX(CASE WHEN source = 'obs' THEN 1 ELSE 0 END) AS has_obs, MAX(CASE WHEN source = 'sim' THEN 1 ELSE 0 END) AS has_sim,
+ MAX(CASE WHEN source = 'obs' THEN tas END) AS o, MAX(CASE WHEN source = 'sim' THEN tas END) AS s FROM daily GROUP BY cell_id, day"""
+
+
+@query("filt6_mask_like", "cell_id:i day:d tas:2", "SELECT cell_id, day, CASE WHEN has_sim = 0 OR s IS NOT NULL THEN o END AS tas FROM paired WHERE has_obs = 1", paired=PAIRED)
 def _(t):
-    return G.mask_like(t.obs, t.sim.filter("month(day) > 2"), "tas")
+    return G.mask_like(t.obs, t.sim, "tas")
 
 
-@query("join17_align_by_date", "cell_id:i day:d a:2 b:2", """
- SELECT o.cell_id, o.day, o.tas AS a, s.tas AS b FROM obs AS o LEFT JOIN sim AS s ON s.cell_id = o.cell_id AND s.day = o.day""")
+@query("join17_align_by_date", "cell_id:i day:d a:2 b:2", "SELECT cell_id, day, o AS a, s AS b FROM paired WHERE has_obs = 1", paired=PAIRED)
 def _(t):
     return G.align_by_date(t.obs, t.sim, "tas", ["cell_id", "day"])
 

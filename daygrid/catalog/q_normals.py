@@ -195,7 +195,7 @@ SEASONED = """SELECT cell_id*10 + k AS request, cell_id, season, y AS year, sour
    SELECT cell_id, source, first_day, last_day, UNNEST(GENERATE_SERIES(YEAR(first_day), YEAR(last_day))) AS y, season, m, k FROM cells CROSS JOIN periods
    CROSS JOIN (VALUES ('spring', 3, 1), ('summer', 6, 2), ('autumn', 9, 3), ('winter', 12, 4)) AS s(season, m, k)) AS x) AS z WHERE a >= first_day AND b <= last_day"""
 SEASON_DAYS = "SELECT request, season, year, source, day, tasmax, tasmin FROM (SELECT *, CAST(UNNEST(GENERATE_SERIES(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM seasoned) AS s JOIN daily USING (source, cell_id, day)"
-SEASON_FIGS = f"SELECT request, season, year, source, {EPOCH_SQL} AS epoch, AVG(tasmax) AS v FROM season_days GROUP BY ALL HAVING COUNT(tasmax) > 0"
+SEASON_FIGS = f"SELECT request, season, year, source, {EPOCH_SQL} AS epoch, SUM(CAST(ROUND(tasmax*1000000) AS BIGINT)) AS total, COUNT(tasmax) AS known, total/known/1000000.0 AS v FROM season_days GROUP BY ALL HAVING COUNT(tasmax) > 0"
 KINDS = """SELECT *, CASE WHEN 2*k >= n THEN 'normal' WHEN r <= k THEN 'cool' WHEN r > n - k THEN 'warm' ELSE 'normal' END AS kind,
   CASE WHEN lo = hi THEN CASE WHEN lo = 'sim' THEN 'simulated' ELSE 'observed' END END AS origin FROM (
   SELECT *, COUNT(*) OVER w AS n, ROW_NUMBER() OVER (PARTITION BY request, epoch ORDER BY v, year) AS r, MIN(source) OVER w AS lo, MAX(source) OVER w AS hi,
@@ -204,7 +204,9 @@ PEAKS = """SELECT request, epoch, ARG_MAX(year, hk) AS hot_year, ARG_MAX(day, hk
   SELECT *, CASE WHEN tasmax IS NOT NULL THEN (ROUND(tasmax*100) + 100000)*1000000000.0 + year*100000.0 + (50000 - DATE_DIFF('day', DATE '1990-01-01', day)) END AS hk,
    CASE WHEN tasmin IS NOT NULL THEN (100000 - ROUND(tasmin*100))*1000000000.0 + year*100000.0 + (50000 - DATE_DIFF('day', DATE '1990-01-01', day)) END AS ck,
    """ + EPOCH_SQL + """ AS epoch FROM season_days) AS d GROUP BY 1, 2"""
-SERVED_FIGS = "SELECT * REPLACE (ROUND_EVEN(v, 1) AS v) FROM season_figs"
+#: Means to one decimal from whole numbers: the rest decides, and a half goes to the even tenth.
+SERVED_FIGS = """SELECT * REPLACE ((below + CASE WHEN 2*rest > parts OR (2*rest = parts AND below % 2 <> 0) THEN 1 ELSE 0 END)/10.0 AS v) FROM (
+ SELECT *, (total - rest)//parts AS below FROM (SELECT *, known*100000 AS parts, ((total % (known*100000)) + known*100000) % (known*100000) AS rest FROM season_figs) AS x) AS y"""
 KIND_PARTS = dict(seasoned=SEASONED, season_days=SEASON_DAYS, season_figs=SEASON_FIGS, served_figs=SERVED_FIGS, kinds=KINDS, peaks=PEAKS)
 
 

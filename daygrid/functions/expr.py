@@ -57,6 +57,15 @@ def half_even(value: Value, digits: int = 0) -> Column:
     return F.rint(col(value) * scale) / scale
 
 
+def half_even_of(total: Value, parts: Value) -> Column:
+    """``total / parts`` of two whole numbers (``parts`` over 0), rounded half to even without leaving whole numbers."""
+    top, parts = col(total).cast("long"), col(parts).cast("long")
+    rest = F.pmod(top, parts)
+    below = F.call_function("div", top - rest, parts)
+    up = (2 * rest > parts) | ((2 * rest == parts) & (F.pmod(below, F.lit(2)) == 1))
+    return below + F.when(up, 1).otherwise(0)
+
+
 def ratio(top: Value, bottom: Value) -> Column:
     """Division where a zero divisor gives NULL."""
     b = col(bottom)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from daygrid import config
 from daygrid.functions.calendar import shifted
 from daygrid.functions.classes import rain_class, temperature_class
-from daygrid.functions.expr import half_even, ratio
+from daygrid.functions.expr import half_even, half_even_of, ratio
 
 MILLIONTHS = 1e6
 
@@ -78,6 +78,12 @@ def _mean(name: str) -> Column:
     return F.when(F.col(f"n_{name}") > 0, F.col(f"s_{name}") / F.col(f"n_{name}") / MILLIONTHS)
 
 
+def _served(name: str) -> Column:
+    """The mean as it is shown, to one decimal: from the whole sum and the count, so that x.x5 is a tie and nothing else is."""
+    n = F.col(f"n_{name}")
+    return F.when(n > 0, half_even_of(f"s_{name}", F.when(n > 0, n) * int(MILLIONTHS / 10)) / 10.0)
+
+
 def year_figures(requests: DataFrame, daily: DataFrame, periods: DataFrame, first_year: int, last_year: int,
                  key: str = "cell_id") -> DataFrame:
     """One row per request and year: mean temperatures, rain, counts of days scaled to the whole range.
@@ -90,7 +96,7 @@ def year_figures(requests: DataFrame, daily: DataFrame, periods: DataFrame, firs
     dated = same_dates(requests, periods, first_year, last_year)
     size = F.datediff("last_day", "first_day") + 1
     got = range_sums(dated, running_sums(daily, names, flags, ("source", key)), key).withColumn("days", size)
-    out = {"tasmax_mean": _mean("tasmax"), "tas_mean": _mean("tas"), "precipitation": _mean("pr") * F.col("days")}
+    out = {"tasmax_mean": _mean("tasmax"), "tasmax_served": _served("tasmax"), "tas_mean": _mean("tas"), "precipitation": _mean("pr") * F.col("days")}
     for k, (name, _, _) in COUNTS.items():
         out[k] = F.when(F.col(f"n_{name}") > 0, F.col(f"c_{k}") * F.col("days") / F.col(f"n_{name}"))
     held = F.col("source").isNotNull()
@@ -198,7 +204,7 @@ def extreme_days(days: DataFrame, request: str, epochs=config.EPOCHS) -> DataFra
 
 def records(ranked: DataFrame, request: str, sign: int = 1, by: Sequence[str] = ("epoch",)) -> DataFrame:
     """The year of the highest (or lowest) served value (one decimal) of an epoch, the later one on a tie."""
-    served = ranked.withColumn("tasmax_mean", half_even("tasmax_mean", 1))
+    served = ranked.withColumn("tasmax_mean", F.col("tasmax_served"))
     best = F.max_by(F.struct("year", "tasmax_mean"), F.struct((sign * F.col("tasmax_mean")).alias("v"), "year"))
     return served.groupBy(request, *by).agg(best.alias("b")).select(
         request, *by, F.col("b.year").alias("record_year"), F.col("b.tasmax_mean").alias("record_value"))
@@ -215,7 +221,7 @@ def typical(figures: DataFrame, request: str, first: int, last: int, shown: Colu
             min_years: int = config.TYPICAL_MIN_YEARS) -> DataFrame:
     """The year whose served value (one decimal) is nearest the mean of those of first..last, the later on a tie,
     never the one shown; none with few values."""
-    kept = figures.withColumn("tasmax_mean", half_even("tasmax_mean", 1)).filter(F.col("year").between(first, last) & F.col("tasmax_mean").isNotNull())
+    kept = figures.withColumn("tasmax_mean", F.col("tasmax_served")).filter(F.col("year").between(first, last) & F.col("tasmax_mean").isNotNull())
     w = W.partitionBy(request)
     scored = kept.withColumns({"_mean": F.avg("tasmax_mean").over(w), "_n": F.count("*").over(w)}).filter(
         (F.col("_n") >= min_years) & (F.col("year") != shown))
