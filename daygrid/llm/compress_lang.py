@@ -14,8 +14,8 @@ score 0 and rejected. Ties go to the language with more training texts. Null lan
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +55,8 @@ def learn(labelled: DataFrame, size: int = DICTIONARY) -> dict[str, bytes]:
     return {lang: _plain("\n".join(found[lang]))[:size] for lang in sorted(found, key=lambda x: (-often[x], x))}
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A letter is a character of category L; marks that follow belong to it.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _plain(text: str) -> bytes:

@@ -129,4 +129,4 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", **name
     kept = F.expr(f"""concat(substring(`{text}`, 1, cast(__cut[0].a AS int)), array_join(transform(__cut, (c, k) -> concat('{mark}',
       if(k = size(__cut) - 1, substring(`{text}`, cast(c.b AS int) + 1), substring(`{text}`, cast(c.b AS int) + 1, cast(__cut[k + 1].a - c.b AS int))))), ''))""")
     held = held.withColumn(text, F.when(F.col("__cut").isNotNull(), kept).otherwise(F.col(text))).drop("__cut")
-    return docs.filter(~_may_hold(t)).unionByName(held.select(*docs.columns))
+    return docs.filter(~_may_hold(t)).unionByName(held.select(*[F.col(f"`{c}`") for c in docs.columns]))

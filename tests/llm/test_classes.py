@@ -101,3 +101,9 @@ def test_quality_of_messy_rows(spark, messy):
     empty = gam_quality.learn(messy, labels.limit(0))
     assert {r.score for r in gam_quality.score(messy, empty).collect()} == {0.5}
     assert gam_quality.score(messy.limit(0), model).collect() == []
+
+
+def test_letters_are_of_category_l(documents):
+    rows = documents([(k, t, "en", "a", 1) for k, t in enumerate(["\u00bd \u00b2", "\u2460 \u2167", "12_3", "\u0301", "a", "\u00e9t\u00e9"])])
+    got = {r.doc_id: r for r in compress_lang.predict(rows, {"en": b"the word and other words", "fr": b"le mot et les autres"}).collect()}
+    assert [got[k].lang_pred == "und" and got[k].score == 0 for k in range(6)] == [True] * 4 + [False] * 2

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daygrid.llm import ann_graph, poisson_mix
 
@@ -84,6 +85,29 @@ def test_large_rates(spark, documents):
     assert np.mean([n[k] for k in range(30)]) == pytest.approx(900, rel=0.03)
 
 
+def test_large_counts_against_the_table(spark):
+    """The expansion against the inverse of the summed distribution, and for a rate no table could hold."""
+    for rate in (201.0, 1000.0, 30_000.0):
+        k = np.arange(int(rate + 12 * rate**0.5 + 24))
+        upto = np.cumsum(np.exp(-rate + np.r_[0, np.cumsum(np.log(rate) - np.log(k[1:]))]))
+        u = (np.arange(4000) + 0.5) / 4000
+        want = (upto[None, :] <= u[:, None]).sum(1)
+        got = spark.createDataFrame([(float(x),) for x in u], "u double").selectExpr(f"{poisson_mix.large_count('u', repr(rate) + 'D')} AS n").collect()
+        gap = np.array([r.n for r in got]) - want
+        assert abs(gap).max() <= 1 and (gap != 0).mean() < 0.01
+    r = spark.sql(f"SELECT {poisson_mix.large_count('0.5D', '4e12D')} AS n, {poisson_mix.large_count('0D', '201D')} AS low").first()
+    assert abs(r.n - 4 * 10**12) < 10 and 0 < r.low < 100
+
+
+def test_one_short_text_beside_many(spark, documents):
+    """A rate of hundreds of thousands ends, with as many copies as drawn."""
+    docs = documents([(k, "x" * 5000, "en", "big", 5000) for k in range(400)] + [(1000, "abcd", "en", "tiny", 4)])
+    rate = {r.source: r.rate for r in poisson_mix.rates(docs).collect()}["tiny"]
+    assert rate > 200_000
+    n = poisson_mix.mixed(docs).filter("source = 'tiny'").agg(F.count("*"), F.countDistinct("copy"), F.max("copy")).first()
+    assert len(set(n)) == 1 and abs(n[0] - rate) < 6 * rate**0.5
+
+
 def test_messy_rows(messy):
     out = poisson_mix.mixed(messy, epochs=3.0)
     assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in messy.collect()}
