@@ -34,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources in equal shares of characters, as many as there are."""
-    return poisson_mix.mixed(docs).select(*docs.columns)
+    return poisson_mix.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
