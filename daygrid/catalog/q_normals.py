@@ -121,7 +121,7 @@ def _(t):
 
 DATED = """SELECT search_id, cell_id, y AS year, y0, CAST(first_day + TO_YEARS(CAST(y - y0 AS INTEGER)) AS DATE) AS a, CAST(last_day + TO_YEARS(CAST(y - y0 AS INTEGER)) AS DATE) AS b
  FROM (SELECT search_id, cell_id, first_day, last_day, YEAR(first_day) AS y0, UNNEST(GENERATE_SERIES(1995, 2033)) AS y FROM asked) AS x"""
-FIGS = """SELECT search_id, year, ANY_VALUE(y0) AS y0, source, COUNT(*) AS days, AVG(tasmax) AS tasmax_mean, AVG(tas) AS tas_mean, AVG(pr)*COUNT(*) AS precipitation,
+FIGS = """SELECT search_id, year, ANY_VALUE(y0) AS y0, source, COUNT(*) AS days, AVG(tasmax) AS tasmax_mean, SUM(CAST(ROUND(tasmax*1000000) AS BIGINT))/COUNT(tasmax)/1000000.0 AS exact_mean, AVG(tas) AS tas_mean, AVG(pr)*COUNT(*) AS precipitation,
   SUM(CASE WHEN tasmax >= 35 THEN 1 ELSE 0 END)*COUNT(*)/NULLIF(COUNT(tasmax), 0) AS hot_35, SUM(CASE WHEN tasmax >= 40 THEN 1 ELSE 0 END)*COUNT(*)/NULLIF(COUNT(tasmax), 0) AS hot_40,
   SUM(CASE WHEN tasmin > 20 THEN 1 ELSE 0 END)*COUNT(*)/NULLIF(COUNT(tasmin), 0) AS tropical_nights, SUM(CASE WHEN tasmax > 25 THEN 1 ELSE 0 END)*COUNT(*)/NULLIF(COUNT(tasmax), 0) AS summer_days,
   SUM(CASE WHEN tasmin < 0 THEN 1 ELSE 0 END)*COUNT(*)/NULLIF(COUNT(tasmin), 0) AS frost_days FROM (
@@ -270,3 +270,62 @@ def _(t):
 def _(t):
     r = season_table(t).select("request", "season", F.lit(2033).alias("shown_year"), F.lit(None).cast("string").alias("shown_kind"))
     return Y.record_card(season_kinds(t), season_peaks(t), r, "request")
+
+
+# --- all answers to a table of searches, each with a reference period of its own ---------------
+
+REFS, REF_YEARS = (1995, 1997), 5
+REFERENCED = "SELECT *, CASE search_id % 3 WHEN 0 THEN 1995 WHEN 1 THEN 1997 ELSE 1990 END AS reference FROM asked"
+KNOWN_REF = "SELECT * FROM referenced WHERE reference <> 1990"
+SEARCH_PARTS = dict(**YEAR_PARTS, referenced=REFERENCED, known_ref=KNOWN_REF)
+
+
+def with_reference(df):
+    return df.withColumn("reference", F.expr("CASE search_id % 3 WHEN 0 THEN 1995 WHEN 1 THEN 1997 ELSE 1990 END"))
+
+
+def answer(t, name):
+    from daygrid.plans.batch import answers
+    searches = with_reference(asked(t)).filter(F.col("reference").isin(*REFS))
+    return answers(searches, t.daily, t.periods, years=REF_YEARS, span=5, first_year=FIRST, last_year=LAST, observed="obs", simulated="sim", references=REFS, epochs=EPOCHS)[name]
+
+
+@query("api4_unknown_reference", "search_id:i status:s", """
+ SELECT search_id, CASE WHEN search_id % 3 = 2 THEN 'UnknownReference' ELSE status END AS status FROM status""", **PLACE_PARTS, status=STATUS)
+def _(t):
+    from daygrid.operators import records
+    checked = records.validate(with_reference(t.searches), t.periods, references=REFS)
+    return records.with_domain_status(checked, located(t), "place_id")
+
+
+@query("api1_normals", "search_id:i day:d tasmax:2 tasmin:2 pr:2", """
+ SELECT search_id, CAST(d AS DATE) AS day, ROUND_EVEN(ROUND_EVEN(SUM(b.s1)/NULLIF(SUM(b.n1), 0), 9), 2) AS tasmax, ROUND_EVEN(ROUND_EVEN(SUM(b.s2)/NULLIF(SUM(b.n2), 0), 9), 2) AS tasmin, ROUND_EVEN(ROUND_EVEN(SUM(b.s3)/NULLIF(SUM(b.n3), 0), 9), 2) AS pr
+ FROM (SELECT *, UNNEST(GENERATE_SERIES(first_day, last_day, INTERVAL 1 DAY)) AS d FROM known_ref) AS a
+ LEFT JOIN slots AS b ON b.cell_id = a.cell_id AND b.reference = a.reference AND (DATE_DIFF('day', DATE '2000-01-01', MAKE_DATE(2000, MONTH(d), DAY(d))) - b.slot + 366 + 7) % 366 <= 14 GROUP BY 1, 2""",
+       slots="SELECT r AS reference, cell_id, " + SLOT.format(d="day") + """ AS slot, SUM(tasmax) AS s1, COUNT(tasmax) AS n1, SUM(tasmin) AS s2, COUNT(tasmin) AS n2, SUM(pr) AS s3, COUNT(pr) AS n3
+ FROM obs JOIN (VALUES (1995), (1997)) AS v(r) ON YEAR(day) BETWEEN r AND r + 4 GROUP BY ALL""", **SEARCH_PARTS)
+def _(t):
+    return answer(t, "normals")
+
+
+@query("api1_years", "search_id:i reference:i year:i temperature_anomaly:4 precipitation_ratio:4", """
+ SELECT f.search_id, reference, f.year, tas_mean - tn AS temperature_anomaly, CASE WHEN pn <> 0 THEN precipitation/pn END AS precipitation_ratio
+ FROM figs AS f JOIN (SELECT search_id, ANY_VALUE(reference) AS reference, AVG(tas_mean) FILTER (year BETWEEN reference AND reference + 4) AS tn, AVG(precipitation) FILTER (year BETWEEN reference AND reference + 4) AS pn
+  FROM figs JOIN known_ref USING (search_id) GROUP BY 1) AS n USING (search_id)""", **SEARCH_PARTS)
+def _(t):
+    return answer(t, "years").filter("source IS NOT NULL")
+
+
+@query("api1_summary", "search_id:i figure:s value:3 normal:3", " UNION ALL ".join(
+    f"""SELECT search_id, '{n}' AS figure, MAX(CASE WHEN year = y0 THEN {n} END) AS value, AVG(CASE WHEN figs.source = 'obs' AND year BETWEEN reference AND reference + 4 THEN {n} END) AS normal FROM figs JOIN known_ref USING (search_id) GROUP BY search_id"""
+    for n in Y.FIGURES), **SEARCH_PARTS)
+def _(t):
+    return answer(t, "summary")
+
+
+@query("api1_kinds", "search_id:i epoch:s year:i kind:s", """
+ SELECT search_id, epoch, year, CASE WHEN 2*k >= n THEN 'normal' WHEN r <= k THEN 'cool' WHEN r > n - k THEN 'warm' ELSE 'normal' END AS kind FROM (
+  SELECT *, COUNT(*) OVER w AS n, ROW_NUMBER() OVER (PARTITION BY search_id, epoch ORDER BY exact_mean, year) AS r, GREATEST(1, ROUND_EVEN(0.2*COUNT(*) OVER w, 0)) AS k FROM (
+   SELECT search_id, year, exact_mean, """ + EPOCH_SQL + """ AS epoch FROM figs JOIN known_ref USING (search_id) WHERE exact_mean IS NOT NULL) AS f WINDOW w AS (PARTITION BY search_id, epoch)) AS x""", **SEARCH_PARTS)
+def _(t):
+    return answer(t, "kinds")

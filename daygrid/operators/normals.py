@@ -40,13 +40,22 @@ def pooled(daily: DataFrame, names: Sequence[str], keys: Sequence[str], half: in
     return wide.withColumns(out).filter(F.col("at") == F.col("slot")).select(*keys, "slot", *out)
 
 
+def pooled_by_reference(daily: DataFrame, names: Sequence[str], keys: Sequence[str], references: Sequence[int] = config.REFERENCES,
+                        years: int = config.REFERENCE_YEARS) -> DataFrame:
+    """``pooled`` for several reference periods (by first year, column ``reference``) out of one pass over the days."""
+    year = F.year("day")
+    held = F.array_compact(F.array(*[F.when(year.between(r, r + years - 1), F.lit(r)) for r in references]))
+    return pooled(daily.withColumn("reference", F.explode(held)), names, [*keys, "reference"])
+
+
 def of_ranges(normals: DataFrame, ranges: DataFrame, request: str, keys: Sequence[str], names: Sequence[str],
               digits: int = 2) -> DataFrame:
     """The normal of each day of each range (at most 92 rows to a range), rounded."""
     days = ranges.select(request, *keys, F.explode(F.sequence("first_day", "last_day")).alias("day")).withColumn(
         "slot", slot366("day"))
     met = days.join(normals, [*keys, "slot"], "left")
-    return met.select(request, "day", *[half_even(n, digits).alias(n) for n in names])
+    # The last bits of a mean must not decide its last digit.
+    return met.select(request, "day", *[half_even(half_even(n, 9), digits).alias(n) for n in names])
 
 
 def smoothed(daily: DataFrame, name: str, keys: Sequence[str], first_year: int, last_year: int,

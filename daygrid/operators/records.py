@@ -36,8 +36,8 @@ def transformed(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFram
     return out
 
 
-def validate(searches: DataFrame, periods: DataFrame, max_days: int = config.MAX_DAYS) -> DataFrame:
-    """Each search with the period that holds it whole and its status.
+def validate(searches: DataFrame, periods: DataFrame, max_days: int = config.MAX_DAYS, references: Sequence[int] = config.REFERENCES) -> DataFrame:
+    """Each search with the period that holds it whole and its status; a ``reference`` asked for is looked at first.
 
     ``periods`` is a handful of rows that never overlap, so the interval test is
     a broadcast join that matches at most one of them.
@@ -46,7 +46,8 @@ def validate(searches: DataFrame, periods: DataFrame, max_days: int = config.MAX
     held = searches.join(
         F.broadcast(p), (F.col("_from") <= F.col("first_day")) & (F.col("last_day") <= F.col("_to")), "left")
     days = F.datediff("last_day", "first_day") + 1
-    status = F.when(F.col("first_day") > F.col("last_day"), "EmptyRange").when(days > max_days, "RangeTooLong")
+    unknown = ~F.coalesce(F.col("reference").isin(*references), F.lit(False)) if "reference" in searches.columns else F.lit(False)
+    status = F.when(unknown, "UnknownReference").when(F.col("first_day") > F.col("last_day"), "EmptyRange").when(days > max_days, "RangeTooLong")
     if "lat" in searches.columns:
         status = status.when(~F.col("lat").between(-90, 90) | ~F.col("lon").between(-180, 180), "OutsideDomain")
     if "elevation" in searches.columns:

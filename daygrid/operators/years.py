@@ -106,7 +106,7 @@ def year_figures(requests: DataFrame, daily: DataFrame, periods: DataFrame, firs
 FIGURES = ("tasmax_mean", "tas_mean", "precipitation", *COUNTS)
 
 
-def compare(figures: DataFrame, request: str, reference: int, years: int = config.REFERENCE_YEARS) -> DataFrame:
+def compare(figures: DataFrame, request: str, reference: int | Column, years: int = config.REFERENCE_YEARS) -> DataFrame:
     """Anomaly, standard deviations, ratio and classes of each year against the reference years."""
     w = W.partitionBy(request)
     inside = F.col("year").between(reference, reference + years - 1)
@@ -130,7 +130,7 @@ def rounded(years: DataFrame) -> DataFrame:
     return years.withColumns({n: half_even(n, 1) for n in one} | {n: half_even(n, 2) for n in two})
 
 
-def summary(figures: DataFrame, request: str, shown_year: Column, reference: int,
+def summary(figures: DataFrame, request: str, shown_year: Column, reference: int | Column,
             years: int = config.REFERENCE_YEARS, observed: str = "era5") -> DataFrame:
     """Figures of the dates shown beside their mean over the reference years, one row per request and figure."""
     inside = F.col("year").between(reference, reference + years - 1) & (F.col("source") == observed)

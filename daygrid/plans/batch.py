@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from daygrid.operators import normals as N
 from daygrid.operators import years as Y
 
 # The order in which a search can be refused.
-REFUSALS = ("EmptyRange", "RangeTooLong", "OutsideDomain", "BadElevation", "Unavailable")
+REFUSALS = ("UnknownReference", "EmptyRange", "RangeTooLong", "OutsideDomain", "BadElevation", "Unavailable")
 
 
 def constants() -> dict:
@@ -31,22 +33,30 @@ def constants() -> dict:
 
 def answers(searches: DataFrame, daily: DataFrame, periods: DataFrame, reference: int = config.REFERENCES[-1],
             years: int = config.REFERENCE_YEARS, span: int = config.CLIMATE_SPAN, first_year: int = config.FIRST_YEAR,
-            last_year: int = config.LAST_YEAR, observed: str = "era5", simulated: str = config.SIMULATED
-            ) -> dict[str, DataFrame]:
-    """Every answer to every accepted search (search_id, cell_id, first_day, last_day), as lazy tables."""
+            last_year: int = config.LAST_YEAR, observed: str = "era5", simulated: str = config.SIMULATED,
+            references: Sequence[int] | None = None, epochs=config.EPOCHS) -> dict[str, DataFrame]:
+    """Every answer to every accepted search (search_id, cell_id, first_day, last_day), as lazy tables; ``years`` unrounded (see ``years.rounded``).
+
+    A column ``reference`` gives each search its own reference period, one of ``references``; without it all have ``reference``.
+    """
     asked = searches.drop("source").withColumn("shown", F.year("first_day"))
-    past = daily.filter(F.col("source") == observed).filter(F.year("day").between(reference, reference + years - 1))
+    if "reference" not in asked.columns:
+        asked = asked.withColumn("reference", F.lit(reference))
+    known = references if references is not None else (reference,)
+    past = daily.filter(F.col("source") == observed)
     names = ("tasmax", "tasmin", "pr")
     figures = Y.year_figures(asked, daily, periods, first_year, last_year)
+    own = F.col("reference")
     sums = C.month_sums(daily, ["source", "cell_id"])
     middle = asked.withColumn("mid", mid_year("first_day", "last_day")).select("search_id", "cell_id", "mid")
+    normals = N.pooled_by_reference(past, names, ["cell_id"], known, years)
     return {
-        "normals": N.of_ranges(N.pooled(past, names, ["cell_id"]), asked, "search_id", ["cell_id"], names),
+        "normals": N.of_ranges(normals, asked, "search_id", ["cell_id", "reference"], names),
         "climate": C.rounded(C.window_diagram(sums, C.windows(middle, periods, "mid", span), ["source", "cell_id"], "search_id")),
-        "years": Y.rounded(Y.compare(figures, "search_id", reference, years)),
-        "summary": Y.summary(figures, "search_id", F.col("shown"), reference, years, observed),
+        "years": Y.compare(figures, "search_id", own, years),
+        "summary": Y.summary(figures, "search_id", F.col("shown"), own, years, observed),
         "rank": Y.rank(figures, "search_id", F.col("shown"), observed),
-        "kinds": Y.kinds(figures, "search_id", simulated=simulated),
+        "kinds": Y.kinds(figures, "search_id", epochs, simulated=simulated),
     }
 
 
