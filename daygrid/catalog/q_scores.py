@@ -342,17 +342,19 @@ def _(t):
 
 
 MONTH_GAP = "SELECT station_id, MONTH(day) AS month, AVG(s - o) AS gap, ANY_VALUE(dz) AS dz FROM sp WHERE o IS NOT NULL AND s IS NOT NULL AND dz IS NOT NULL GROUP BY 1, 2"
-FIT = "SELECT month, -1000*REGR_SLOPE(gap, dz) AS k FROM mg WHERE ABS(dz) < 1000 GROUP BY 1"
+CALIBRATING = "SUBSTRING(MD5('0:' || station_id), 1, 1) < '8'"
+FIT = f"SELECT month, -1000*REGR_SLOPE(gap, dz) AS k FROM mg WHERE ABS(dz) < 1000 AND {CALIBRATING} GROUP BY 1"
 
 
 @query("val22_lapse_rates", "month:i variant:s mean:3 absolute:3 stations:i", """
  SELECT g.month, variant, AVG(gap + CASE variant WHEN 'raw' THEN 0 WHEN 'five' THEN 5.0 WHEN 'standard' THEN 6.5 ELSE k END*dz/1000) AS mean,
   AVG(ABS(gap + CASE variant WHEN 'raw' THEN 0 WHEN 'five' THEN 5.0 WHEN 'standard' THEN 6.5 ELSE k END*dz/1000)) AS absolute, COUNT(*) AS stations
- FROM mg AS g JOIN fit USING (month) CROSS JOIN (VALUES ('raw'), ('five'), ('standard'), ('monthly')) AS v(variant) GROUP BY 1, 2""", sp=STATION_PAIRS, mg=MONTH_GAP, fit=FIT)
+ FROM mg AS g JOIN fit USING (month) CROSS JOIN (VALUES ('raw'), ('five'), ('standard'), ('monthly')) AS v(variant) WHERE NOT (""" + CALIBRATING + ") GROUP BY 1, 2", sp=STATION_PAIRS, mg=MONTH_GAP, fit=FIT)
 def _(t):
     g = station_pairs(t).filter("o IS NOT NULL AND s IS NOT NULL AND dz IS NOT NULL").groupBy("station_id", F.month("day").alias("month")).agg(
         F.avg(F.col("s") - F.col("o")).alias("gap"), F.first("dz").alias("dz"))
-    return S.lapse_variants(g, S.lapse_fit(g))
+    half = S.calibrating("station_id")
+    return S.lapse_variants(g.filter(~half), S.lapse_fit(g.filter(half)))
 
 
 @query("reg14_station_agreement", "station_id:i correlation:4 rms:3 far_share:4 bias:3", """

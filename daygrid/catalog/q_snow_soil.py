@@ -280,10 +280,21 @@ def _(t):
     return L.spread_by_day(soil_water(t), 1995, 2001)
 
 
-@query("soil7_demand_variants", "cell_id:i scale:s slot:i et0_fao:4 et0_flux:4 days:i", """
- SELECT cell_id, 'month' AS scale, MONTH(day) AS slot, AVG(et0 - tas/8.0) AS et0_fao, AVG(et0*0.8 - tas/8.0) AS et0_flux, COUNT(tas) AS days FROM x GROUP BY 1, 3
- UNION ALL SELECT cell_id, 'year', YEAR(day), AVG(et0 - tas/8.0), AVG(et0*0.8 - tas/8.0), COUNT(tas) FROM x GROUP BY 1, 3""",
-       **FAO_PARTS, demand=DEMAND, x="SELECT o.cell_id, o.day, et0, tas FROM obs AS o JOIN demand AS d ON d.source = 'obs' AND d.cell_id = o.cell_id AND d.day = o.day")
+# The sample's sky and measured demand: downward radiation from cloud and warmth, evaporation from the station's own reports.
+ETP_MEASURED = "SELECT station_id, day, depth/2.0 + GREATEST(tas, 0.0)/8.0 AS etp FROM station_daily"
+FLUX = """SELECT cell_id, day, CASE WHEN rn IS NOT NULL AND u2 IS NOT NULL THEN GREATEST(0.0, (0.408*delta*rn + gam*900/((tasmax+tasmin)/2+273.0)*u2*(es-ea))/(delta+gam*(1+0.34*u2))) END AS et0_fao,
+ CASE WHEN rf IS NOT NULL AND u2 IS NOT NULL THEN GREATEST(0.0, (0.408*delta*rf + gam*900/((tasmax+tasmin)/2+273.0)*u2*(es-ea))/(delta+gam*(1+0.34*u2))) END AS et0_flux FROM (
+ SELECT f.*, 0.77*rs - (0.000000004903*(POW(f.tasmax + 273.16, 4) + POW(f.tasmin + 273.16, 4))/2 - (18.0 + o.clt/10.0 + o.tas/5.0)) AS rf
+ FROM fao7 AS f JOIN obs AS o ON f.source = 'obs' AND o.cell_id = f.cell_id AND o.day = f.day) AS x"""
+
+
+@query("soil7_demand_variants", "station_id:i scale:s slot:i et0_fao:4 et0_flux:4 days:i", """
+ SELECT station_id, 'month' AS scale, MONTH(day) AS slot, AVG(et0_fao - etp) AS et0_fao, AVG(et0_flux - etp) AS et0_flux, COUNT(etp) AS days FROM met GROUP BY 1, 3
+ UNION ALL SELECT station_id, 'year', YEAR(day), AVG(et0_fao - etp), AVG(et0_flux - etp), COUNT(etp) FROM met GROUP BY 1, 3""",
+       **FAO_PARTS, measured_etp=ETP_MEASURED, flux=FLUX,
+       met="SELECT m.station_id, m.day, etp, et0_fao, et0_flux FROM measured_etp AS m JOIN stations AS s USING (station_id) JOIN flux AS f ON f.cell_id = s.cell_id AND f.day = m.day")
 def _(t):
-    d = L.demand(t.obs, sites(t)).select("cell_id", "day", F.col("et0").alias("et0_fao"), (F.col("et0") * 0.8).alias("et0_flux"))
-    return L.pet_bias(d, t.obs.select("cell_id", "day", (F.col("tas") / 8.0).alias("etp")))
+    sky = t.obs.withColumn("strd", 18.0 + F.col("clt") / 10.0 + F.col("tas") / 5.0)
+    d = L.demand_variants(sky, sites(t)).select("cell_id", "day", "et0_fao", "et0_flux").join(t.stations.select("station_id", "cell_id"), "cell_id").drop("cell_id")
+    etp = t.station_daily.select("station_id", "day", (F.col("depth") / 2.0 + F.greatest("tas", F.lit(0.0)) / 8.0).alias("etp"))
+    return L.pet_bias(d, etp, ("station_id",))
