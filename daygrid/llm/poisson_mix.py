@@ -40,17 +40,20 @@ def _polynomial(values: tuple[float, ...], x: str) -> str:
     return out
 
 
-def large_count(u: str, rate: str) -> str:
-    """SQL for the inverse Poisson distribution of a large rate at ``u``; for Spark and DuckDB alike."""
-    p = f"GREATEST({u}, 1e-17::DOUBLE)"
-    low, high = f"SQRT(-2 * LN({p}))", f"SQRT(-2 * LN(1 - {p}))"
-    centre = f"({p} - 0.5::DOUBLE)"
-    z = (f"CASE WHEN {p} < {_EDGE}::DOUBLE THEN {_polynomial(_TAIL, low)} / {_polynomial(_TAIL_BELOW, low)} "
-         f"WHEN {p} > {1 - _EDGE!r}::DOUBLE THEN -{_polynomial(_TAIL, high)} / {_polynomial(_TAIL_BELOW, high)} "
-         f"ELSE {centre} * {_polynomial(_CENTRE, f'({centre} * {centre})')} / {_polynomial(_CENTRE_BELOW, f'({centre} * {centre})')} END")
-    z = f"({z})"
-    return (f"CAST(GREATEST(FLOOR({rate} + SQRT({rate} + 1 / 12.0::DOUBLE) * {z} + ({z} * {z} - 1) / 6.0::DOUBLE"
-            f" + ({z} - {z} * {z} * {z}) / (72.0::DOUBLE * SQRT({rate})) + 0.5::DOUBLE), 0) AS BIGINT)")
+def large_steps(u: str, rate: str) -> list[tuple[str, str]]:
+    """Columns that lead, one after the other, to ``__k``: the inverse Poisson distribution of a large rate at ``u``.
+
+    SQL for Spark and DuckDB alike. Each step reads the one before, so no expression is copied into the next.
+    """
+    low = f"__p < {_EDGE}::DOUBLE"
+    middle = f"__p BETWEEN {_EDGE}::DOUBLE AND {1 - _EDGE!r}::DOUBLE"
+    return [
+        ("__p", f"GREATEST({u}, 1e-17::DOUBLE)"),
+        ("__t", f"CASE WHEN {middle} THEN (__p - 0.5::DOUBLE) * (__p - 0.5::DOUBLE) WHEN {low} THEN SQRT(-2 * LN(__p)) ELSE SQRT(-2 * LN(1 - __p)) END"),
+        ("__z", f"CASE WHEN {middle} THEN (__p - 0.5::DOUBLE) * {_polynomial(_CENTRE, '__t')} / {_polynomial(_CENTRE_BELOW, '__t')} "
+                f"ELSE CASE WHEN {low} THEN 1 ELSE -1 END * {_polynomial(_TAIL, '__t')} / {_polynomial(_TAIL_BELOW, '__t')} END"),
+        ("__k", f"CAST(GREATEST(FLOOR({rate} + SQRT({rate} + 1 / 12.0::DOUBLE) * __z + (__z * __z - 1) / 6.0::DOUBLE"
+                f" + (__z - __z * __z * __z) / (72.0::DOUBLE * SQRT({rate})) + 0.5::DOUBLE), 0) AS BIGINT)")]
 
 
 def _draw(kind: str, seed: int):
@@ -88,8 +91,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, other: float
         left = docs.withColumn("__own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, left["source"].eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
     drawn = F.conv(F.substring(_draw("count", seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    count = F.expr(f"CASE WHEN __rate <= {LARGE} THEN CAST(size(filter(__upto, c -> c <= __u)) AS BIGINT) ELSE {large_count('__u', '__rate')} END")
-    counted = joined.withColumn("__u", drawn).withColumn("__n", count).filter("__n > 0")
+    counted = joined.withColumn("__u", drawn)
+    for name, step in large_steps("__u", "__rate"):
+        counted = counted.withColumn(name, F.when(F.col("__rate") > LARGE, F.expr(step)))
+    count = F.expr(f"CASE WHEN __rate <= {LARGE} THEN CAST(size(filter(__upto, c -> c <= __u)) AS BIGINT) ELSE __k END")
+    counted = counted.withColumn("__n", count).filter("__n > 0")
     pieces = counted.select(*[F.col(f"`{c}`") for c in columns], "__n", F.explode(F.expr(f"sequence(0L, (__n - 1) div {PIECE})")).alias("__piece"))
     copies = pieces.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.expr(f"sequence(__piece * {PIECE} + 1, least(__n, (__piece + 1) * {PIECE}))")).alias("copy"))
     return copies.withColumn("order_key", _draw("order", seed)).repartitionByRange("order_key").sortWithinPartitions("order_key")

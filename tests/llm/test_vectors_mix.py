@@ -85,6 +85,13 @@ def test_large_rates(spark, documents):
     assert np.mean([n[k] for k in range(30)]) == pytest.approx(900, rel=0.03)
 
 
+def large(spark, u, rate):
+    df = spark.createDataFrame([(k, float(x), rate) for k, x in enumerate(u)], "at int, u double, rate double")
+    for name, step in poisson_mix.large_steps("u", "rate"):
+        df = df.withColumn(name, F.expr(step))
+    return [r[0] for r in df.orderBy("at").select("__k").collect()]
+
+
 def test_large_counts_against_the_table(spark):
     """The expansion against the inverse of the summed distribution, and for a rate no table could hold."""
     for rate in (201.0, 1000.0, 30_000.0):
@@ -92,11 +99,9 @@ def test_large_counts_against_the_table(spark):
         upto = np.cumsum(np.exp(-rate + np.r_[0, np.cumsum(np.log(rate) - np.log(k[1:]))]))
         u = (np.arange(4000) + 0.5) / 4000
         want = (upto[None, :] <= u[:, None]).sum(1)
-        got = spark.createDataFrame([(float(x),) for x in u], "u double").selectExpr(f"{poisson_mix.large_count('u', repr(rate) + 'D')} AS n").collect()
-        gap = np.array([r.n for r in got]) - want
+        gap = np.array(large(spark, u, rate)) - want
         assert abs(gap).max() <= 1 and (gap != 0).mean() < 0.01
-    r = spark.sql(f"SELECT {poisson_mix.large_count('0.5D', '4e12D')} AS n, {poisson_mix.large_count('0D', '201D')} AS low").first()
-    assert abs(r.n - 4 * 10**12) < 10 and 0 < r.low < 100
+    assert abs(large(spark, [0.5], 4e12)[0] - 4 * 10**12) < 10 and 0 < large(spark, [0.0], 201.0)[0] < 100
 
 
 def test_one_short_text_beside_many(spark, documents):
