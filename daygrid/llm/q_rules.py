@@ -51,7 +51,8 @@ def rules(spark, sf_dir):
 
 def _matched(kind: int) -> str:
     pattern = secret_owners.PATTERNS[kind].replace("'", "''")
-    fits = {0: "LENGTH(v) >= 6", 3: "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9].*[0-9]')"}.get(kind, "TRUE")
+    fits = {0: "LENGTH(v) >= 6", 3: "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9].*[0-9]')"
+            f" OR LEN(regexp_extract_all(v, '{secret_owners.TURN}')) >= {secret_owners.LEAST_TURNS}"}.get(kind, "TRUE")
     return f"""SELECT doc_id, source, {kind} AS kind, b - LENGTH(h) AS a, b, MD5(v) AS v FROM (
   SELECT doc_id, source, hits[i] AS h, vals[i] AS v, (list_sum(list_transform(gaps[1:i], lambda x: LENGTH(x))) + list_sum(list_transform(hits[1:i], lambda x: LENGTH(x))))::BIGINT AS b FROM (
    SELECT *, UNNEST(range(1, LEN(hits) + 1)) AS i FROM (SELECT doc_id, source, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
@@ -61,18 +62,20 @@ def _matched(kind: int) -> str:
 SECRETS_SQL = f"""
 WITH docs AS (SELECT doc_id, source, COALESCE(text, '') AS t FROM documents),
 matched AS MATERIALIZED ({' UNION ALL '.join(map(_matched, range(4)))}),
-apart AS (SELECT * FROM matched AS m WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM matched AS o WHERE o.doc_id = m.doc_id AND o.kind < 3 AND o.a < m.b AND m.a < o.b)),
-owners AS (SELECT v, COUNT(DISTINCT source) >= {secret_owners.WIDE_OWNERS} AS copied FROM apart GROUP BY v),
-spans AS (SELECT doc_id, kind, a, b, copied, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || a || ':' || b AS told FROM apart JOIN owners USING (v) WHERE kind < 3 OR NOT copied),
+apart AS (SELECT * FROM matched AS m WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM matched AS o WHERE o.doc_id = m.doc_id AND o.kind < 3 AND o.a <= m.a AND m.b <= o.b)),
+owners AS (SELECT v, COUNT(DISTINCT source) >= {secret_owners.WIDE_OWNERS} AS copied, COUNT(DISTINCT source) AS n_owner, COUNT(DISTINCT doc_id) AS n_repository FROM apart GROUP BY v),
+spans AS (SELECT doc_id, kind, a, b, copied, n_owner, n_repository, (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || a || ':' || b AS told FROM apart JOIN owners USING (v) WHERE kind < 3 OR NOT copied),
 per_doc AS (SELECT doc_id, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind = 1) AS n_access, COUNT(*) FILTER (kind = 2) AS n_hex, COUNT(*) FILTER (kind = 3) AS n_owned,
-  COUNT(*) FILTER (NOT copied) AS n_live, COUNT(*) FILTER (copied) AS n_copied, STRING_AGG(told, ',' ORDER BY a, kind) AS spans,
+  COUNT(*) FILTER (NOT copied) AS n_live, COUNT(*) FILTER (copied) AS n_copied, MAX(n_repository) AS most_repositories, MAX(n_owner) AS most_owners, STRING_AGG(told, ',' ORDER BY a, kind) AS spans,
   STRING_AGG(told, ',' ORDER BY a, kind) FILTER (kind < 3) AS base FROM spans GROUP BY doc_id)
 SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, SHA256(COALESCE(base, '')) AS base_sha256,
- COALESCE(spans, '') AS spans, COALESCE(n_owned, 0) AS n_owned, COALESCE(n_live, 0) AS n_live, COALESCE(n_copied, 0) AS n_copied
+ COALESCE(spans, '') AS spans, COALESCE(n_owned, 0) AS n_owned, COALESCE(n_live, 0) AS n_live, COALESCE(n_copied, 0) AS n_copied,
+ COALESCE(most_repositories, 0) AS most_repositories, COALESCE(most_owners, 0) AS most_owners
 FROM docs AS d LEFT JOIN per_doc USING (doc_id)"""
 
 
 @query("op10_secret_owners", SECRETS_SQL)
 def secrets(spark, sf_dir):
     found = secret_owners.judged(shared.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_live", "n_copied")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_live", "n_copied",
+                        "most_repositories", "most_owners")

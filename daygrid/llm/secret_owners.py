@@ -2,12 +2,15 @@
 
 Three kinds are found by pattern and always kept: values assigned to a name of a secret, access key ids, long hexadecimal
 runs. Beyond them, long mixed tokens are candidates: each candidate's hash is counted over the corpus by distinct
-repositories and owners. One that many owners hold is a copied example; one that few hold looks live and is added.
+repositories and owners. One that many owners hold is a copied example; one that few hold looks live and is added. A
+candidate inside a pattern's match is that match; one that reaches beyond it is kept beside it, so that the whole
+credential goes.
 
 Positions are code points. They come from running sums of the lengths of matches and of what is between them, one row
 per match. Work beyond the first scan is on distinct texts that hold a candidate at all, so copies cost nothing more and
 a hot text is summed before it is moved. A null text is empty, null repositories and owners are not counted, repeated
-rows stay, extra columns are ignored.
+rows stay, extra columns are ignored. Texts are scanned whole, whatever their length; matches of equal start are told in
+the order of their kinds.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ TOKEN = "[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "owned")
 PATTERNS = (ASSIGN, ACCESS, HEX, TOKEN)
 LEAST_VALUE = 6
-#: A token is a candidate if it mixes small letters, capitals and digits.
+#: A token is a candidate if it mixes small letters, capitals and digits, or if letters turn into digits often enough:
+#: keys in one case do, words, dates and paths do not.
 MIXED = "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[0-9])"
+TURN, LEAST_TURNS = "[A-Za-z][0-9]", 3
 WIDE_OWNERS = 3
 
 
@@ -50,15 +55,14 @@ def spans_of(texts: DataFrame) -> DataFrame:
     placed = each.withColumn("end", F.sum(F.length("one.gaps") + F.coalesce(F.length("one.hits"), F.lit(0))).over(before)) \
         .filter("one.hits IS NOT NULL").select(
             "key", "kind", (F.col("end") - F.length("one.hits")).alias("start"), "end", F.col("one.values").alias("value"))
-    fits = F.when(F.col("kind") == 0, F.length("value") >= LEAST_VALUE).when(F.col("kind") == 3, F.col("value").rlike(MIXED)).otherwise(True)
+    varied = F.col("value").rlike(MIXED) | (F.size(F.regexp_extract_all("value", F.lit(TURN), 0)) >= LEAST_TURNS)
+    fits = F.when(F.col("kind") == 0, F.length("value") >= LEAST_VALUE).when(F.col("kind") == 3, varied).otherwise(True)
     placed = placed.filter(fits)
-    # a candidate token that touches a pattern's match is that match
+    # a candidate token inside a pattern's match is that match; those before it in order begin no later
     base = F.col("kind") < 3
     order = Window.partitionBy("key").orderBy("start", "kind")
     ended = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    placed = placed.withColumns({"ended": ended, "begun": begun}).filter(
-        base | ((F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce("begun", F.col("end")) >= F.col("end"))))
+    placed = placed.withColumn("ended", ended).filter(base | (F.coalesce("ended", F.lit(0)) < F.col("end")))
     return placed.select("key", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                          F.unhex(F.md5(F.col("value").cast("binary"))).alias("value"))
 
@@ -74,10 +78,11 @@ def ownership(spans: DataFrame, holders: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", repository: str = "doc_id", owner: str = "source",
-         wide_owners: int = WIDE_OWNERS) -> tuple[DataFrame, DataFrame]:
+         wide_owners: int = WIDE_OWNERS, wide_repositories: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents as id and text key, spans by text key).
 
-    A span has kind, start, end, the numbers of repositories and owners of its value, and ``copied``: many owners hold it.
+    A span has kind, start, end, the numbers of repositories and owners of its value, and ``copied``: many owners hold it,
+    or, where ``wide_repositories`` is given, that many repositories.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     slim = shared.written(docs.select(
@@ -87,7 +92,8 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", repository: s
     spans = shared.written(spans_of(texts), "spans")
     owned = ownership(spans, slim.filter("text IS NOT NULL").select("key", "repository", "owner"))
     spans = spans.join(owned, "value", "left").fillna(0, ["n_repository", "n_owner"]) \
-        .withColumn("copied", F.col("n_owner") >= wide_owners).filter("kind < 3 OR NOT copied")
+        .withColumn("copied", (F.col("n_owner") >= wide_owners) | (F.lit(False) if wide_repositories is None else F.col("n_repository") >= wide_repositories)) \
+        .filter("kind < 3 OR NOT copied")
     return slim.select("doc_id", "key"), spans
 
 
@@ -103,13 +109,15 @@ def _told(only):
 
 
 def judged(docs: DataFrame, **names) -> DataFrame:
-    """One row per document: counts by kind, spans as text, how many values look live and how many are copied widely."""
+    """One row per document: counts by kind, spans as text, how many values look live, how many are copied
+    widely, and the most repositories and owners that hold one of its values."""
     ids, spans = find(docs, **names)
     per_text = spans.groupBy("key").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{KINDS[k]}") for k in range(len(KINDS))],
         F.count(F.when(~F.col("copied"), 1)).alias("n_live"), F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
+        F.max("n_repository").alias("most_repositories"), F.max("n_owner").alias("most_owners"),
         _told(F.col("kind") < 3).alias("base"), _told(F.lit(True)).alias("spans"))
-    counts = [f"n_{k}" for k in KINDS] + ["n_live", "n_copied"]
+    counts = [f"n_{k}" for k in KINDS] + ["n_live", "n_copied", "most_repositories", "most_owners"]
     return ids.join(per_text, "key", "left").fillna(0, counts).fillna("", ["base", "spans"]).drop("key")
 
 
