@@ -7,12 +7,14 @@ from daygrid.catalog.q_functions import WET_BULB_SQL
 from daygrid.catalog.q_grid import AT_PLACE, COARSE, FINE, PLACE_PARTS
 from daygrid.catalog.q_sources import VALIDATED
 from daygrid.catalog.q_snow_soil import IN_WINTER, SOIL_PARTS, sites, stock_sql
+from daygrid.config import MEASURES, TEMPERATURES
 from daygrid.functions.calendar import snow_year
 from daygrid.operators import grid as G
 from daygrid.operators import records as R
 from daygrid.operators import runs
 from daygrid.plans import days as D
 from daygrid.session import written
+from daygrid.sources import export, provenance
 
 BASELINE = (1996, 2001)
 
@@ -176,6 +178,13 @@ def _(t):
 SOIL_AT_SPOTS = dict(at_spot="MATERIALIZED " + AT_SPOT, spot_sites="MATERIALIZED " + SPOT_SITES, **_at_spots(SOIL_PARTS))
 
 
+def whole_days(t, at, searches):
+    """The daily answer whole, with the water left in the soil, which each spot's series gives from its first day on."""
+    water = D.soil_at_places(spot_daily(t, at), G.spots(at), sites(t), "spot_id").select("spot_id", "source", "day", "soil_water")
+    spots = snow_flags(t, at, searches).join(water, ["spot_id", "source", "day"], "left")
+    return D.days_of_spots(searches, at, spots, "sim")
+
+
 @query("day1_every_column",
        "search_id:i date:d origin:s source:s temperature_min:f temperature_max:f temperature_mean:f precipitation:f snow_on_ground:s soil_water:f cloud_cover:f "
        "relative_humidity_mean:f wind_speed_mean:f wet_bulb_mean:1 humid_heat:f sky:s band_max:f band_min:f", """
@@ -189,9 +198,52 @@ SOIL_AT_SPOTS = dict(at_spot="MATERIALIZED " + AT_SPOT, spot_sites="MATERIALIZED
  FROM page AS p JOIN spot_rows AS r ON r.place_id = p.place_id JOIN balanced AS b ON b.spot_id = r.spot_id AND b.source = p.source AND b.day = p.day""", recursive=True,
        **{k: v for k, v in PAGE_PARTS.items() if k not in ("page", "wet", "at_spot", "moves", "stocks")} | SOIL_AT_SPOTS | {k: PAGE_PARTS[k] for k in ("wet", "page")})
 def _(t):
-    """The daily answer whole, with the water left in the soil, which each spot's series gives from its first day on."""
+    at = located(t)
+    return whole_days(t, at, accepted(t, at))
+
+
+# The store of the sample: temperatures blended where the mask is on, one run for all simulated arrays.
+ARRAYS = [(source, grid, n, temperatures if n in TEMPERATURES else rest, fallback if n in TEMPERATURES else None, run)
+          for source, temperatures, rest, run, fallbacks in (("obs", "E-OBS", "ERA5", None, ("ERA5", "ERA5-Land")), ("sim", "RCM", "RCM", "r1", (None, None)))
+          for grid, fallback, held in (("coarse", fallbacks[0], MEASURES), ("fine", fallbacks[1], TEMPERATURES)) for n in held]
+DATASETS = """SELECT search_id, s.place_id, CASE WHEN s.source = 'sim' THEN 'RCM' WHEN r.fine_id IS NOT NULL THEN CASE WHEN f.eobs THEN 'E-OBS' ELSE 'ERA5-Land' END || ' (temperatures), ERA5'
+  WHEN c.eobs THEN 'E-OBS (temperatures), ERA5' ELSE 'ERA5' END AS dataset
+ FROM status AS s JOIN spot_rows AS r ON r.place_id = s.place_id JOIN cells AS c ON c.cell_id = r.cell_id LEFT JOIN cells010 AS f ON f.fine_id = r.fine_id WHERE status = 'ok'"""
+
+
+def dataset_names(t, at, searches):
+    arrays = t.spark.createDataFrame(ARRAYS, "source string, grid string, variable string, dataset string, fallback string, run string")
+    masks = provenance.masks_at(at, t.cells, t.cells010)
+    both = t.spark.createDataFrame([("coarse",), ("fine",)], "grid string")
+    return provenance.of_searches(searches, masks, provenance.require(arrays, both, simulated="sim"))
+
+
+@query("day1_dataset_names", "search_id:i dataset:s", "SELECT search_id, dataset FROM datasets", **PLACE_PARTS, status=STATUS, spot_rows=SPOT_ROWS, datasets=DATASETS)
+def _(t):
+    at = located(t)
+    return dataset_names(t, at, accepted(t, at))
+
+
+def _field(name):
+    return f"COALESCE(CASE WHEN ROUND_EVEN({name}, 0) = {name} THEN CAST(CAST({name} AS BIGINT) AS VARCHAR) ELSE REPLACE(CAST({name} AS VARCHAR), '.', ',') END, '')"
+
+
+FILE_SQL = f"""SELECT search_id, day, CONCAT_WS(';', CAST(day AS VARCHAR), CASE WHEN source = 'sim' THEN 'simulated' ELSE 'observed' END, dataset, {_field('tn')}, {_field('tx')}, {_field('rain')},
+  CASE WHEN snow THEN 'yes' WHEN NOT snow THEN 'no' ELSE '' END, {_field('soil')}, {_field('cloud')}, {_field('humidity')}, {_field('wind')}, {_field('wet_bulb')},
+  CASE WHEN wb >= 30 THEN 'extreme' WHEN wb >= 26 THEN 'marked' ELSE '' END,
+  CASE WHEN pr >= 1 THEN CASE WHEN tas < 1.5 THEN 'snow' WHEN tas IS NOT NULL THEN 'rain' ELSE '' END WHEN pr IS NULL OR clt IS NULL THEN '' WHEN clt >= 70 THEN 'overcast'
+   WHEN clt >= 30 THEN 'cloudy' ELSE 'clear' END) AS line
+ FROM (SELECT p.*, dataset, ROUND_EVEN(tasmin, 1) AS tn, ROUND_EVEN(tasmax, 1) AS tx, ROUND_EVEN(pr, 1) AS rain, FLOOR(100*fill + 0.5) AS soil, ROUND_EVEN(clt, 1) AS cloud,
+   ROUND_EVEN(hurs, 1) AS humidity, ROUND_EVEN(sfcWind*3.6, 1) AS wind, ROUND_EVEN(wb, 1) AS wet_bulb
+  FROM page AS p JOIN datasets AS n ON n.search_id = p.search_id JOIN spot_rows AS r ON r.place_id = p.place_id
+  JOIN balanced AS b ON b.spot_id = r.spot_id AND b.source = p.source AND b.day = p.day) AS x"""
+
+
+@query("src15_day_file", "search_id:i day:d line:s", FILE_SQL, recursive=True, **{k: v for k, v in PAGE_PARTS.items() if k not in ("page", "wet", "at_spot", "moves", "stocks")}
+       | SOIL_AT_SPOTS | {k: PAGE_PARTS[k] for k in ("wet", "page")} | {"datasets": DATASETS})
+def _(t):
+    """The day file of every search: fourteen columns, the dataset's name among them."""
     at = located(t)
     searches = accepted(t, at)
-    water = D.soil_at_places(spot_daily(t, at), G.spots(at), sites(t), "spot_id").select("spot_id", "source", "day", "soil_water")
-    spots = snow_flags(t, at, searches).join(water, ["spot_id", "source", "day"], "left")
-    return D.days_of_spots(searches, at, spots, "sim")
+    days = provenance.with_datasets(whole_days(t, at, searches), dataset_names(t, at, searches))
+    return export.csv_lines(days.withColumn("day", F.col("date")), keep=("search_id", "day"))

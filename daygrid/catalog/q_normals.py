@@ -186,6 +186,39 @@ def _(t):
     return sentences(s, asked(t), "search_id")
 
 
+PAGE_TEXT_SQL = """SELECT search_id, title, title || CASE WHEN tx IS NOT NULL OR hot > 0 OR frost > 0 THEN ': ' || CONCAT_WS(', ',
+   'mean maximum ' || PRINTF('%.1f', ROUND_EVEN(ROUND(tx, 9), 1)) || ' °C' || CASE WHEN normal IS NULL THEN '' ELSE ' (' || CASE WHEN gap >= 0 THEN '+' ELSE '-' END
+    || PRINTF('%.1f', ABS(gap)) || ' °C against 1995-2001)' END,
+   CASE WHEN hot > 0 THEN hot || CASE WHEN hot > 1 THEN ' days' ELSE ' day' END || ' at 35 °C or more' WHEN frost > 0 THEN frost || CASE WHEN frost > 1 THEN ' days' ELSE ' day' END || ' of frost' END)
+  ELSE '' END || '.' || CASE WHEN source = 'sim' THEN ' Simulation: plausible weather, not a forecast.' ELSE '' END AS sentence
+ FROM (SELECT a.search_id, a.source, CASE WHEN word IS NOT NULL AND DAY(a.last_day) = 20 AND (MONTH(a.last_day) - MONTH(a.first_day) + 12) % 12 = 3 AND YEAR(a.last_day) - YEAR(a.first_day) <= 1
+    THEN word || ' ' || YEAR(a.first_day) || CASE WHEN YEAR(a.last_day) > YEAR(a.first_day) THEN '-' || YEAR(a.last_day) ELSE '' END
+    ELSE CAST(a.first_day AS VARCHAR) || ' to ' || CAST(a.last_day AS VARCHAR) END || ' at ' || name AS title,
+   tx, normal, ROUND_EVEN(ROUND(tx - normal, 9), 1) AS gap, CAST(ROUND_EVEN(hot, 0) AS BIGINT) AS hot, CAST(ROUND_EVEN(frost, 0) AS BIGINT) AS frost
+  FROM page_asked AS a LEFT JOIN (VALUES (321, 'Spring'), (621, 'Summer'), (921, 'Autumn'), (1221, 'Winter')) AS w(start, word) ON start = MONTH(a.first_day)*100 + DAY(a.first_day)
+  LEFT JOIN (SELECT search_id, MAX(CASE WHEN year = y0 THEN tasmax_mean END) AS tx, AVG(CASE WHEN source = 'obs' THEN tasmax_mean END) AS normal,
+   MAX(CASE WHEN year = y0 THEN hot_35 END) AS hot, MAX(CASE WHEN year = y0 THEN frost_days END) AS frost FROM figs GROUP BY 1) AS f USING (search_id)) AS x"""
+# every other search is moved to the season that its first month lies in, so that seasons are asked for as well
+PAGE_ASKED = """SELECT search_id, cell_id, source, name, first_day, last_day FROM (SELECT a.search_id, a.cell_id, a.source, p.name,
+  CASE WHEN a.search_id % 4 < 2 THEN MAKE_DATE(YEAR(a.first_day), 3*QUARTER(a.first_day), 21) ELSE a.first_day END AS first_day,
+  CASE WHEN a.search_id % 4 < 2 THEN CAST(CAST(MAKE_DATE(YEAR(a.first_day), 3*QUARTER(a.first_day), 21) + INTERVAL 3 MONTH AS DATE) - 1 AS DATE) ELSE a.last_day END AS last_day
+  FROM plain_asked AS a JOIN status AS s ON s.search_id = a.search_id JOIN places AS p ON p.place_id = s.place_id) AS x"""
+
+
+@query("api3_page_text", "search_id:i title:s sentence:s", PAGE_TEXT_SQL,
+       **PLACE_PARTS, status=STATUS, plain_asked=ASKED, page_asked=PAGE_ASKED, dated=DATED.replace("FROM asked", "FROM page_asked"), figs=FIGS)
+def _(t):
+    from daygrid.plans.batch import page_texts
+    at = located(t)
+    season = F.make_date(F.year("first_day"), 3 * F.quarter("first_day"), F.lit(21))
+    moved = F.col("search_id") % 4 < 2
+    q = accepted(t, at).join(t.places.select("place_id", "name"), "place_id").select(
+        "search_id", "cell_id", "source", "name", F.when(moved, season).otherwise(F.col("first_day")).alias("first_day"),
+        F.when(moved, F.date_sub(F.add_months(season, 3), 1)).otherwise(F.col("last_day")).alias("last_day"))
+    figures = Y.year_figures(q.drop("source", "name").withColumn("shown", F.year("first_day")), t.daily, t.periods, FIRST, LAST)
+    return page_texts(Y.summary(figures, "search_id", F.col("shown"), REF, SPAN, "obs"), q, "search_id", "1995-2001", "sim")
+
+
 # --- kinds of seasons ------------------------------------------------------------------
 
 EPOCHS = (("old", 1995, 1998), ("new", 1999, 2029), ("future", 2030, 2033))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from daygrid.catalog.base import query
 from daygrid.operators import records as R
-from daygrid.sources import checks, export, layout, packed, places, stations
+from daygrid.sources import checks, export, layout, packed, places, provenance, stations
 
 NINE = ("tasmax", "tasmin", "tas", "pr", "clt", "hurs", "sfcWind", "psl", "rsds")
 
@@ -98,6 +98,44 @@ def _(t):
     return checks.one_run(p, ["p_type"], "run")
 
 
+STORED_ARRAYS = """SELECT p_partkey // 40 AS store, CASE WHEN k < 18 THEN 'obs' ELSE 'sim' END AS source, CASE WHEN (k // 9) % 2 = 0 THEN 'coarse' ELSE 'fine' END AS grid,
+  (['tasmax', 'tasmin', 'tas', 'pr', 'clt', 'hurs', 'sfcWind', 'psl', 'rsds'])[k % 9 + 1] AS variable,
+  CASE WHEN p_size = 1 THEN NULL WHEN p_size > 45 THEN p_brand ELSE 'blend' END AS dataset, CASE WHEN (p_partkey // 40) % 2 = 0 OR p_size = 7 THEN 'rest' END AS fallback,
+  CASE WHEN k >= 18 AND p_size <> 2 THEN CASE WHEN p_size = 3 THEN p_brand ELSE 'run ' || (p_partkey // 40) % 3 END END AS run
+ FROM (SELECT *, p_partkey % 40 AS k FROM part) AS p WHERE k < 36 AND ((k // 9) % 2 = 0 OR k % 9 < 3)"""
+STORE_MASKS = """SELECT DISTINCT p_partkey // 40 AS store, grid FROM part CROSS JOIN (VALUES ('coarse'), ('fine')) AS g(grid)
+ WHERE (p_partkey // 40) % 3 <> 0 OR grid = 'coarse'"""
+
+
+def stored_arrays(t):
+    """Arrays of many stores, forty parts to a store, with what parts of odd sizes leave out or name otherwise."""
+    p = t.raw("part").selectExpr("*", "p_partkey div 40 AS store", "CAST(p_partkey % 40 AS INT) AS k").filter("k < 36 AND ((k div 9) % 2 = 0 OR k % 9 < 3)")
+    variables = ", ".join(f"'{n}'" for n in NINE)
+    return p.selectExpr(
+        "store", "IF(k < 18, 'obs', 'sim') AS source", "IF((k div 9) % 2 = 0, 'coarse', 'fine') AS grid", f"array({variables})[k % 9] AS variable",
+        "CASE WHEN p_size = 1 THEN NULL WHEN p_size > 45 THEN p_brand ELSE 'blend' END AS dataset", "CASE WHEN store % 2 = 0 OR p_size = 7 THEN 'rest' END AS fallback",
+        "CASE WHEN k >= 18 AND p_size <> 2 THEN IF(p_size = 3, p_brand, concat('run ', store % 3)) END AS run")
+
+
+def store_masks(t):
+    stores = t.raw("part").selectExpr("p_partkey div 40 AS store").distinct()
+    return stores.select("store", F.explode(F.array(F.lit("coarse"), F.lit("fine"))).alias("grid")).filter("store % 3 <> 0 OR grid = 'coarse'")
+
+
+@query("src10_provenance_faults", "store:i source:s grid:s variable:s rule:s", """
+ SELECT store, source, grid, variable, 'dataset_unnamed' AS rule FROM arrays WHERE dataset IS NULL
+ UNION ALL SELECT store, source, grid, variable, 'mixed_temperatures' FROM arrays AS a WHERE variable IN ('tasmax', 'tasmin', 'tas') AND EXISTS (
+  SELECT 1 FROM arrays AS b WHERE b.store = a.store AND b.source = a.source AND b.grid = a.grid AND b.variable IN ('tasmax', 'tasmin', 'tas')
+   AND (b.dataset IS DISTINCT FROM a.dataset OR b.fallback IS DISTINCT FROM a.fallback))
+ UNION ALL SELECT store, source, grid, variable, 'run_unnamed' FROM arrays WHERE source = 'sim' AND run IS NULL
+ UNION ALL SELECT a.store, source, grid, variable, 'other_run' FROM arrays AS a JOIN (SELECT store, ARG_MIN(run, grid || ' ' || variable) AS first_run FROM arrays
+  WHERE source = 'sim' AND run IS NOT NULL GROUP BY 1) AS f ON f.store = a.store WHERE source = 'sim' AND run <> first_run
+ UNION ALL SELECT a.store, source, a.grid, variable, 'fallback_without_mask' FROM arrays AS a LEFT JOIN masks AS m ON m.store = a.store AND m.grid = a.grid
+  WHERE fallback IS NOT NULL AND m.grid IS NULL""", arrays=STORED_ARRAYS, masks=STORE_MASKS)
+def _(t):
+    return provenance.faults(stored_arrays(t), store_masks(t), ["store"], "sim")
+
+
 @query("src11_covers", "source:s held_from:d held_to:d covered:b", """
  SELECT p.source, held_from, held_to, COALESCE(held_from <= first_day AND held_to >= last_day, FALSE) AS covered FROM periods AS p
  LEFT JOIN (SELECT source, MIN(day) AS held_from, MAX(day) AS held_to FROM grown GROUP BY source) AS h ON h.source = p.source""")
