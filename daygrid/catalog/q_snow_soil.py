@@ -7,6 +7,7 @@ from daygrid.catalog.q_functions import FAO_PARTS
 from daygrid.operators import grid as G
 from daygrid.operators import snow as S
 from daygrid.operators import soil as L
+from daygrid.operators import trials as T
 
 SNOW_YEAR = "YEAR(day) + CASE WHEN MONTH(day) >= 8 THEN 1 ELSE 0 END"
 IN_WINTER = "MONTH(day) IN (11, 12, 1, 2, 3, 4)"
@@ -64,50 +65,55 @@ def _(t):
                           S.winter_mean(sim, 2028, 2033, key), key)
 
 
-# The trial grid of the calibration.
+# The trial grids of the calibration and of the ground term.
 FALLS, MELTS, LEVELS = (0.5, 1.0, 1.5, 2.0), (1.5, 2.0, 3.0, 4.0, 5.0), (1.0, 2.0, 5.0)
-# The stations of the sample report on few days: a fifth of a winter has to do here.
-KNOWN_SHARE, LEAST_WINTERS = 0.2, 2
-OBSERVED = f"""SELECT station_id, winter, n*days/known AS observed_days FROM (SELECT *, DATE_DIFF('day', MAKE_DATE(winter - 1, 11, 1), MAKE_DATE(winter, 4, 30)) + 1 AS days FROM (
-  SELECT station_id, {SNOW_YEAR} AS winter, SUM(CASE WHEN depth >= 3 THEN 1 ELSE 0 END)*1.0 AS n, COUNT(depth) AS known FROM station_days
- WHERE {IN_WINTER} GROUP BY 1, 2) AS w) AS x WHERE known >= 0.2*days"""
+GROUND_DAYS, GROUND_FACTORS, GROUND_MELTS, GROUND_LEVELS = (10, 20, 30), (0.5, 1.0, 2.0), (2.0, 3.0, 4.0), (1.0, 2.0)
+# The sample holds three winters on each side; 15 and 10 are asked for on long series.
+LEAST_WINTERS = 2
+PARTS = "CASE WHEN winter <= 1998 THEN 'calibration' ELSE 'control' END"
+KNOWN = f"""SELECT * FROM (SELECT station_id, {SNOW_YEAR} AS winter, COUNT(depth) AS known, SUM(CASE WHEN depth >= 3 THEN 1 ELSE 0 END) AS snowy,
+  DATE_DIFF('day', MAKE_DATE({SNOW_YEAR} - 1, 11, 1), MAKE_DATE({SNOW_YEAR}, 4, 30)) + 1 AS days FROM station_series WHERE {IN_WINTER} GROUP BY ALL) AS w
+ WHERE known >= 0.95*days"""
 HELD_WINTER = "snow_year IN (SELECT YEAR(day) + 1 FROM days_held WHERE source = 'obs' AND MONTH(day) = 8 AND DAY(day) = 1)"
-TRIAL_WINTERS = f"""SELECT station_id, snow_year AS winter, ts, ddf, s0, SUM(CASE WHEN stock >= s0 - 0.000000001 THEN 1 ELSE 0 END) AS snow_days
- FROM stocks WHERE {IN_WINTER} AND {HELD_WINTER} GROUP BY ALL"""
+TRIED = """SELECT w.*, snowy*days*1.0/known AS observed_days, m*days*1.0/known AS snow_days FROM known AS k JOIN (
+  SELECT station_id, snow_year AS winter, {by}, SUM(CASE WHEN stock >= {level} - 0.000000001 THEN 1 ELSE 0 END) AS m FROM stocks
+  WHERE depth IS NOT NULL AND {season} AND {held} GROUP BY ALL) AS w USING (station_id, winter)"""
 SCORES = """SELECT {by}, AVG(ABS(m-o)) AS error, AVG(m-o) AS bias, CORR(m, o) AS correlation, AVG(o) AS observed, AVG(m) AS computed, COUNT(*) AS stations FROM (
-  SELECT station_id, {by}, AVG(snow_days) AS m, AVG(observed_days) AS o FROM tw JOIN observed USING (station_id, winter) WHERE {when} GROUP BY ALL HAVING COUNT(*) >= 2) AS s GROUP BY ALL"""
+  SELECT station_id, {by}, AVG(snow_days) AS m, AVG(observed_days) AS o FROM (SELECT *, {parts} AS part FROM tried) AS t GROUP BY ALL HAVING COUNT(*) >= 2) AS s GROUP BY ALL"""
 
 
-@query("snow7_grid_search", "part:s ts:1 ddf:1 s0:1 error:4 bias:4 correlation:4 stations:i", f"""
- SELECT 'calibration' AS part, * FROM ({SCORES.format(by='ts, ddf, s0', when='winter <= 1998')}) AS a UNION ALL
- SELECT 'control', * FROM ({SCORES.format(by='ts, ddf, s0', when='winter > 1998')}) AS b""",
-       trial="""SELECT d.*, ts, ddf, s0 FROM station_days AS d CROSS JOIN (VALUES (0.5), (1.0), (1.5), (2.0)) AS a(ts)
+def tried(by: str, level: str = "2.0") -> dict:
+    return {"known": KNOWN, "tried": TRIED.format(by=by, level=level, season=IN_WINTER, held=HELD_WINTER)}
+
+
+def scored(df, settings, by=()):
+    """Scores of every setting over calibration and control winters; ``by`` are columns of the station."""
+    df = df.withColumn("observed", F.col("depth") >= 3)
+    winters = T.trial_winters(df, settings, ["station_id", *by], "observed")
+    winters = winters.withColumn("part", F.when(F.col("winter") <= 1998, "calibration").otherwise("control"))
+    return T.trial_scores(winters, ["station_id"], ["part", *by, *settings[0].labels], LEAST_WINTERS)
+
+
+@query("snow7_grid_search", "part:s ts:1 ddf:1 s0:1 error:4 bias:4 correlation:4 stations:i", SCORES.format(by="part, ts, ddf, s0", parts=PARTS),
+       trial="""SELECT d.*, ts, ddf, s0 FROM station_series AS d CROSS JOIN (VALUES (0.5), (1.0), (1.5), (2.0)) AS a(ts)
  CROSS JOIN (VALUES (1.5), (2.0), (3.0), (4.0), (5.0)) AS b(ddf) CROSS JOIN (VALUES (1.0), (2.0), (5.0)) AS c(s0)""",
-       **stock_sql("trial", "station_id, ts, ddf, s0", "ts", "ddf"), tw=TRIAL_WINTERS, observed=OBSERVED)
+       **stock_sql("trial", "station_id, ts, ddf, s0", "ts", "ddf"), **tried("ts, ddf, s0", "s0"))
 def _(t):
-    grid = [{"ts": a, "ddf": b, "s0": c} for a in FALLS for b in MELTS for c in LEVELS]
-    by = ["ts", "ddf", "s0"]
-    tried = S.stock(S.trials(t.station_days, grid), ["station_id", *by], S.Melt("ts", "ddf", "s0"))
-    w = S.per_winter(tried, ["station_id", *by])
-    o = S.observed_winters(t.station_days.withColumn("observed", F.col("depth") >= 3), "observed", ["station_id"], KNOWN_SHARE)
-    parts = [("calibration", "winter <= 1998"), ("control", "winter > 1998")]
-    out = [S.winter_scores(w.filter(c), o, ["station_id"], by, LEAST_WINTERS).withColumn("part", F.lit(n)) for n, c in parts]
-    return out[0].unionByName(out[1])
-
-
-@query("snow8_ground_term", "g:1 error:4 bias:4 correlation:4 stations:i", SCORES.format(by="g", when="TRUE"),
-       trial="""SELECT d.*, g, g*GREATEST(AVG(tas) OVER (PARTITION BY station_id, g ORDER BY day RANGE BETWEEN INTERVAL 20 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0.0) AS ground
-  FROM station_days AS d CROSS JOIN (VALUES (0.5), (1.0), (2.0)) AS v(g)""",
-       **stock_sql("trial", "station_id, g", "0.5", "3.0", "COALESCE(ground, 0)"),
-       tw=f"""SELECT station_id, snow_year AS winter, g, SUM(CASE WHEN stock >= 2.0 - 0.000000001 THEN 1 ELSE 0 END) AS snow_days FROM stocks WHERE {IN_WINTER} AND {HELD_WINTER} GROUP BY ALL""",
-       observed=OBSERVED)
+    return scored(t.station_series, [T.Setting({"ts": a, "ddf": b, "s0": c}, S.Melt(a, b, c)) for a in FALLS for b in MELTS for c in LEVELS])
+
+
+@query("snow8_ground_term", "part:s n:i g:1 ddf:1 s0:1 error:4 bias:4 correlation:4 stations:i", SCORES.format(by="part, n, g, ddf, s0", parts=PARTS),
+       warmed="MATERIALIZED SELECT *, " + ", ".join(
+           f"AVG(tas) OVER (PARTITION BY station_id ORDER BY day RANGE BETWEEN INTERVAL {n} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS warm{n}"
+           for n in GROUND_DAYS) + " FROM station_series",
+       trial="""SELECT station_id, day, tas, pr, depth, n, g, ddf, s0, g*GREATEST(CASE n WHEN 10 THEN warm10 WHEN 20 THEN warm20 ELSE warm30 END, 0.0) AS ground
+ FROM warmed CROSS JOIN (VALUES (10), (20), (30)) AS a(n) CROSS JOIN (VALUES (0.5), (1.0), (2.0)) AS b(g)
+ CROSS JOIN (VALUES (2.0), (3.0), (4.0)) AS c(ddf) CROSS JOIN (VALUES (1.0), (2.0)) AS d(s0)""",
+       **stock_sql("trial", "station_id, n, g, ddf, s0", "0.5", "ddf", "COALESCE(ground, 0)"), **tried("n, g, ddf, s0", "s0"))
 def _(t):
-    grid = [{"g": g} for g in (0.5, 1.0, 2.0)]
-    keys = ["station_id", "g"]
-    warm = S.ground_term(S.trials(t.station_days, grid), "g", 20, keys)
-    w = S.per_winter(S.stock(warm, keys, S.Melt(mm_per_degree=3.0), extra_melt=F.col("ground_melt")), keys)
-    o = S.observed_winters(t.station_days.withColumn("observed", F.col("depth") >= 3), "observed", ["station_id"], KNOWN_SHARE)
-    return S.winter_scores(w, o, ["station_id"], ["g"], LEAST_WINTERS)
+    warm = t.station_series.withColumns({f"warm{n}": T.warm_column("tas", n, ["station_id"]) for n in GROUND_DAYS})
+    return scored(warm, [T.Setting({"n": n, "g": g, "ddf": m, "s0": c}, S.Melt(mm_per_degree=m, stock_mm=c), ground=g, warm=f"warm{n}")
+                         for n in GROUND_DAYS for g in GROUND_FACTORS for m in GROUND_MELTS for c in GROUND_LEVELS])
 
 
 PACK_IN = """MATERIALIZED SELECT source, cell_id, day, fall, loss, MONTH(day) = 8 AND DAY(day) = 1 AS opens,
@@ -153,26 +159,21 @@ MONTHLY_RATE = "CASE MONTH(day) " + " ".join(
         (2.4, 3.3, 4.1, 4.2, 4.2, 4.2, 4.0, 3.6, 3.6, 3.1, 3.0, 2.4), (3.9, 5.7, 7.5, 8.4, 8.4, 8.0, 7.8, 7.6, 7.2, 6.1, 4.7, 3.5)), 1)) + " END"
 
 
-@query("snow11_lift_variants", "variant:s altitude_class:i error:4 bias:4 correlation:4 stations:i",
-       SCORES.format(by="variant, altitude_class", when="TRUE"),
+@query("snow11_lift_variants", "part:s variant:s altitude_class:i error:4 bias:4 correlation:4 stations:i",
+       SCORES.format(by="part, variant, altitude_class", parts=PARTS),
        trial=f"""SELECT * REPLACE (tas + rate*gap/1000.0 AS tas) FROM (SELECT d.*, variant, CAST(LEAST(3, FLOOR(s.elevation/500)) AS BIGINT) AS altitude_class,
    c.elevation - s.elevation AS gap, CASE variant WHEN 'none' THEN 0.0 WHEN 'five' THEN 5.0 WHEN 'standard' THEN 6.5 ELSE {MONTHLY_RATE} END AS rate
-  FROM station_days AS d JOIN stations AS s USING (station_id) JOIN cells AS c ON c.cell_id = s.cell_id
+  FROM station_series AS d JOIN stations AS s USING (station_id) JOIN cells AS c ON c.cell_id = s.cell_id
   CROSS JOIN (VALUES ('none'), ('five'), ('standard'), ('monthly')) AS v(variant) WHERE c.elevation IS NOT NULL) AS x""",
-       **stock_sql("trial", "station_id, variant"),
-       tw=f"""SELECT station_id, variant, altitude_class, snow_year AS winter, SUM(CASE WHEN stock >= 2.0 - 0.000000001 THEN 1 ELSE 0 END) AS snow_days
- FROM stocks WHERE {IN_WINTER} AND {HELD_WINTER} GROUP BY ALL""", observed=OBSERVED)
+       **stock_sql("trial", "station_id, variant"), **tried("variant, altitude_class"))
 def _(t):
-    variants = [{"variant": n, "plain": v} for n, v in (("none", 0.0), ("five", 5.0), ("standard", 6.5), ("monthly", None))]
+    rates = {"none": F.lit(0.0), "five": F.lit(5.0), "standard": F.lit(6.5), "monthly": G.lapse_rate("tas", F.month("day"))}
     where = t.stations.select("station_id", "cell_id", F.col("elevation").alias("height")).join(
         t.cells.select("cell_id", "elevation"), "cell_id").filter("elevation IS NOT NULL")
-    d = S.trials(t.station_days.join(where, "station_id"), variants)
-    rate = F.coalesce("plain", G.lapse_rate("tas", F.month("day")))
-    d = d.withColumn("tas", F.col("tas") + rate * (F.col("elevation") - F.col("height")) / 1000.0)
+    lift = (F.col("elevation") - F.col("height")) / 1000.0
+    d = t.station_series.join(where, "station_id").withColumns({f"tas_{n}": F.col("tas") + r * lift for n, r in rates.items()})
     d = d.withColumn("altitude_class", F.least(F.lit(3), F.floor(F.col("height") / 500)))
-    keys = ["station_id", "variant", "altitude_class"]
-    o = S.observed_winters(t.station_days.withColumn("observed", F.col("depth") >= 3), "observed", ["station_id"], KNOWN_SHARE)
-    return S.winter_scores(S.per_winter(S.stock(d, keys), keys), o, ["station_id"], ["variant", "altitude_class"], LEAST_WINTERS)
+    return scored(d, [T.Setting({"variant": n}, tas=f"tas_{n}") for n in rates], ["altitude_class"])
 
 
 @query("snow12_place_study", "source:s cell_id:i winter:i snow_days:i tas_djf:4 rain_djf:4 cold_days:i cold_wet_days:i", f"""

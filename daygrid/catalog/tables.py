@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daygrid.config import MEASURES
@@ -138,6 +138,12 @@ PRELUDE["station_daily"] = """
 PRELUDE["station_days"] = """MATERIALIZED SELECT s.station_id, d.day, tas, pr, depth
  FROM stations AS s CROSS JOIN (SELECT day FROM days_held WHERE source = 'obs') AS d LEFT JOIN station_daily AS r ON r.station_id = s.station_id AND r.day = d.day"""
 
+# The same days with each report held for up to REPORT_DAYS days, so that most winters are reported nearly whole.
+REPORT_DAYS = 20
+PRELUDE["station_series"] = "MATERIALIZED SELECT station_id, day, " + ", ".join(
+    f"LAST_VALUE({c} IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY day ROWS BETWEEN {REPORT_DAYS} PRECEDING AND CURRENT ROW) AS {c}"
+    for c in ("tas", "pr", "depth")) + " FROM station_days"
+
 PRELUDE["hourly"] = """
  SELECT user_id // 6 AS cell_id, ts, value, value/10.0 - 10.0 AS t2m, value/12.0 - 12.0 AS d2m,
   (event_id % 21) - 10.0 AS u10, (event_id % 17) - 8.0 AS v10, 100000.0 - event_id % 500 AS sp,
@@ -315,6 +321,12 @@ class Tables:
         held = self.station_daily.withColumn("source", F.lit("obs"))
         return densify(held, self.stations, HELD[:1], ("tas", "pr", "depth"), "station_id").drop("source")
 
+    @cached_property
+    def station_series(self) -> DataFrame:
+        w = Window.partitionBy("station_id").orderBy("day").rowsBetween(-REPORT_DAYS, 0)
+        return self.station_days.select("station_id", "day", *[
+            F.last(c, ignorenulls=True).over(w).alias(c) for c in ("tas", "pr", "depth")])
+
     @cached_property
     def hourly(self) -> DataFrame:
         return self.raw("events").selectExpr(
