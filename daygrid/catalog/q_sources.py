@@ -74,7 +74,7 @@ def _(t):
   MAX(ABS(va - vb)) AS largest,
   SUM(CASE WHEN ha IS NULL OR hb IS NULL THEN 1 ELSE 0 END) = 0
    AND SUM(CASE WHEN ha IS NOT NULL AND hb IS NOT NULL AND (va IS NULL) <> (vb IS NULL) THEN 1 ELSE 0 END) = 0
-   AND COALESCE(MAX(ABS(va - vb)), 0.0) <= 0.5/2 + 0.0001 AS agrees
+   AND COALESCE(MAX(ABS(va - vb)), 0.0) <= CASE variable WHEN 'tas' THEN 0.5 WHEN 'pr' THEN 0.1 ELSE 2.0 END/2 + 0.0001 AS agrees
  FROM (SELECT variable, va, vb, ha, hb FROM a FULL JOIN b USING (source, cell_id, day, variable)) AS j GROUP BY variable""",
        a="""SELECT source, cell_id, day, 'tas' AS variable, tas AS va, 1 AS ha FROM daily UNION ALL
  SELECT source, cell_id, day, 'pr', pr, 1 FROM daily UNION ALL SELECT source, cell_id, day, 'hurs', hurs, 1 FROM daily""",
@@ -85,7 +85,7 @@ def _(t):
     other = t.daily.withColumns({
         "tas": F.bround(F.col("tas") / 0.5, 0) * 0.5, "pr": F.when(F.col("pr") < 3, F.col("pr")),
         "hurs": F.col("hurs") + 1.0})
-    return checks.reconcile(t.daily, other, ("tas", "pr", "hurs"), 0.5)
+    return checks.reconcile(t.daily, other, {"tas": 0.5, "pr": 0.1, "hurs": 2.0})
 
 
 @query("src10_one_run", "p_type:s arrays:i runs:i named:i consistent:b", """

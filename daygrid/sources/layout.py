@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid import config
 from daygrid.functions.expr import gap
-from daygrid.session import cut
+from daygrid.session import cut, written
+from daygrid.sources import manifest as M
 
 
 def between(first: date | str | None, last: date | str | None, day: str = "day") -> Column:
@@ -73,22 +75,33 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 def missing_years(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """All rows of the (source, year) pairs the stored copy lacks or holds in part.
 
-    A pair is missing as long as one of its cell-days is; rows that only the copy holds are kept with it.
+    A pair is missing as long as one of its cell-days is; rows that only the copy holds are kept with it. Pairs that the
+    manifest of the copy tells to be equal are not read; only the others meet the copy's rows.
     """
     df = df.withColumn("year", F.year("day"))
     if not _path_exists(spark, path):
         return df
-    held = spark.read.parquet(path)
-    keys = ["source", "cell_id", "day"]
-    years = df.join(held.select(*keys), keys, "left_anti").select("source", "year").distinct()
-    own = held.join(years, ["source", "year"], "left_semi").join(df.select(*keys), keys, "left_anti")
+    pair, keys = ["source", "year"], ["source", "cell_id", "day"]
+    maybe = written(M.differing(df, M.stored(spark, path, _path_exists)))  # a row per pair at most
+    named = maybe.collect()
+    if not named:
+        return df.limit(0)
+    # The pairs as literals prune the copy's folders, which are named by them.
+    chosen = reduce(lambda a, b: a | b, [
+        F.col("source").eqNullSafe(s) & F.col("year").isin([r["year"] for r in named if r["source"] == s]) for s in {r["source"] for r in named}])
+    held = spark.read.parquet(path).filter(chosen)
+    some = df.filter(chosen)
+    years = some.join(held.select(*keys), keys, "left_anti").select(*pair).distinct()
+    own = held.join(years, pair, "left_semi").join(some.select(*keys), keys, "left_anti")
     # Cut from the files that are about to be replaced.
-    return cut(df.join(years, ["source", "year"], "left_semi").unionByName(own))
+    return cut(some.join(years, pair, "left_semi").unionByName(own))
 
 
 def write_years(df: DataFrame, path: str) -> None:
-    """Write the missing years only; each year's files replace that year alone."""
-    todo = missing_years(df, df.sparkSession, path)
+    """Write the missing years only; each year's files replace that year alone, then its manifest row is replaced."""
+    spark = df.sparkSession
+    todo = missing_years(df, spark, path)
     (todo.repartitionByRange("source", "year", "day", "cell_id").sortWithinPartitions("source", "year", "day")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source", "year").parquet(path))
+    M.write(M.manifest(todo), path)
