@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,14 +82,9 @@ def missing_years(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
         return df
     pair, keys = ["source", "year"], ["source", "cell_id", "day"]
     maybe = written(M.differing(df, M.stored(spark, path, _path_exists)))  # a row per pair at most
-    named = maybe.collect()
-    if not named:
-        return df.limit(0)
-    # The pairs as literals prune the copy's folders, which are named by them.
-    chosen = reduce(lambda a, b: a | b, [
-        F.col("source").eqNullSafe(s) & F.col("year").isin([r["year"] for r in named if r["source"] == s]) for s in {r["source"] for r in named}])
-    held = spark.read.parquet(path).filter(chosen)
-    some = df.filter(chosen)
+    # Small enough to be sent, and the copy's folders are named by its columns: Spark prunes them at run time.
+    held = spark.read.parquet(path).join(maybe, pair, "left_semi")
+    some = df.join(maybe, pair, "left_semi")
     years = some.join(held.select(*keys), keys, "left_anti").select(*pair).distinct()
     own = held.join(years, pair, "left_semi").join(some.select(*keys), keys, "left_anti")
     # Cut from the files that are about to be replaced.
