@@ -76,36 +76,52 @@ def contrast_city(points: DataFrame, cities: DataFrame, key: str, order: str = "
     """The large city of another climate: nearest the point shifted 7.2 degrees south (north in
     the south), at least 300 km from the place.
 
-    Cities are bucketed in tiles. On tiles alone (at most 64 800 of one degree,
-    whatever the number of cities) each tile of points keeps the tiles that can
-    hold its answer: lower bound of the distance no greater than the best upper
-    bound. Rows then meet by an equi join on those tiles only.
+    Points at one position are searched once. Positions and cities are bucketed in tiles. On tiles alone (at most 64 800 of
+    one degree, whatever the number of cities) each tile of points keeps the tiles that can hold its answer: none surely
+    too near the place, lower bound of the distance no greater than the best upper bound of a tile surely far enough.
+    Kept tiles are cut in sixteen and pruned again, twice. Rows then meet by an equi join on the narrowest tiles only.
     """
     shift = F.when(F.col("lat") < config.CONTRAST_SOUTH_LAT, config.CONTRAST_SHIFT_DEG).otherwise(
         -config.CONTRAST_SHIFT_DEG)
-    p = points.select(key, F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), (F.col("lat") + shift).alias("_tlat"))
-    p = p.withColumns({"_pb": F.floor(F.col("_tlat") / tile), "_pc": F.floor(F.col("_plon") / tile)})
-    spots = one_per_spot(cities.filter(
+    asked = one_per_spot(points.select(key, "lat", "lon"), key).filter("lat IS NOT NULL AND lon IS NOT NULL")
+    p = asked.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), (F.col("lat") + shift).alias("_tlat"), shift.alias("_shift"))
+    c = one_per_spot(cities.filter(
         (F.col("population") >= config.CONTRAST_POPULATION) & F.col("country").isin(*config.EUROPE) & F.col("served")
     ).select(order, "lat", "lon"), order)
-    c = spots.withColumns({"_cb": F.floor(F.col("lat") / tile), "_cc": F.floor(F.col("lon") / tile)})
-    point_tiles, city_tiles = p.select("_pb", "_pc").distinct(), c.select("_cb", "_cc").distinct()
-    centre = haversine_km((F.col("_pb") + 0.5) * tile, (F.col("_pc") + 0.5) * tile,
-                          (F.col("_cb") + 0.5) * tile, (F.col("_cc") + 0.5) * tile)
-    # Half diagonals of the two tiles, both at most tile/sqrt(2) degrees.
-    slack = 2 * tile * 0.7072 * config.EARTH_KM * 0.017453293
-    # A tile surely far from every place of the point's tile: one shift away at most from the target.
-    shifted_km = config.CONTRAST_SHIFT_DEG * config.EARTH_KM * 0.017453293
-    t = point_tiles.crossJoin(F.broadcast(city_tiles)).withColumn("_d", centre)
-    sure = F.when(F.col("_d") > shifted_km + config.CONTRAST_AWAY_KM + 2 * slack, F.col("_d") + slack)
-    limit = t.groupBy("_pb", "_pc").agg(F.min(sure).alias("_limit"))
-    kept = t.join(limit, ["_pb", "_pc"]).filter(
-        F.col("_limit").isNull() | (F.col("_d") - slack <= F.col("_limit"))).select("_pb", "_pc", "_cb", "_cc")
-    pairs = p.join(kept, ["_pb", "_pc"]).join(c, ["_cb", "_cc"])
+    sizes = [tile / 4 ** k for k in range(3)]
+    fine = sizes[-1]
+    p = written(p.withColumns({"_pb": F.floor(F.col("_tlat") / fine), "_pc": F.floor(F.col("_plon") / fine)}))
+    c = written(c.withColumns({"_cb": F.floor(F.col("lat") / fine), "_cc": F.floor(F.col("lon") / fine)}))
+    near, far_off, kept = ["_pb", "_pc", "_shift"], ["_cb", "_cc"], None
+    for size in sizes:
+        up = round(size / fine)
+        raised = lambda names, by=up: [F.floor(F.col(n) / by).alias(n) for n in names]
+        own, theirs = p.select(*raised(near[:2]), "_shift").distinct(), c.select(*raised(far_off)).distinct()
+        if kept is None:
+            t = own.crossJoin(F.broadcast(theirs))
+        else:
+            wide = lambda names: {f"_u{n}": F.floor(F.col(n) / 4) for n in names}
+            before = kept.withColumnsRenamed({n: f"_u{n}" for n in (*near[:2], *far_off)})
+            t = own.withColumns(wide(near[:2])).join(before, ["_u_pb", "_u_pc", "_shift"])
+            t = t.join(theirs.withColumns(wide(far_off)), ["_u_cb", "_u_cc"]).select(*near, *far_off)
+        middle = {n: (F.col(n) + 0.5) * size for n in (*near[:2], *far_off)}
+        # Half diagonals of the two tiles, both at most size/sqrt(2) degrees.
+        slack = 2 * size * 0.7072 * config.EARTH_KM * 0.017453293
+        t = t.withColumns({"_d": haversine_km(middle["_pb"], middle["_pc"], middle["_cb"], middle["_cc"]),
+                           "_away": haversine_km(middle["_pb"] - F.col("_shift"), middle["_pc"], middle["_cb"], middle["_cc"])})
+        t = written(t.filter(F.col("_away") + slack >= config.CONTRAST_AWAY_KM))
+        sure = F.when(F.col("_away") - slack >= config.CONTRAST_AWAY_KM, F.col("_d") + slack)
+        limit = t.groupBy(*near).agg(F.min(sure).alias("_limit"))
+        kept = t.join(limit, near).filter(
+            F.col("_limit").isNull() | (F.col("_d") - slack <= F.col("_limit"))).select(*near, *far_off)
+    # Few rows a side, many pairs: dealt out by tile, whatever their bytes.
+    pairs = p.join(kept, near).repartition(*near).join(c, far_off)
     pairs = pairs.filter(_km("_plat", "_plon", "lat", "lon") >= config.CONTRAST_AWAY_KM)
     far = _order(_km("_tlat", "_plon", "lat", "lon"))
-    best = pairs.groupBy(key).agg(F.min_by(order, F.struct(far.alias("d"), order)).alias(order))
-    return points.select(key).join(best.withColumnRenamed(order, "contrast_id"), key, "left")
+    best = pairs.groupBy("_plat", "_plon").agg(F.min(F.struct(far.alias("d"), order)).alias("_b"))
+    named = points.select(key, F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).join(best, ["_plat", "_plon"])
+    named = named.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col(f"_b.{order}").alias("contrast_id"))
+    return points.select(key).join(named, key, "left")
 
 
 def _cubes(df: DataFrame, edge: float) -> DataFrame:

@@ -1,10 +1,12 @@
 """Steps that many queries share: how rows travel, on rows built here."""
 
+import math
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from daygrid.operators import nearby as N
 from daygrid.operators import spine
 from daygrid.operators import years as Y
 
@@ -70,3 +72,26 @@ def test_figures_of_years_meet_days_without_a_join_of_them(spark):
     assert got[8, 2000][0].source == "obs" and got[8, 2000][0].tasmax_mean is None  # held, but of no cell
     assert got[9, 2000][0].source == "obs" and got[9, 2000][0].days == 1 and got[9, 2000][0].frost_days is None
     assert got[None, 2000][0].days == 4 and got[None, 2001][0].source is None and got[None, 2000][0].tas_mean == pytest.approx((362 - 2 - 1) / 3)  # one of its days is missing
+
+
+def test_contrast_cities_meet_few_tiles_and_a_position_once(spark, monkeypatch):
+    """Before, a point met all cities within 1 400 km and more of its target, and copies of a point met them again."""
+    met, put = [], N.written
+    monkeypatch.setattr(N, "written", lambda df: met.append(put(df)) or met[-1])
+    towns = [(k, 36.0 + 0.2 * (k // 100), -9.0 + 0.4 * (k % 100), "FR", 600000, True) for k in range(10000)]
+    cities = spark.createDataFrame(towns, "place_id long, lat double, lon double, country string, population long, served boolean")
+    asked = [(k, 48.03, 8.07) for k in range(50)] + [(50, None, 1.0), (51, 37.0, 3.0), (51, 50.0, 30.0), (None, 48.0, 8.0)]
+    points = spark.createDataFrame(asked, "point_id long, lat double, lon double")
+    got = [tuple(r) for r in N.contrast_city(points, cities, "point_id").collect()]
+    assert met[0].count() == 4 and met[-1].count() < 4000 < 4 * 10000  # positions; pairs of narrow tiles
+
+    def km(a, b, c, d):
+        a, b, c, d = (math.radians(v) for v in (a, b, c, d))
+        return 2 * 6371.0 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    def best(*at):
+        return min((math.floor(km(lat + (7.2 if lat < 44 else -7.2), lon, t[1], t[2]) * 1e7 + 0.5), t[0])
+                   for lat, lon in at for t in towns if km(lat, lon, t[1], t[2]) >= 300)[1]
+
+    want = {k: best((48.03, 8.07)) for k in range(50)} | {50: None, 51: best((37.0, 3.0), (50.0, 30.0)), None: None}
+    assert len(got) == 54 and all(want[k] == v for k, v in got)
