@@ -6,9 +6,12 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from daygrid.operators import carry
+from daygrid.operators import climate as C
 from daygrid.operators import nearby as N
 from daygrid.operators import spine
 from daygrid.operators import years as Y
+from daygrid.sources import checks
 
 RANGES = (("obs", "2000-01-01", "2000-01-10"), ("sim", "2000-01-01", "2000-01-03"))
 
@@ -95,3 +98,42 @@ def test_contrast_cities_meet_few_tiles_and_a_position_once(spark, monkeypatch):
 
     want = {k: best((48.03, 8.07)) for k in range(50)} | {50: None, 51: best((37.0, 3.0), (50.0, 30.0)), None: None}
     assert len(got) == 54 and all(want[k] == v for k, v in got)
+
+
+def test_copies_are_compared_in_one_pass(spark):
+    """Before, each copy was read and shuffled twice."""
+    a = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, None), (3, float("nan")), (4, 0.0), (None, 5.0)], "k long, v double")
+    b = spark.createDataFrame([(None, 5.0), (1, 1.0), (2, None), (3, float("nan")), (4, -0.0), (6, None), (6, None)], "k long, v double")
+    df = checks.same_rows(a, b)
+    assert plan(df).count("Scan ExistingRDD") == 2
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 1.0, "a"), (6, None, "b"), (6, None, "b")]
+
+
+def test_cells_of_a_task_step_together_whatever_the_block(spark, tmp_path):
+    """Before, blocks of one cell made a step of every row."""
+    rows = [("obs", c, date(2000, 1, 1) + timedelta(days=n), float(c)) for c in range(40) for n in range(5 + c % 2)]
+    df = spark.createDataFrame(rows, "source string, cell_id long, day date, x double")
+
+    def step(day, states):
+        with open(tmp_path / "steps", "a") as f:
+            f.write(".")
+        return {"total": states[0] + day["x"]}, [states[0] + day["x"]]
+
+    got = carry.stepped(df, step, ["x"], ["total"], [0.0], block=1).collect()
+    assert {(r.cell_id, r.day): r.total for r in got} == {(c, d): c * ((d - date(2000, 1, 1)).days + 1.0) for _, c, d, _ in rows}
+    assert len((tmp_path / "steps").read_text()) <= 6 * 4 * 2 < len(rows)  # days, tasks, and days cut by a batch
+
+
+def test_windows_shared_by_requests_are_summed_once(spark):
+    """Before, each request met twelve rows of every year of its window."""
+    months = [("obs", 1, y, m, *[float(y + m)] * 4, *[28] * 4, 28) for y in (1990, 1991, 1993) for m in (1, 2)]
+    sums = spark.createDataFrame(months, "source string, cell_id long, year int, month int, " + ", ".join(
+        f"sum_{n} double" for n in ("tas", "tasmin", "tasmax", "pr")) + ", " + ", ".join(f"n_{n} long" for n in ("tas", "tasmin", "tasmax", "pr")) + ", days long")
+    asked = [(7, "obs", 1, 1990, 1992), (8, "obs", 1, 1990, 1992), (8, "obs", 1, 1990, 1992), (9, "obs", 1, 1991, 1993), (9, "obs", 1, 1990, 1991), (5, "obs", None, 1990, 1992)]
+    requests = spark.createDataFrame(asked, "search_id long, source string, cell_id long, window_from int, window_to int")
+    df = C.window_diagram(sums, requests, ["source", "cell_id"], "search_id")
+    per_year = requests.select("search_id", "source", "cell_id", F.explode(F.sequence("window_from", "window_to")).alias("year"))
+    want = C.diagram(per_year.join(sums, ["source", "cell_id", "year"]), ("search_id",))
+    rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.select(sorted(d.columns)).collect())
+    assert rows(df) == rows(want) and len(rows(df)) == 6
+    assert "window_from" in plan(df).split("HashAggregate(keys=[search_id")[-1]
