@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid import config
@@ -37,18 +37,34 @@ def diagram(sums: DataFrame, keys: Sequence[str], years: int | None = None) -> D
     """Twelve months: means, the rain of an average month, whether it is dry (P <= 2T).
 
     Rules read the full values; callers round last."""
+    return _drawn(sums, keys, F.lit(years) if years else F.countDistinct("year"))
+
+
+def _drawn(sums: DataFrame, keys: Sequence[str], years: Column) -> DataFrame:
     g = sums.groupBy(*keys, "month").agg(
         *[(F.sum(f"sum_{n}") / F.nullif(F.sum(f"n_{n}"), F.lit(0))).alias(n) for n in ("tas", "tasmin", "tasmax")],
         (F.sum("sum_pr") / F.nullif(F.sum("n_pr"), F.lit(0))).alias("_rain"),
-        (F.sum("days") / (F.lit(years) if years else F.countDistinct("year"))).alias("_length"))
+        (F.sum("days") / years).alias("_length"))
     rain = F.col("_rain") * F.col("_length")
     return g.withColumns({"precipitation": rain, "dry": rain <= 2 * F.col("tas")}).drop("_rain", "_length")
 
 
+#: Years of a window are bits of as many longs: 192 years on end.
+YEAR_WORDS = 3
+
+
 def window_diagram(sums: DataFrame, requests: DataFrame, keys: Sequence[str], request: str) -> DataFrame:
-    """The diagram of each request (its source, window_from, window_to) out of the monthly sums."""
-    asked = requests.select(request, *keys, F.explode(F.sequence("window_from", "window_to")).alias("year"))
-    return diagram(asked.join(sums, [*keys, "year"]), (request,))
+    """The diagram of each request (its source, window_from, window_to) out of the monthly sums.
+
+    A window is summed once for all requests that share it, so that a request meets twelve rows and not twelve a year."""
+    at = [*keys, "window_from", "window_to"]
+    asked = requests.select(*at).distinct().withColumn("year", F.explode(F.sequence("window_from", "window_to")))
+    names = [c for c in sums.columns if c.startswith(("sum_", "n_"))] + ["days"]
+    word, bit = F.pmod(F.floor(F.col("year") / 64), F.lit(YEAR_WORDS)), F.expr("shiftleft(1L, CAST(year % 64 AS INT))")
+    held = [F.bit_or(F.when(word == k, bit).otherwise(0)).alias(f"_y{k}") for k in range(YEAR_WORDS)]
+    each = asked.join(sums, [*keys, "year"]).groupBy(*at, "month").agg(*[F.sum(n).alias(n) for n in names], *held)
+    years = sum((F.bit_count(F.bit_or(f"_y{k}")) for k in range(1, YEAR_WORDS)), F.bit_count(F.bit_or("_y0")))
+    return _drawn(requests.select(request, *at).join(each, at), (request,), years)
 
 
 def rounded(months: DataFrame, digits: int = 1) -> DataFrame:
