@@ -43,6 +43,11 @@ def test_the_spine_is_exploded_where_it_arrives_and_parts_follow_its_rows(spark,
     assert df.rdd.getNumPartitions() == 26  # 4 rows of cells, 13 days, 2 rows a part
 
 
+def test_parts_of_few_bytes_are_not_merged(spark):
+    """Before, parts of packed rows were merged by their bytes, and the dense rows of all of them met in one task."""
+    assert dense(spark).rdd.getNumPartitions() == 4  # the session asks for 4 and has 4 cores
+
+
 def test_two_rows_of_a_day_are_an_error(spark):
     rows = [("obs", 1, date(2000, 1, 2), 4.0)] * 2
     df = spine.densify(spark.createDataFrame(rows, "source string, cell_id long, day date, tas double"),
