@@ -47,3 +47,9 @@ def test_remap_shuffles_packed_rows_once(spark):
 def test_nearest_by_one_meeting(spark, name):
     text = plan(spark, name)
     assert "NestedLoop" not in text and "Cartesian" not in text and len(re.findall("FileScan", text)) < 30
+
+
+@pytest.mark.parametrize("name", ["day1_classified_days", "day1_every_column", "snow2_flags_at_places", "soil3_water_at_places"])
+def test_days_of_places_stay_where_they_are_made(spark, name):
+    """Before, every day of every reading spot was exchanged by (source, spot), and again to meet the searches."""
+    assert not re.search(r"hashpartitioning\([^)]*(day#|source#\d+, spot_id#)", plan(spark, name))
