@@ -53,3 +53,9 @@ def test_nearest_by_one_meeting(spark, name):
 def test_days_of_places_stay_where_they_are_made(spark, name):
     """Before, every day of every reading spot was exchanged by (source, spot), and again to meet the searches."""
     assert not re.search(r"hashpartitioning\([^)]*(day#|source#\d+, spot_id#)", plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["qdm12_13_rain", "qdm8_multiplicative_sliding"])
+def test_days_meet_their_quantiles_where_they_are(spark, name):
+    """Before, days were exchanged by window too, and went on to the calibration with the quantiles of their window."""
+    assert not re.search(r"hashpartitioning\([^)]*win#", plan(spark, name))
