@@ -1,6 +1,6 @@
 """Snow under many settings at once: days by settings as a matrix for each snow year, no row multiplied.
 
-The stock is empty on each 1 August, so a (station, snow year) is a unit of its own: rows are hashed by it and sorted by
+The stock is empty on each 1 August, so a (station, snow year) is a unit of its own: rows are hashed by station and sorted by
 day, and a task works through them unit by unit. In a unit the closed form of the stock (running sum less its running
 minimum) is taken over all settings together; only the counts of its winter leave the task, one row per unit.
 """
@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid import config
 from daygrid.functions.calendar import in_snow_season, snow_year
 from daygrid.operators.snow import TIE_MM, Melt
+from daygrid.operators.years import MILLIONTHS
 
 
 @dataclass(frozen=True)
@@ -35,27 +37,40 @@ class Setting:
 
 
 def warm_column(tas: str, days: int, keys: Sequence[str]) -> Column:
-    """Mean air of the ``days`` days before each day (fewer at the start of a series)."""
-    from pyspark.sql import Window
+    """Mean air of the ``days`` days before each day (fewer at the start of a series), unknown where one of them is not finite.
 
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
-    return F.avg(tas).over(w)
+    The difference of two running sums, in whole millionths: their frames only grow, so a day costs the same for any ``days``.
+    """
+    def until(back: int, what: str) -> Column:
+        by = ", ".join(f"`{k}`" for k in keys)
+        return F.expr(f"{what} OVER (PARTITION BY {by} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{back}' DAY PRECEDING)")
+
+    def of_days(what: str) -> Column:
+        return until(1, what) - F.coalesce(until(days + 1, what), F.lit(0))
+
+    finite = f"abs(`{tas}`) < double('infinity')"  # false for NaN, which Spark puts above all numbers
+    total = of_days(f"sum(CASE WHEN {finite} THEN CAST(rint(`{tas}` * {MILLIONTHS}D) AS BIGINT) END)")
+    known, odd = of_days(f"count(`{tas}`)"), of_days(f"count_if(NOT {finite})")
+    return F.when(odd > 0, F.lit(float("nan"))).when(known > 0, total / known / MILLIONTHS)
 
 
 def _counts(settings: Sequence[Setting], columns: dict[str, np.ndarray]) -> np.ndarray:
     """Days of one snow year that are known, in the season and under snow, by setting."""
-    vector = lambda get: np.array([get(s) for s in settings], float)
-    air = np.stack([columns[s.tas] for s in settings], 1)
-    fall = np.where(air < vector(lambda s: s.melt.fall_c), np.nan_to_num(columns["_pr"])[:, None], 0.0)
-    loss = np.where(air > 0, air * vector(lambda s: s.melt.mm_per_degree), 0.0)
-    if any(s.warm for s in settings):
-        none = np.zeros(len(air))
-        warm = np.stack([np.nan_to_num(columns[s.warm]) if s.warm else none for s in settings], 1)
-        loss += np.where(np.isnan(air), 0.0, vector(lambda s: s.ground) * np.maximum(warm, 0.0))
-    c = np.cumsum(fall - loss, 0)
-    stock = c - np.minimum(0.0, np.minimum.accumulate(c, 0))
+    rain, none = np.nan_to_num(columns["_pr"]), np.zeros(len(columns["_pr"]))
+    fall = cache(lambda tas, fall_c: np.where(columns[tas] < fall_c, rain, 0.0))
+    melt = cache(lambda tas, mm: np.where(columns[tas] > 0, columns[tas] * mm, 0.0))
+    warmth = cache(lambda tas, warm: np.where(np.isnan(columns[tas]), 0.0, np.maximum(np.nan_to_num(columns[warm]), 0.0)) if warm else none)
+    # Settings that differ by the level alone share one stock.
+    kinds = {(s.tas, s.melt.fall_c, s.melt.mm_per_degree, s.ground, s.warm): None for s in settings}
+    at = {k: n for n, k in enumerate(kinds)}
+    move = np.array([fall(tas, c) - (melt(tas, mm) + ground * warmth(tas, warm)) for tas, c, mm, ground, warm in kinds])
+    c = np.cumsum(move, 1)
+    low = np.minimum.accumulate(c, 1)
     counted = (columns["_season"] > 0) & ~np.isnan(columns["_seen"])
-    return (stock[counted] >= vector(lambda s: s.melt.stock_mm) - TIE_MM).sum(0)
+    stock = (c - np.minimum(low, 0.0, out=low))[:, counted]
+    of = [at[s.tas, s.melt.fall_c, s.melt.mm_per_degree, s.ground, s.warm] for s in settings]
+    level = np.array([s.melt.stock_mm for s in settings], float)
+    return np.count_nonzero(stock[of] >= (level - TIE_MM)[:, None], axis=1)
 
 
 def trial_winters(df: DataFrame, settings: Sequence[Setting], keys: Sequence[str], observed: str, share: float = 0.95,
@@ -69,12 +84,13 @@ def trial_winters(df: DataFrame, settings: Sequence[Setting], keys: Sequence[str
     reads = sorted({s.tas for s in settings} | {s.warm for s in settings if s.warm})
     names = ["_pr", "_season", "_seen", "_opens", *reads]
     opens = (F.month("day") == config.SNOW_RESET_MONTH) & (F.dayofmonth("day") == 1)
-    ready = df.dropna(subset=[*keys, "day"]).select(
-        *keys, snow_year("day").cast("int").alias("winter"), "day", F.col(pr).cast("double").alias("_pr"),
+    # A window brings the days of a key together and in order, and moves nothing where they lie so already.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("day"))
+    ready = df.dropna(subset=[*keys, "day"]).withColumn("_nth", nth).select(
+        *keys, "_nth", snow_year("day").cast("int").alias("winter"), "day", F.col(pr).cast("double").alias("_pr"),
         in_snow_season("day").cast("double").alias("_season"), F.col(observed).cast("double").alias("_seen"),
         opens.cast("double").alias("_opens"), *[F.col(n).cast("double").alias(n) for n in reads])
     unit = [*keys, "winter"]
-    ready = ready.repartition(*unit).sortWithinPartitions(*unit, "day")
     types = dict(ready.dtypes)
     schema = ", ".join([f"`{n}` {types[n]}" for n in unit] + ["_known int", "_snow int", "_counts array<int>"])
 

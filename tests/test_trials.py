@@ -3,9 +3,11 @@
 import itertools
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daygrid.operators import spine
 from daygrid.operators import trials as T
 from daygrid.operators.snow import Melt
 
@@ -85,3 +87,33 @@ def test_one_exchange_and_no_row_multiplied(spark):
     plan = T.trial_winters(df, many, ["station_id"], "seen")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
     assert plan.index("MapInArrow") > plan.index("Generate")  # counts are exploded after the task, days never
+
+
+def test_days_that_lie_by_station_are_not_moved_and_no_frame_slides(spark):
+    """Before, the days of stations were shuffled for the windows and again for the trials, and a day cost as many steps as
+    its windows have days."""
+    held = spark.createDataFrame([(1, date(2000, 1, 2), 4.0)], "station_id long, day date, tas double").withColumn("source", F.lit("obs"))
+    cells = spark.createDataFrame([(1,), (2,)], "station_id long")
+    df = spine.densify(held, cells, (("obs", "2000-01-01", "2000-12-31"),), ["tas"], "station_id").drop("source")
+    df = df.withColumns({f"w{n}": T.warm_column("tas", n, ["station_id"]) for n in (5, 20)}).withColumns({"pr": F.lit(1.0), "seen": F.lit(True)})
+    one = T.trial_winters(df, [T.Setting({"n": n}, warm=f"w{n}") for n in (5, 20)], ["station_id"], "seen")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("specifiedwindowframe(RangeFrame, unboundedpreceding$()") == plan.count("specifiedwindowframe(RangeFrame") > 0
+
+
+def test_warm_days_are_calendar_days(spark):
+    rows = [(1, date(2000, 1, d), t) for d, t in ((1, 1.25), (2, None), (3, 2.5), (9, 4.0), (10, 0.1), (11, 0.2), (20, float("nan")), (21, 1.0), (27, 3.0))]
+    df = spark.createDataFrame([*rows, (2, date(2000, 1, 12), 9.0), (None, date(2000, 1, 13), 8.0)], "station_id long, day date, tas double")
+    got = {(r.station_id, r.day.day): r.w for r in df.withColumn("w", T.warm_column("tas", 5, ["station_id"])).collect()}
+    want = {1: None, 2: 1.25, 3: 1.25, 9: None, 10: 4.0, 11: 2.05, 20: None, 21: float("nan"), 27: None}
+    assert got == {(1, d): pytest.approx(v, nan_ok=True) if v is not None else None for d, v in want.items()} | {(2, 12): None, (None, 13): None}
+
+
+def test_settings_that_differ_by_the_level_share_a_stock(monkeypatch):
+    """Before, each level had its own stock."""
+    columns = {"tas": np.array([-1.0, -1.0, 0.5]), "_pr": np.array([1.0, 2.0, 0.0]), "_season": np.ones(3), "_seen": np.ones(3)}
+    wide, real = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda a, axis: wide.append(a.shape) or real(a, axis))
+    settings = [T.Setting({}, Melt(0.0, m, s)) for s in (1.0, 2.5) for m in (1.0, 4.0)]
+    assert T._counts(settings, columns).tolist() == [3, 3, 2, 1] and wide == [(2, 3)]
