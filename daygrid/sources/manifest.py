@@ -40,7 +40,12 @@ def write(of: DataFrame, path: str) -> None:
     one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "year").parquet(f"{path}/{NAME}")
 
 
+def unlike(here: DataFrame, held: DataFrame) -> DataFrame:
+    """(source, year) of the manifest ``here`` whose rows or digest are not those of the manifest ``held``."""
+    same = ["source", "year", "n_rows", "digest"]
+    return here.select(*same).join(held.select(*same), same, "left_anti").select("source", "year")
+
+
 def differing(df: DataFrame, held: DataFrame) -> DataFrame:
     """(source, year) of ``df`` whose rows or digest are not those of the manifest ``held``."""
-    here, there = manifest(df).select("source", "year", "n_rows", "digest"), held.select("source", "year", "n_rows", "digest")
-    return here.join(there, ["source", "year", "n_rows", "digest"], "left_anti").select("source", "year")
+    return unlike(manifest(df), held)

@@ -82,3 +82,18 @@ def test_reconcile_by_its_own_step(spark):
     assert checks.reconcile(a.limit(0), b.limit(0), {"y": 1.0}).first().agrees
     plan = checks.reconcile(a, b, {"x": 1.0, "y": 0.5})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join ") == 1 and plan.index("Generate") < plan.index("Join ")  # rows per variable only after the sums
+
+
+def test_only_pairs_that_the_copy_holds_in_part_meet_its_rows(spark, monkeypatch):
+    """Before, the rows of every new year were shuffled against the copy and checkpointed, and all of them counted again."""
+    path, met, counted = shared_folder(spark), [], []
+    layout.write_years(spark.createDataFrame(days("a", 1, date(2000, 1, 1), 300), SCHEMA), path)
+    more = days("a", 2, date(2000, 1, 1), 3) + days("a", 1, date(2001, 1, 1), 365) + days("b", 1, date(2000, 1, 1), 366)
+    put, count = layout.cut, manifest.manifest
+    monkeypatch.setattr(layout, "cut", lambda df: met.append(put(df)) or met[-1])
+    monkeypatch.setattr(manifest, "manifest", lambda df: counted.append(df) or count(df))
+    layout.write_years(spark.createDataFrame(more, SCHEMA).repartition(3), path)
+    assert [df.count() for df in met] == [300]  # what only the copy has of the one year both hold
+    assert len(counted) == 2 and counted[0].count() == len(more)
+    assert told(spark, path) == {("a", 2000): 303, ("a", 2001): 365, ("b", 2000): 366}
+    assert held(spark, path) == sorted(days("a", 1, date(2000, 1, 1), 300) + more)
