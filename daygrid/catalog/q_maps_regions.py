@@ -36,7 +36,7 @@ def smooth_sql(name, src):
 @query("map3_pressure_field", "source:s day:d block_row:i block_col:i tenths:f", """
  SELECT source, day, r AS block_row, c AS block_col, ROUND_EVEN(ROUND(v*10, 9), 0) AS tenths FROM once""", blocks=BLOCKS, **smooth_sql("once", "blocks"))
 def _(t):
-    f = M.smooth(G.coarsen(t.daily, t.cells, "psl"), "psl", 1, "block_row", "block_col")
+    f = M.smooth(G.coarsen(t.daily, t.cells, "psl", rows=t.daily_rows), "psl", 1, "block_row", "block_col")
     return f.withColumn("tenths", F.rint(F.round(F.col("psl") * 10, 9)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from daygrid.operators import carry
 from daygrid.operators import climate as C
+from daygrid.operators import grid as G
 from daygrid.operators import nearby as N
 from daygrid.operators import spine
 from daygrid.operators import years as Y
@@ -48,6 +49,19 @@ def test_parts_of_few_bytes_are_not_merged(spark):
     assert dense(spark).rdd.getNumPartitions() == 4  # the session asks for 4 and has 4 cores
 
 
+def test_days_go_to_blocks_in_parts_that_follow_their_rows(spark, monkeypatch):
+    """Before, days of blocks were merged by their bytes. By hand: a whole block, one with a gap, one without a fourth cell."""
+    monkeypatch.setattr(spine, "TASK_ROWS", 2)
+    cells = spark.createDataFrame([(10 * r + c, r, c) for r in range(2) for c in range(5)], "cell_id long, row long, col long")
+    days = [(s, 10 * r + c, date(2000, 1, n), None if (c, n) == (2, 1) else float(r + c + n)) for s in ("obs", "sim") for r in range(2) for c in range(5) for n in (1, 2)]
+    daily = spark.createDataFrame(days + [(None, 0, None, 9.0)], "source string, cell_id long, day date, psl double")
+    want = sorted([(s, date(2000, 1, n), 0, k, None if (k, n) == (1, 1) else 1.0 + 2 * k + n) for s in ("obs", "sim") for n in (1, 2) for k in (0, 1)] + [(None, None, 0, 0, None)], key=str)
+    for rows, parts in ((41, 21), (None, 21), (60, 30)):
+        df = G.coarsen(daily, cells, "psl", rows=rows)
+        assert df.rdd.getNumPartitions() == parts
+        assert sorted((tuple(r) for r in df.select("source", "day", "block_row", "block_col", "psl").collect()), key=str) == want
+
+
 def test_two_rows_of_a_day_are_an_error(spark):
     rows = [("obs", 1, date(2000, 1, 2), 4.0)] * 2
     df = spine.densify(spark.createDataFrame(rows, "source string, cell_id long, day date, tas double"),
