@@ -1,11 +1,13 @@
 """Steps that many queries share: how rows travel, on rows built here."""
 
 import math
-from datetime import date, timedelta
+from collections import Counter
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from daygrid.catalog import tables
 from daygrid.operators import carry
 from daygrid.operators import climate as C
 from daygrid.operators import grid as G
@@ -49,6 +51,32 @@ def test_parts_of_few_bytes_are_not_merged(spark):
     assert dense(spark).rdd.getNumPartitions() == 4  # the session asks for 4 and has 4 cores
 
 
+def test_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Before, lines were combined file by file and again in parts that were merged by their bytes."""
+    monkeypatch.setattr(spine, "TASK_ROWS", 5)
+    day = datetime(1996, 3, 1)
+    lines = [(s, 100 * s, day + timedelta(days=n), 10.0 + n, 950.5, 0.05, 0.02) for s in range(8) for n in range(5)] * 2
+    lines += [(None, 90, day, 1.0, 950.5, None, 0.02), (1, None, day, 1.0, 950.5, 0.05, 0.02), (1, 90, None, None, None, 0.05, 0.02)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, "
+                                 "l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    counted = tables.Tables(spark, str(tmp_path)).counted
+    assert plan(counted).count("REPARTITION_BY_NUM") == plan(counted).count("Exchange ") == 2
+    assert counted.rdd.getNumPartitions() in (17, 34)  # 83 lines, 5 a part, of each source
+    cents = 95050
+    want = Counter()
+    for s, p, d, q, _, a, b in lines:
+        at = None if d is None else d.date()
+        known = q is not None
+        price = cents if known else None
+        for key, figures in ((("obs", None if s is None else s // 4, at), (q, None if a is None else a * 100, b * 100)),
+                             (("sim", None if p is None else p // 80, at), (1 + price % 50, price // 50 % 11, price // 550 % 9) if known else (None,) * 3)):
+            want[key, "n"] += 1
+            for name, v in zip("qab", figures):
+                want[key, name] += round(v or 0)
+    got = {(tuple(r[:3]), name): r[name] or 0 for r in counted.select("source", "cell_id", "day", "n", "q", "a", "b").collect() for name in "nqab"}
+    assert got == dict(want)
+
+
 def test_days_go_to_blocks_in_parts_that_follow_their_rows(spark, monkeypatch):
     """Before, days of blocks were merged by their bytes. By hand: a whole block, one with a gap, one without a fourth cell."""
     monkeypatch.setattr(spine, "TASK_ROWS", 2)
