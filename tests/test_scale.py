@@ -14,6 +14,7 @@ from daygrid.operators import grid as G
 from daygrid.operators import nearby as N
 from daygrid.operators import spine
 from daygrid.operators import years as Y
+from daygrid.plans import days as D
 from daygrid.sources import checks
 
 RANGES = (("obs", "2000-01-01", "2000-01-10"), ("sim", "2000-01-01", "2000-01-03"))
@@ -184,3 +185,51 @@ def test_windows_shared_by_requests_are_summed_once(spark):
     rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.select(sorted(d.columns)).collect())
     assert rows(df) == rows(want) and len(rows(df)) == 6
     assert "window_from" in plan(df).split("HashAggregate(keys=[search_id")[-1]
+
+
+PLACE = "place_id long, cell_id long, fine_id long, lift double"
+NAMES = "tasmax tasmin tas pr clt hurs sfcWind psl rsds".split()
+
+
+def test_places_that_read_one_fine_cell_lie_side_by_side(spark):
+    """Before, places were told apart by a hash alone, and each fine cell's days went to every share of its cell."""
+    rows = [(40 * f + k, 7, 70 + f if f else None, None) for f in range(5) for k in range(40)] + [(None, 7, 71, None)] * 2 + [(1, None, 71, None), (900, 8, 80, None)]
+    got = G.shares(spark.createDataFrame(rows, PLACE), "place_id", 40).collect()
+    assert len(got) == len(rows) - 1 and all(len({r._share for r in got if (r.cell_id, r.fine_id) == (7, f)}) <= 2 for f in (None, 71, 72, 73, 74))
+    held = Counter((r.cell_id, r._share) for r in got)
+    assert len([k for k in held if k[0] == 7]) == 6 and max(held.values()) < 80
+
+
+def place_days(spark, **kw):
+    coarse = spark.createDataFrame([("obs", 7, date(2000, 1, d), *[float(d)] * 9) for d in (1, 2, 3)],
+                                   "source string, cell_id long, day date, " + ", ".join(f"{n} double" for n in NAMES))
+    fine = spark.createDataFrame([("obs", 70, date(2000, 1, 1), None, None, None), ("obs", 70, date(2000, 1, 2), 5.0, None, 6.0)],
+                                 "source string, fine_id long, day date, tasmax double, tasmin double, tas double")
+    at = spark.createDataFrame([(k, 7, 70 if k % 2 else None, None) for k in range(6)], PLACE)
+    return G.place_daily(at, coarse, fine, **kw)
+
+
+def test_days_meet_their_shares_where_they_lie(spark, monkeypatch):
+    """Before, fine days were exchanged by their cell to learn their shares, days without a value among them."""
+    want = sorted((k, d, *((None, None, None) if k % 2 and d != 2 else (5.0, None, 6.0) if k % 2 else (float(d),) * 3), float(d)) for k in range(6) for d in (1, 2, 3))
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for sent in (G.SENT, 0):
+            monkeypatch.setattr(G, "SENT", sent)
+            df = place_days(spark)
+            assert ("BroadcastExchange" in plan(df)) == bool(sent) and ("hashpartitioning(_f#" not in plan(df)) == bool(sent) and "isnotnull(coalesce(" in plan(df)
+            assert sorted(((r.place_id, r.day.day, r.tasmax, r.tasmin, r.tas, r.pr) for r in df.collect()), key=lambda r: r[:2]) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_days_of_places_come_in_the_parts_they_are_met_in(spark):
+    """Before, parts were counted from places and sources, and what met the days was dealt out a second time."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    had = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "false")
+        assert place_days(spark, parts=7).rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set(name, had)
