@@ -233,3 +233,26 @@ def test_days_of_places_come_in_the_parts_they_are_met_in(spark):
         assert place_days(spark, parts=7).rdd.getNumPartitions() == 7
     finally:
         spark.conf.set(name, had)
+
+
+def test_snow_cover_reads_its_days_once(spark):
+    """Before, all days were built once for the searches that know one and once for the runs."""
+    days = spark.createDataFrame([(s, date(2000, 1, d), f) for s, flags in ((1, (True, True, False, None, True)), (2, (False, None)), (3, (None,)))
+                                  for d, f in enumerate(flags, 1)], "search_id long, date date, snow_on_ground boolean")
+    df = D.snow_cover(days)
+    assert "ExistingRDD" not in plan(df)
+    assert sorted(tuple(r) for r in df.select("search_id", "days", "longest", "first_day").collect()) == [(1, 3, 2, date(2000, 1, 1)), (2, 0, None, None)]
+
+
+def test_rare_snow_is_told_by_the_winters_held(spark):
+    """A mean over held winters; a span of 64 years and more gives what a short one gives."""
+    cold = lambda k, y, n: [(s, 7, 0, k, date(y, 1, 1) + timedelta(days=i), -5.0, 10.0 if i < n else 0.0, 100.0, None) for s in ("obs", "sim") for i in range(90 if n else 1)]
+    rows = cold(1, 1996, 1) + cold(2, 1996, 0) + [r for y in (1996, 1997, 1998) for r in cold(3, y, 1)]
+    rows = [(*r[:5], -5.0 if r[3] != 2 else 9.0, *r[6:]) for r in rows]
+    days = spark.createDataFrame(rows, "source string, cell_id long, _share long, spot_id long, day date, tas double, pr double, read_elevation double, lift double")
+    first = spark.createDataFrame([("obs", date(1995, 1, 1)), ("sim", date(1995, 1, 1))], "source string, first_day date")
+    told = []
+    for last in (1998, 2070):
+        got = D.snow_at_places(days, first, (1996, last), "sim", "spot_id").collect()
+        told.append(sorted((r.source, r.spot_id, r.day, r.snow_on_ground) for r in got if r.snow_on_ground is not None))
+    assert told[0] == told[1] and {(s, k) for s, k, *_ in told[0]} == {("obs", 1), ("obs", 2), ("obs", 3), ("sim", 1), ("sim", 3)}
