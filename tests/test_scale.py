@@ -256,3 +256,13 @@ def test_rare_snow_is_told_by_the_winters_held(spark):
         got = D.snow_at_places(days, first, (1996, last), "sim", "spot_id").collect()
         told.append(sorted((r.source, r.spot_id, r.day, r.snow_on_ground) for r in got if r.snow_on_ground is not None))
     assert told[0] == told[1] and {(s, k) for s, k, *_ in told[0]} == {("obs", 1), ("obs", 2), ("obs", 3), ("sim", 1), ("sim", 3)}
+
+
+def test_copies_meet_in_parts_that_follow_their_rows(spark, monkeypatch):
+    """Before, rows were combined file by file, which no two rows of a copy can be, and met in as many parts whatever their number."""
+    monkeypatch.setattr(spine, "TASK_ROWS", 2)
+    a = spark.createDataFrame([(k, None if k == 3 else float(k)) for k in range(10)] + [(None, 0.0)], "k long, v double")
+    b = spark.createDataFrame([(k, None if k == 3 else float(k)) for k in range(1, 11)] + [(None, -0.0)], "k long, v double")
+    df = checks.same_rows(a, b, 22)
+    assert plan(df).rindex("HashAggregate") < plan(df).index("Exchange hashpartitioning")  # a plan is read from its end
+    assert df.rdd.getNumPartitions() == 11 and sorted((r.k, r.side) for r in df.collect()) == [(0, "a"), (10, "b")]
