@@ -1,6 +1,7 @@
 """Steps that many queries share: how rows travel, on rows built here."""
 
 import math
+import re
 from collections import Counter
 from datetime import date, datetime, timedelta
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daygrid.catalog import tables
+from daygrid.functions import quantiles
 from daygrid.operators import carry
 from daygrid.operators import climate as C
 from daygrid.operators import grid as G
@@ -266,3 +268,11 @@ def test_copies_meet_in_parts_that_follow_their_rows(spark, monkeypatch):
     df = checks.same_rows(a, b, 22)
     assert plan(df).rindex("HashAggregate") < plan(df).index("Exchange hashpartitioning")  # a plan is read from its end
     assert df.rdd.getNumPartitions() == 11 and sorted((r.k, r.side) for r in df.collect()) == [(0, "a"), (10, "b")]
+
+
+def test_a_rank_counts_the_quantiles_twice(spark):
+    """Before, each mention of a count in the rank's formula went through all quantiles again. Ranks by hand."""
+    rows = [(1, 2.5, [1.0, 2.0, 3.0]), (2, 2.0, [1.0, 2.0, 2.0]), (3, 9.0, [1.0, 2.0]), (4, -9.0, [1.0, 2.0]), (5, None, [1.0]), (6, 1.0, None), (7, 1.0, [None, None]), (8, 1.0, [1.0])]
+    df = spark.createDataFrame(rows, "k long, x double, q array<double>").select("k", quantiles.rank_in("x", "q").alias("f"))
+    assert len(re.findall(r"\bfilter\(", df._jdf.queryExecution().optimizedPlan().toString())) == 2
+    assert {r.k: r.f for r in df.collect()} == {1: 1.5, 2: 1.5, 3: 1.0, 4: 0.0, 5: None, 6: None, 7: 0.0, 8: 0.0}
