@@ -15,16 +15,20 @@ from daygrid.functions.calendar import snow_year
 
 OUTPUT = "source STRING, cell_id BIGINT, day DATE, snow_stock DOUBLE, water DOUBLE, fill DOUBLE, drainage DOUBLE, late BOOLEAN"
 STATE = "stock DOUBLE, depletion DOUBLE, last_day INT, snow_year INT, held BINARY"
+FIGURES = ("snow_stock", "water", "fill", "drainage")
 COLUMNS = ["ordinal", "snow_year", "tas", "pr", "et0", "capacity"]
 
 
-def _advance(pdf: pd.DataFrame, stock: float, depletion: float, last: int, winter: int) -> tuple[list[tuple], tuple]:
-    """Days after ``last`` in order; an older or repeated day changes nothing and is told as late, without figures."""
-    rows = []
-    half = config.SOIL_DEPLETION_FRACTION
-    for ordinal, year, tas, pr, et0, cap in pdf[COLUMNS].itertuples(index=False):
+def _advance(days: np.ndarray, stock: float, depletion: float, last: int, winter: int) -> tuple[tuple[list, ...], tuple]:
+    """Days (rows of ``COLUMNS``) after ``last`` in order; an older or repeated day changes nothing and is told as late, without figures."""
+    out = ordinals, stocks, waters, fills, drainages, late = [], [], [], [], [], []
+    half, nan = config.SOIL_DEPLETION_FRACTION, float("nan")
+    for ordinal, year, tas, pr, et0, cap in zip(*days.T.tolist()):
+        ordinals.append(int(ordinal))
         if ordinal <= last:
-            rows.append((int(ordinal), *[float("nan")] * 4, True))
+            for figures in (stocks, waters, fills, drainages):
+                figures.append(nan)
+            late.append(True)
             continue
         last = int(ordinal)
         if year != winter:
@@ -36,15 +40,19 @@ def _advance(pdf: pd.DataFrame, stock: float, depletion: float, last: int, winte
             melt = min(stock + fall, config.SNOW_MELT_MM * max(tas, 0.0))
             stock = stock + fall - melt
             water = rain - fall + melt
-        fill = drainage = float("nan")
+        fill = drainage = nan
         if et0 == et0:
             stress = 1.0 if depletion <= half * cap else (cap - depletion) / (cap - half * cap)
             after = depletion + stress * et0 - water
             drainage = max(-after, 0.0)
             depletion = min(max(after, 0.0), cap)
             fill = 1.0 - depletion / cap
-        rows.append((last, stock, water, fill, drainage, False))
-    return rows, (float(stock), float(depletion), last, winter)
+        stocks.append(stock)
+        waters.append(water)
+        fills.append(fill)
+        drainages.append(drainage)
+        late.append(False)
+    return out, (float(stock), float(depletion), last, winter)
 
 
 def carried(days: DataFrame, hold_days: int = 0) -> DataFrame:
@@ -61,20 +69,18 @@ def carried(days: DataFrame, hold_days: int = 0) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *held, waiting = state.get if state.exists else (0.0, 0.0, -(10**6), 0, b"")
-        before = pd.DataFrame(np.frombuffer(bytes(waiting)).reshape(-1, len(COLUMNS)), columns=COLUMNS)
-        came = pd.concat([before, *[b[COLUMNS] for b in batches]])
-        ends = came["ordinal"].isna()
-        pdf = came[~ends].sort_values("ordinal", kind="stable")
-        open_after = np.inf if ends.any() else max(pdf["ordinal"].max(), held[2]) - hold_days
-        closed = pdf["ordinal"] <= max(open_after, held[2])
-        rows, held = _advance(pdf[closed], *held)
-        state.update((*held, pdf[~closed].to_numpy(float).tobytes()))
-        if rows:
-            out = pd.DataFrame(rows, columns=["day", "snow_stock", "water", "fill", "drainage", "late"])
-            out["day"] = pd.to_datetime(out["day"], unit="D").dt.date
-            out.insert(0, "cell_id", key[1])
-            out.insert(0, "source", key[0])
-            yield out
+        before = np.frombuffer(bytes(waiting)).reshape(-1, len(COLUMNS))
+        came = np.concatenate([before, *[np.column_stack([b[c].to_numpy(float) for c in COLUMNS]) for b in batches]])
+        ends = np.isnan(came[:, 0])
+        known = came[~ends]
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        open_after = np.inf if ends.any() else max(known[:, 0].max(), held[2]) - hold_days
+        closed = known[:, 0] <= max(open_after, held[2])
+        (ordinals, *figures, late), held = _advance(known[closed], *held)
+        state.update((*held, known[~closed].tobytes()))
+        if ordinals:
+            dates = np.array(ordinals, "datetime64[D]").astype(object)
+            yield pd.DataFrame({"source": key[0], "cell_id": key[1], "day": dates, **dict(zip(FIGURES, figures)), "late": late})
 
     return ready.groupBy("source", "cell_id").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from daygrid.operators import spine
 from daygrid.operators import years as Y
 from daygrid.plans import days as D
 from daygrid.sources import checks
+from daygrid.streaming import carry as stream
 
 RANGES = (("obs", "2000-01-01", "2000-01-10"), ("sim", "2000-01-01", "2000-01-03"))
 
@@ -276,3 +278,13 @@ def test_a_rank_counts_the_quantiles_twice(spark):
     df = spark.createDataFrame(rows, "k long, x double, q array<double>").select("k", quantiles.rank_in("x", "q").alias("f"))
     assert len(re.findall(r"\bfilter\(", df._jdf.queryExecution().optimizedPlan().toString())) == 2
     assert {r.k: r.f for r in df.collect()} == {1: 1.5, 2: 1.5, 3: 1.0, 4: 0.0, 5: None, 6: None, 7: 0.0, 8: 0.0}
+
+
+def test_days_of_a_cell_are_stepped_without_frames():
+    """Before, the days of a cell were a frame and its rows, at several times the cost. A late day, a gap, a new winter."""
+    nan = float("nan")
+    days = np.array([(5.0, 2000.0, -1.0, 4.0, 2.0, 40.0), (6.0, 2000.0, nan, nan, nan, 40.0), (6.0, 2000.0, -1.0, 4.0, 2.0, 40.0), (7.0, 2001.0, 1.0, 3.0, 1.0, 40.0)])
+    (ordinals, stock, water, fill, drainage, late), state = stream._advance(days, 1.0, 10.0, 4, 2000)
+    assert ordinals == [5, 6, 6, 7] and late == [False, False, True, False]
+    assert stock[:2] == [5.0, 5.0] and stock[2] != stock[2] and stock[3] == 0.0 and water[0] == 0.0 and water[3] == 3.0
+    assert fill[0] == 1.0 - 12.0 / 40.0 and fill[1] != fill[1] and fill[3] == 0.75 and drainage[3] == 0.0 and state == (0.0, 10.0, 7, 2001)
